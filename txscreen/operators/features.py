@@ -55,11 +55,16 @@ def fit_indexers(
     ).fit(df)
 
 
-def index_table(df: DataFrame, category: str, *, handle_invalid: str = "error") -> DataFrame:
-    """Index and row count of every value of ``category``."""
-    indexed = fit_indexers(df, [category], handle_invalid=handle_invalid).transform(df)
-    index = index_name(category)
-    return indexed.groupBy(category, index).agg(F.count(F.lit(1)).alias("row_count"))
+def index_table(df: DataFrame, category: str) -> DataFrame:
+    """Every value of ``category`` with its index, from one counting pass.
+
+    The values pass through the driver, as they do in any fitted indexer: this
+    is for categories, not for account ids.
+    """
+    labels = fit_indexers(df, [category]).labelsArray[0]
+    rows = [(value, float(i)) for i, value in enumerate(labels)]
+    types = f"{category} string, {index_name(category)} double"
+    return df.sparkSession.createDataFrame(rows, types)
 
 
 def assembler(columns: Sequence[str], *, handle_invalid: str = "error") -> VectorAssembler:
@@ -69,7 +74,11 @@ def assembler(columns: Sequence[str], *, handle_invalid: str = "error") -> Vecto
 
 
 def assemble(df: DataFrame, columns: Sequence[str], *, handle_invalid: str = "error") -> DataFrame:
-    """Index the categories and add the vector ``features`` of ``columns``."""
+    """Index the categories and add the vector ``features`` of ``columns``.
+
+    Reads ``df`` once for the indexes and once for the rows: store it first
+    when it is costly to make.
+    """
     indexed = fit_indexers(df, handle_invalid=handle_invalid).transform(df)
     return assembler(columns, handle_invalid=handle_invalid).transform(indexed)
 

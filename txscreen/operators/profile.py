@@ -13,23 +13,31 @@ from txscreen.functions import percent, ratio
 from txscreen.operators.prepare import labelled_as
 
 
+def _rows(condition: Column | None = None, weight: str | None = None) -> Column:
+    """Rows that meet ``condition``; with ``weight``, each counts for that many."""
+    if weight is None:
+        return F.count(F.lit(1)) if condition is None else F.count_if(condition)
+    rows = F.col(weight) if condition is None else F.when(condition, F.col(weight))
+    return F.coalesce(F.sum(rows), F.lit(0))
+
+
 def row_count(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("row_count"))
+    return df.agg(_rows().alias("row_count"))
 
 
-def _label_aggregates(label: str) -> list[Column]:
+def _label_aggregates(label: str, weight: str | None = None) -> list[Column]:
     return [
-        F.count(F.lit(1)).alias("row_count"),
-        F.count_if(F.col(label) == 1).alias("fraud"),
-        F.count_if(F.col(label) == 0).alias("normal"),
+        _rows(weight=weight).alias("row_count"),
+        _rows(F.col(label) == 1, weight).alias("fraud"),
+        _rows(F.col(label) == 0, weight).alias("normal"),
     ]
 
 
-def _flag_aggregates(label: str, flag: str) -> list[Column]:
+def _flag_aggregates(label: str, flag: str, weight: str | None = None) -> list[Column]:
     fraud = F.col(label) == 1
     return [
-        F.count_if(fraud & (F.col(flag) == 1)).alias("caught"),
-        F.count_if(fraud & (F.col(flag) == 0)).alias("missed"),
+        _rows(fraud & (F.col(flag) == 1), weight).alias("caught"),
+        _rows(fraud & (F.col(flag) == 0), weight).alias("missed"),
     ]
 
 
@@ -41,27 +49,51 @@ def _mean_aggregates(label: str, amount: str) -> list[Column]:
     ]
 
 
-def label_counts(df: DataFrame, *, label: str = S.LABEL) -> DataFrame:
+def _value_aggregates(column: str) -> list[Column]:
+    return [
+        F.count(column).alias("value_count"),
+        F.avg(column).alias("mean"),
+        F.stddev_samp(column).alias("stddev"),
+        F.min(column).alias("min"),
+        F.max(column).alias("max"),
+    ]
+
+
+def cells(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows per combination of a few coarse ``keys``.
+
+    Pass it on with ``weight="row_count"``: every count below over these keys
+    then comes from a handful of rows instead of a scan of its own.
+    """
+    return df.groupBy(*keys).agg(_rows().alias("row_count"))
+
+
+def label_counts(
+    df: DataFrame, *, label: str = S.LABEL, weight: str | None = None
+) -> DataFrame:
     """All rows, fraud rows and normal rows; rows without a label are in neither."""
-    return df.agg(*_label_aggregates(label))
+    return df.agg(*_label_aggregates(label, weight))
 
 
-def fraud_share(df: DataFrame, *, label: str = S.LABEL) -> DataFrame:
+def fraud_share(df: DataFrame, *, label: str = S.LABEL, weight: str | None = None) -> DataFrame:
     """Fraud in percent of the labelled rows."""
     labelled = F.col("fraud") + F.col("normal")
-    return label_counts(df, label=label).select(
+    return label_counts(df, label=label, weight=weight).select(
         "fraud", "normal", percent("fraud", labelled, 3).alias("fraud_percent")
     )
 
 
-def cross_tab(df: DataFrame, *keys: str) -> DataFrame:
+def cross_tab(df: DataFrame, *keys: str, weight: str | None = None) -> DataFrame:
     """Rows per combination of ``keys``, nulls as a group of their own, sorted."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count")).orderBy(*keys)
+    return df.groupBy(*keys).agg(_rows(weight=weight).alias("row_count")).orderBy(*keys)
 
 
-def fraud_by(df: DataFrame, key: str, *, label: str = S.LABEL) -> DataFrame:
+def fraud_by(
+    df: DataFrame, key: str, *, label: str = S.LABEL, weight: str | None = None
+) -> DataFrame:
     """Fraud rows per value of ``key``."""
-    return labelled_as(df, 1, label=label).groupBy(key).agg(F.count(F.lit(1)).alias("fraud"))
+    fraud = labelled_as(df, 1, label=label)
+    return fraud.groupBy(key).agg(_rows(weight=weight).alias("fraud"))
 
 
 def mean_by_label(df: DataFrame, *, label: str = S.LABEL, amount: str = S.AMOUNT) -> DataFrame:
@@ -70,19 +102,15 @@ def mean_by_label(df: DataFrame, *, label: str = S.LABEL, amount: str = S.AMOUNT
 
 def describe(df: DataFrame, column: str = S.AMOUNT) -> DataFrame:
     """Count, mean, sample standard deviation, minimum and maximum, as numbers."""
-    return df.agg(
-        F.count(column).alias("value_count"),
-        F.avg(column).alias("mean"),
-        F.stddev_samp(column).alias("stddev"),
-        F.min(column).alias("min"),
-        F.max(column).alias("max"),
-    )
+    return df.agg(*_value_aggregates(column))
 
 
-def detection_rate(df: DataFrame, *, label: str = S.LABEL, flag: str = S.FLAG) -> DataFrame:
+def detection_rate(
+    df: DataFrame, *, label: str = S.LABEL, flag: str = S.FLAG, weight: str | None = None
+) -> DataFrame:
     """How much of the fraud the existing flag caught."""
     total = F.col("caught") + F.col("missed")
-    return df.agg(*_flag_aggregates(label, flag)).select(
+    return df.agg(*_flag_aggregates(label, flag, weight)).select(
         "caught",
         "missed",
         total.alias("fraud"),
@@ -123,6 +151,11 @@ def overview(
     )
 
 
+def amounts(df: DataFrame, *, label: str = S.LABEL, amount: str = S.AMOUNT) -> DataFrame:
+    """``describe`` and ``mean_by_label`` in one pass."""
+    return df.agg(*_value_aggregates(amount), *_mean_aggregates(label, amount))
+
+
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
     """First ``n`` rows in the order of all columns, so the same ones each time."""
     return df.orderBy(*df.columns).limit(n)

@@ -36,12 +36,18 @@ class Trained:
     importances: DataFrame
 
 
-def train_test_tables(df: DataFrame, train_percent: int = 80) -> tuple[DataFrame, DataFrame]:
+def train_test_tables(
+    df: DataFrame, train_percent: int = 80, *, random_seed: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Clean and split ``df`` into stored tables, once for all models.
 
     Fitting passes over the training rows many times. Reading them from
     storage costs each pass one scan instead of the deduplication's shuffle.
+    The split goes by row bucket; with ``random_seed`` it is a random one.
     """
+    if random_seed is not None:
+        stored = materialize(prepare.clean(df), "clean")
+        return sampling.random_split(stored, train_percent / 100, random_seed)
     parts = sampling.with_part(prepare.unique_labelled(df), train_percent)
     kept = prepare.with_exchange_type(parts).select(*S.CLEAN_COLUMNS, "part")
     table = materialize(kept, "clean", partition_by=("part",))
@@ -50,6 +56,15 @@ def train_test_tables(df: DataFrame, train_percent: int = 80) -> tuple[DataFrame
     return train, test
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core: growing trees costs far more than reading.
+
+    A large table has more partitions than that and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def fit_forest(
     train: DataFrame,
     columns: Sequence[str],
@@ -70,7 +85,7 @@ def fit_forest(
         featuresCol="features", labelCol=label, numTrees=settings.num_trees, seed=settings.seed
     )
     stages = [indexers, features.assembler(columns, handle_invalid=settings.handle_invalid), forest]
-    return Pipeline(stages=stages).fit(train)
+    return Pipeline(stages=stages).fit(_spread(train))
 
 
 def score(model: PipelineModel, df: DataFrame, *, label: str = S.LABEL) -> DataFrame:

@@ -381,7 +381,8 @@ def threshold_sweep_model(m):
 
 
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screening.compare(transactions(spark, sf_dir), models(spark, sf_dir))
+    rate = profile.detection_rate(transactions(spark, sf_dir))
+    return screening.compare(rate, models(spark, sf_dir))
 
 
 QUERIES["model_comparison"] = model_comparison

@@ -56,11 +56,11 @@ WITH kinds AS (
       CAST(ROUND(newbalanceDest * 100, 0) AS BIGINT))), 1, 8) AS BIGINT) % 100 AS bucket
   FROM tx
 ), type_index AS (
-  SELECT type, count(*) AS row_count,
+  SELECT type,
     CAST(row_number() OVER (ORDER BY count(*) DESC, type) - 1 AS DOUBLE) AS type_num
   FROM clean GROUP BY type
 ), exchange_index AS (
-  SELECT typeEchange, count(*) AS row_count,
+  SELECT typeEchange,
     CAST(row_number() OVER (ORDER BY count(*) DESC, typeEchange) - 1 AS DOUBLE) AS typeEchange_num
   FROM clean GROUP BY typeEchange
 ), per_score AS (
@@ -204,8 +204,8 @@ _BODIES = {
         ORDER BY row_count DESC, nameOrig LIMIT 10""",
     "overview": f"""SELECT count(*) AS row_count, {_FRAUD} AS fraud, {_NORMAL} AS normal,
         {_CAUGHT} AS caught, {_MISSED} AS missed, {_MEANS} FROM tx""",
-    "index_type": "SELECT type, type_num, row_count FROM type_index",
-    "index_exchange": "SELECT typeEchange, typeEchange_num, row_count FROM exchange_index",
+    "index_type": "SELECT type, type_num FROM type_index",
+    "index_exchange": "SELECT typeEchange, typeEchange_num FROM exchange_index",
     "assemble_full": f"""SELECT CAST(step AS DOUBLE) AS step, type_num, amount, oldbalanceOrg,
         newbalanceOrig, oldbalanceDest, newbalanceDest, typeEchange_num FROM {_INDEXED}""",
     "assemble_leakfree": f"""SELECT CAST(step AS DOUBLE) AS step, type_num, amount,

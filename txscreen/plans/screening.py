@@ -8,7 +8,7 @@ from txscreen import schema as S
 from txscreen.operators import evaluate, features, profile, sampling, training
 from txscreen.operators.prepare import with_exchange_type
 from txscreen.operators.training import Forest, Trained
-from txscreen.sources import read_csv, read_parquet
+from txscreen.sources import materialize, read_csv, read_parquet
 
 WITH_BALANCES, LEAK_FREE, RULE = "with balances", "leak-free", "existing flag"
 
@@ -24,28 +24,46 @@ class Models:
 
 
 def load(
-    spark: SparkSession, path: str, *, file_format: str = "csv", fraction: float | None = None, seed: int = 67
+    spark: SparkSession,
+    path: str,
+    *,
+    file_format: str = "csv",
+    fraction: float | None = None,
+    seed: int = 67,
 ) -> DataFrame:
-    """Transactions of ``path``, all of them or a random ``fraction``."""
+    """Transactions of ``path``, all of them or a random ``fraction``.
+
+    CSV rows and random samples are stored once: CSV would be parsed whole for
+    every table, and a sample drawn again need not be the same sample.
+    """
     df = read_csv(spark, path) if file_format == "csv" else read_parquet(spark, path)
-    return df if fraction is None else sampling.random_sample(df, fraction, seed)
+    if fraction is not None:
+        df = sampling.random_sample(df, fraction, seed)
+    elif file_format != "csv":
+        return df
+    return materialize(df, "transactions")
 
 
 def explore(tx: DataFrame) -> dict[str, DataFrame]:
-    """Result tables of the exploration, each from one pass over a few columns."""
-    typed = with_exchange_type(tx)
+    """Result tables of the exploration.
+
+    All counts come from one stored pass over the four coarse columns; amounts
+    take a second pass, and the senders one shuffle for each of their tables.
+    """
+    coarse = profile.cells(with_exchange_type(tx), S.KIND, S.EXCHANGE, S.LABEL, S.FLAG)
+    cells = materialize(coarse, "cells")
+    weight = "row_count"
     return {
-        "overview": profile.overview(tx),
-        "detection_rate": profile.detection_rate(tx),
-        "fraud_share": profile.fraud_share(tx),
-        "flag_vs_label": profile.cross_tab(tx, S.LABEL, S.FLAG),
-        "class_balance": profile.cross_tab(tx, S.LABEL),
-        "label_by_type": profile.cross_tab(tx, S.KIND, S.LABEL),
-        "label_by_exchange": profile.cross_tab(typed, S.EXCHANGE, S.LABEL),
-        "fraud_by_type": profile.fraud_by(tx, S.KIND),
-        "fraud_by_exchange": profile.fraud_by(typed, S.EXCHANGE),
-        "mean_amount": profile.mean_by_label(tx),
-        "amount": profile.describe(tx),
+        "fraud_share": profile.fraud_share(cells, weight=weight),
+        "label_counts": profile.label_counts(cells, weight=weight),
+        "detection_rate": profile.detection_rate(cells, weight=weight),
+        "flag_vs_label": profile.cross_tab(cells, S.LABEL, S.FLAG, weight=weight),
+        "class_balance": profile.cross_tab(cells, S.LABEL, weight=weight),
+        "label_by_type": profile.cross_tab(cells, S.KIND, S.LABEL, weight=weight),
+        "label_by_exchange": profile.cross_tab(cells, S.EXCHANGE, S.LABEL, weight=weight),
+        "fraud_by_type": profile.fraud_by(cells, S.KIND, weight=weight),
+        "fraud_by_exchange": profile.fraud_by(cells, S.EXCHANGE, weight=weight),
+        "amounts": profile.amounts(tx),
         "senders": profile.sender_stats(tx),
         "top_senders": profile.top_senders(tx),
     }
@@ -68,19 +86,18 @@ def train_models(tx: DataFrame, settings: Forest = Forest(), *, train_percent: i
     return Models(train, test, full, leak_free)
 
 
-def compare(tx: DataFrame, models: Models) -> DataFrame:
+def compare(detection_rate: DataFrame, models: Models) -> DataFrame:
     """Both forests on the test rows next to the flag on all rows."""
     return evaluate.compare_models(
-        {m.name: m.evaluation for m in (models.full, models.leak_free)},
-        {RULE: profile.detection_rate(tx)},
+        {m.name: m.evaluation for m in (models.full, models.leak_free)}, {RULE: detection_rate}
     )
 
 
 def report(tx: DataFrame, settings: Forest = Forest()) -> dict[str, DataFrame]:
     """Every result table of the screening, by name."""
-    models = train_models(tx, settings)
     tables = explore(tx)
-    tables["model_comparison"] = compare(tx, models)
+    models = train_models(tx, settings)
+    tables["model_comparison"] = compare(tables["detection_rate"], models)
     tables["threshold_sweep"] = evaluate.threshold_sweep(models.leak_free.predictions)
     for key, model in (("full", models.full), ("leak_free", models.leak_free)):
         tables[f"evaluation_{key}"] = model.evaluation

@@ -1,7 +1,6 @@
 """Transactions in files: CSV and Parquet in, CSV out."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txscreen import schema as S
@@ -40,18 +39,19 @@ def read_csv(
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Scan Parquet files; columns are cast only where their type differs."""
+    """Scan Parquet files as they are stored.
+
+    A label kept as bigint, say, is not cast: the operators take any number,
+    and a cast would keep filters on it from the scan.
+    """
     df = spark.read.parquet(path)
     _require(df.columns, path)
-    declared = {f.name: f.dataType for f in S.TRANSACTION_SCHEMA}
-    return df.select(
-        [
-            F.col(f.name).cast(declared[f.name]).alias(f.name)
-            if f.name in declared and f.dataType != declared[f.name]
-            else F.col(f.name)
-            for f in df.schema
-        ]
-    )
+    for field in S.TRANSACTION_SCHEMA:
+        text = isinstance(df.schema[field.name].dataType, T.StringType)
+        if text != isinstance(field.dataType, T.StringType):
+            stored = df.schema[field.name].dataType.simpleString()
+            raise ValueError(f"{path}: {field.name} is stored as {stored}")
+    return df
 
 
 def write_csv(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
