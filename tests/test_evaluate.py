@@ -168,3 +168,10 @@ def test_confusion_is_sorted_and_complete(spark):
     rows = some_rows(100, 10)
     cells = [tuple(r) for r in evaluate.confusion(frame(spark, rows)).collect()]
     assert cells == sorted(cells) and sum(c[2] for c in cells) == 100
+
+
+def test_binned_area_is_close_to_the_exact_one(spark):
+    df = frame(spark, some_rows(4000, 3000))
+    exact = one(evaluate.roc_auc(df))["auc"]
+    assert evaluate.binned_auc(df) == pytest.approx(exact, abs=1e-2)
+    assert evaluate.binned_auc(df, bins=0) == pytest.approx(exact, abs=1e-9)

@@ -46,7 +46,7 @@ def rule_flag(
 
 def cents(amount: ColumnOrName) -> Column:
     """Amount as whole cents, a form that prints the same in every engine."""
-    return F.round(_col(amount) * F.lit(100.0), 0).cast("long")
+    return F.floor(_col(amount) * F.lit(100.0) + F.lit(0.5))
 
 
 def key_bucket(*keys: ColumnOrName, buckets: int = 100) -> Column:

@@ -2,6 +2,7 @@
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -97,6 +98,19 @@ def roc_auc(df: DataFrame, *, label: str = S.LABEL, score: str = "score") -> Dat
     return _ranked(df, label, score, []).select(_auc())
 
 
+def binned_auc(
+    df: DataFrame, *, label: str = S.LABEL, score: str = "score", bins: int = 1000
+) -> float:
+    """Area as MLlib's evaluator takes it, over ``bins`` groups of neighbouring scores.
+
+    Runs at once, and with bins the last digits depend on the partitioning.
+    """
+    evaluator = BinaryClassificationEvaluator(
+        labelCol=label, rawPredictionCol=score, metricName="areaUnderROC", numBins=bins
+    )
+    return evaluator.evaluate(df)
+
+
 def evaluation(
     df: DataFrame, *, label: str = S.LABEL, score: str = "score", prediction: str = "prediction"
 ) -> DataFrame:
@@ -119,20 +133,22 @@ def weighted_metrics(
         F.col(label).cast("double").alias("actual"), F.col(prediction).cast("double").alias("guess")
     ).agg(F.count(F.lit(1)).alias("n"))
     # Each cell counts for its actual class and for its predicted class.
+    hits = F.when(F.col("actual") == F.col("guess"), F.col("n")).otherwise(0)
+    none = F.lit(0).cast("long")
     sides = cells.select(
         F.explode(
             F.array(
                 F.struct(
                     F.col("actual").alias("class"),
                     F.col("n").alias("actual_n"),
-                    F.lit(0).cast("long").alias("guess_n"),
-                    F.when(F.col("actual") == F.col("guess"), F.col("n")).otherwise(0).alias("hit_n"),
+                    none.alias("guess_n"),
+                    hits.alias("hit_n"),
                 ),
                 F.struct(
                     F.col("guess").alias("class"),
-                    F.lit(0).cast("long").alias("actual_n"),
+                    none.alias("actual_n"),
                     F.col("n").alias("guess_n"),
-                    F.lit(0).cast("long").alias("hit_n"),
+                    none.alias("hit_n"),
                 ),
             )
         ).alias("side")
@@ -160,7 +176,9 @@ def weighted_metrics(
     )
 
 
-def _one_pass(df: DataFrame, key: str, cases: Sequence[tuple[Column, Column, Column]], label: str) -> DataFrame:
+def _one_pass(
+    df: DataFrame, key: str, cases: Sequence[tuple[Column, Column, Column]], label: str
+) -> DataFrame:
     """Outcome counts of several alerts over one scan, a row per alert.
 
     ``cases`` holds (name, rows that alert, rows that stay quiet). All counts

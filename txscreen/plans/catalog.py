@@ -5,15 +5,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txscreen import functions as fn
 from txscreen import schema as S
-from txscreen.functions import account_kind
 from txscreen.operators import evaluate, features, prepare, profile, sampling, training
 from txscreen.plans import screening
 from txscreen.sources import (
+    files,
     materialize,
     new_path,
     read_csv,
-    schema_profile,
     transactions_from_events,
     write_csv,
 )
@@ -81,11 +81,11 @@ def sample_roundtrip(tx):
 
 
 @_on(transactions)
-def schema_profile_inferred(tx):
+def schema_profile(tx):
     """Columns and types as Spark infers them from a CSV copy of the whole table."""
     path = new_path(tx.sparkSession, "inferred-csv")
     write_csv(tx, path)
-    return schema_profile(read_csv(tx.sparkSession, path, infer_schema=True))
+    return files.schema_profile(read_csv(tx.sparkSession, path, infer_schema=True))
 
 
 @_on(transactions)
@@ -123,11 +123,13 @@ def split_random(tx):
 
 
 @_on(transactions)
-def account_kind_counts(tx):
-    kinds = tx.select(
-        account_kind(S.SENDER).alias("sender_kind"), account_kind(S.RECEIVER).alias("receiver_kind")
+def account_kind(tx):
+    return tx.select(
+        S.SENDER,
+        fn.account_kind(S.SENDER).alias("sender_kind"),
+        S.RECEIVER,
+        fn.account_kind(S.RECEIVER).alias("receiver_kind"),
     )
-    return profile.cross_tab(kinds, "sender_kind", "receiver_kind")
 
 
 @_on(transactions)
@@ -372,7 +374,16 @@ def feature_importance(m):
 
 @_on(models)
 def auc_model(m):
-    return evaluate.roc_auc(m.leak_free.predictions)
+    """Of both forests: exact, and binned as MLlib's evaluator has it by default."""
+    rows = [
+        evaluate.roc_auc(t.predictions).select(
+            F.lit(t.name).alias("model"),
+            "auc",
+            F.lit(evaluate.binned_auc(t.predictions)).alias("auc_binned"),
+        )
+        for t in (m.full, m.leak_free)
+    ]
+    return rows[0].unionByName(rows[1])
 
 
 @_on(models)

@@ -50,10 +50,11 @@ WITH kinds AS (
     WHERE isFraud IS NOT NULL)
 ), bucketed AS (
   SELECT *, CAST('0x' || substr(md5(concat_ws('|', step, type,
-      CAST(ROUND(amount * 100, 0) AS BIGINT), nameOrig,
-      CAST(ROUND(oldbalanceOrg * 100, 0) AS BIGINT), CAST(ROUND(newbalanceOrig * 100, 0) AS BIGINT),
-      nameDest, CAST(ROUND(oldbalanceDest * 100, 0) AS BIGINT),
-      CAST(ROUND(newbalanceDest * 100, 0) AS BIGINT))), 1, 8) AS BIGINT) % 100 AS bucket
+      CAST(floor(amount * 100 + 0.5) AS BIGINT), nameOrig,
+      CAST(floor(oldbalanceOrg * 100 + 0.5) AS BIGINT),
+      CAST(floor(newbalanceOrig * 100 + 0.5) AS BIGINT),
+      nameDest, CAST(floor(oldbalanceDest * 100 + 0.5) AS BIGINT),
+      CAST(floor(newbalanceDest * 100 + 0.5) AS BIGINT))), 1, 8) AS BIGINT) % 100 AS bucket
   FROM tx
 ), type_index AS (
   SELECT type,
@@ -64,7 +65,8 @@ WITH kinds AS (
     CAST(row_number() OVER (ORDER BY count(*) DESC, typeEchange) - 1 AS DOUBLE) AS typeEchange_num
   FROM clean GROUP BY typeEchange
 ), per_score AS (
-  SELECT score, count(*) FILTER (WHERE isFraud = 1) AS pos, count(*) FILTER (WHERE isFraud = 0) AS neg
+  SELECT score, count(*) FILTER (WHERE isFraud = 1) AS pos,
+    count(*) FILTER (WHERE isFraud = 0) AS neg
   FROM scored GROUP BY score
 ), ranked AS (
   SELECT pos, neg,
@@ -162,13 +164,13 @@ _BODIES = {
     "scan_transactions": "SELECT * FROM tx",
     "csv_roundtrip": "SELECT * FROM tx",
     "sample_roundtrip": "SELECT * EXCLUDE (bucket) FROM bucketed WHERE bucket < 5",
-    "schema_profile_inferred": _schema_rows(),
+    "schema_profile": _schema_rows(),
     "preview": f"SELECT * FROM tx ORDER BY {', '.join(S.TRANSACTION_SCHEMA.names)} LIMIT 5",
     "sample_hash": "SELECT * EXCLUDE (bucket) FROM bucketed WHERE bucket < 5",
     "split_hash": """SELECT * EXCLUDE (bucket),
         CASE WHEN bucket < 80 THEN 'train' ELSE 'test' END AS part FROM bucketed""",
-    "account_kind_counts": """SELECT substr(nameOrig, 1, 1) AS sender_kind,
-        substr(nameDest, 1, 1) AS receiver_kind, count(*) AS row_count FROM tx GROUP BY 1, 2""",
+    "account_kind": """SELECT nameOrig, substr(nameOrig, 1, 1) AS sender_kind, nameDest,
+        substr(nameDest, 1, 1) AS receiver_kind FROM tx""",
     "exchange_type": "SELECT * FROM typed",
     "clean_features": f"SELECT {', '.join(S.CLEAN_COLUMNS)} FROM typed",
     "fraud_rows": "SELECT * FROM tx WHERE isFraud = 1",

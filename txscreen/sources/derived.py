@@ -7,6 +7,7 @@ from txscreen import schema as S
 # The expressions the expected results were worked out with (FIXTURES.md).
 _ORIGIN = "CAST((event_id % 7) * 10000 AS DOUBLE)"
 _DESTINATION = "CAST((event_id % 11) * 5000 AS DOUBLE)"
+_K = "CAST(get_json_object(props, '$.k') AS INT)"
 _KIND = """
     CASE event_type WHEN 'view' THEN 'PAYMENT' WHEN 'signup' THEN 'CASH_IN'
     WHEN 'click' THEN 'DEBIT' WHEN 'purchase' THEN 'TRANSFER' ELSE 'CASH_OUT' END
@@ -23,7 +24,7 @@ _COLUMNS = {
     S.SENDER: "concat('C', user_id)",
     "oldbalanceOrg": _ORIGIN,
     "newbalanceOrig": f"greatest(round({_ORIGIN} - amount, 2), 0D)",
-    S.RECEIVER: "concat(if(type = 'PAYMENT', 'M', 'C'), CAST(get_json_object(props, '$.k') AS INT))",
+    S.RECEIVER: f"concat(if(type = 'PAYMENT', 'M', 'C'), {_K})",
     "oldbalanceDest": _DESTINATION,
     "newbalanceDest": f"round({_DESTINATION} + amount, 2)",
     S.LABEL: _LABEL,

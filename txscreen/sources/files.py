@@ -61,4 +61,5 @@ def write_csv(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
 def schema_profile(df: DataFrame) -> DataFrame:
     """One row per column: position, name and type."""
     rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)]
-    return df.sparkSession.createDataFrame(rows, "position int, column_name string, column_type string")
+    types = "position int, column_name string, column_type string"
+    return df.sparkSession.createDataFrame(rows, types)

@@ -16,7 +16,7 @@ def _root(spark: SparkSession) -> str:
     if root:
         return root.rstrip("/")
     if not context.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is not set; it must name a folder all executors share")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="txscreen-"))
     return context.getCheckpointDir()
 
