@@ -90,3 +90,32 @@ def test_stored_tables_go_to_the_shared_folder(spark):
     stored = materialize(transactions(spark, {}, {}), "t")
     assert stored.count() == 2
     assert all(f.split("://")[-1].startswith(shared) for f in stored.inputFiles())
+
+
+class FakeSession:
+    """Just what decides on the folder for stored tables."""
+
+    def __init__(self, master, configured=None):
+        self.folder = None
+        self.conf = self.sparkContext = self
+        self.master, self.configured = master, configured
+
+    def get(self, key, default):
+        return self.configured or default
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_shared_folder_comes_from_the_session():
+    assert new_path(FakeSession("yarn", "hdfs://x/y/"), "t").startswith("hdfs://x/y/t-")
+
+
+def test_without_a_shared_folder_only_a_local_session_makes_one():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        new_path(FakeSession("yarn"), "t")
+    local = FakeSession("local[2]")
+    assert new_path(local, "t").startswith(local.folder)

@@ -117,10 +117,10 @@ def train_and_evaluate(
     indexers: StringIndexerModel | None = None,
     allow_late: bool = False,
 ) -> Trained:
-    """Fit on ``train``, score ``test`` once and store the scored rows.
+    """Fit on ``train``, score ``test`` once, store the scored rows and their evaluation.
 
-    Evaluation, confusion matrix, threshold sweep and preview then read three
-    stored columns instead of running the forest again.
+    Confusion matrix, threshold sweep and preview then read three stored
+    columns instead of running the forest again.
     """
     model = fit_forest(
         train, columns, settings, label=label, indexers=indexers, allow_late=allow_late
@@ -131,6 +131,6 @@ def train_and_evaluate(
         columns=tuple(columns),
         model=model,
         predictions=predictions,
-        evaluation=evaluate.evaluation(predictions, label=label),
+        evaluation=materialize(evaluate.evaluation(predictions, label=label), "evaluation"),
         importances=importances(train.sparkSession, model, columns),
     )
