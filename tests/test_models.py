@@ -124,3 +124,12 @@ def test_job_on_a_sample(spark, tx, tmp_path):
     sample = screening.load(spark, source, fraction=0.5)
     assert 0.45 < sample.count() / tx.count() < 0.55
     assert sorted(map(str, sample.collect())) == sorted(map(str, sample.collect()))
+
+
+def test_job_prints_every_table(spark, tx, tmp_path, capsys):
+    source = str(tmp_path / "tx")
+    tx.write.parquet(source)
+    main([source, "--format", "parquet", "--trees", "10", "--fraction", "0.5"])
+    printed = capsys.readouterr().out
+    for name in ("detection_rate", "top_senders", "model_comparison", "threshold_sweep"):
+        assert f"{name}\n+" in printed

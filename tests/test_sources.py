@@ -1,10 +1,12 @@
+import os
+
 import pytest
 from conftest import DATA
 from frames import BASE, transactions
 
 from txscreen.plans import catalog
 from txscreen.schema import TRANSACTION_SCHEMA
-from txscreen.sources import files, materialize, new_path
+from txscreen.sources import files, job_folder, materialize, new_path
 
 
 def as_set(df):
@@ -119,3 +121,20 @@ def test_without_a_shared_folder_only_a_local_session_makes_one():
         new_path(FakeSession("yarn"), "t")
     local = FakeSession("local[2]")
     assert new_path(local, "t").startswith(local.folder)
+
+
+def test_job_folder_is_gone_after_the_job(spark):
+    with job_folder(spark) as folder:
+        stored = materialize(transactions(spark, {}), "t")
+        assert stored.count() == 1
+        assert all(f.split("://")[-1].startswith(f"{folder}/t-") for f in stored.inputFiles())
+        assert os.path.isdir(folder)
+    assert not os.path.exists(folder)
+    assert "/job-" not in new_path(spark, "t")
+
+
+def test_job_folder_is_gone_after_a_failure(spark):
+    with pytest.raises(RuntimeError), job_folder(spark) as folder:
+        materialize(transactions(spark, {}), "t")
+        raise RuntimeError
+    assert not os.path.exists(folder)

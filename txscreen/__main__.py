@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 
 from txscreen.operators.training import Forest
 from txscreen.plans import screening
+from txscreen.sources import job_folder
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
@@ -22,16 +23,17 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
 def main(argv: list[str] | None = None) -> None:
     args = arguments(argv)
     spark = SparkSession.builder.appName("txscreen").getOrCreate()
-    tx = screening.load(
-        spark, args.path, file_format=args.format, fraction=args.fraction, seed=args.seed
-    )
-    tables = screening.report(tx, Forest(num_trees=args.trees, seed=args.seed))
-    for name, table in tables.items():
-        if args.output:
-            table.write.mode("overwrite").parquet(f"{args.output}/{name}")
-        else:
-            print(name)
-            table.show(truncate=False)
+    with job_folder(spark):
+        tx = screening.load(
+            spark, args.path, file_format=args.format, fraction=args.fraction, seed=args.seed
+        )
+        tables = screening.report(tx, Forest(num_trees=args.trees, seed=args.seed))
+        for name, table in tables.items():
+            if args.output:
+                table.write.mode("overwrite").parquet(f"{args.output}/{name}")
+            else:
+                print(name)
+                table.show(truncate=False)
 
 
 if __name__ == "__main__":

@@ -3,7 +3,7 @@
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -66,7 +66,7 @@ def _ranked(df: DataFrame, label: str, score: str, extra: Sequence[Column]) -> D
     sums = [c for c in per_score.columns if c != score]
     wide = "decimal(19,0)"
 
-    def up_to_now(window: W) -> Column:
+    def up_to_now(window: WindowSpec) -> Column:
         before = window.rowsBetween(W.unboundedPreceding, -1)
         return F.coalesce(F.sum("neg").over(before), F.lit(0))
 

@@ -7,8 +7,10 @@ from txscreen import schema as S
 from txscreen.functions import exchange_type, rule_flag
 
 
-def with_exchange_type(df: DataFrame, *, column: str = S.EXCHANGE) -> DataFrame:
-    return df.withColumn(column, exchange_type())
+def with_exchange_type(
+    df: DataFrame, *, sender: str = S.SENDER, receiver: str = S.RECEIVER, column: str = S.EXCHANGE
+) -> DataFrame:
+    return df.withColumn(column, exchange_type(sender, receiver))
 
 
 def with_rule_flag(df: DataFrame, *, column: str = "ruleFlag", **rule) -> DataFrame:

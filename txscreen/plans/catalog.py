@@ -114,8 +114,24 @@ def split_hash(tx):
 @_on(transactions)
 def split_random(tx):
     first, second = sampling.random_split(materialize(prepare.clean(tx), "clean"))
-    return first.withColumn("part", F.lit("train")).unionByName(
-        second.withColumn("part", F.lit("test"))
+    return first.withColumn("part", F.lit(sampling.TRAIN)).unionByName(
+        second.withColumn("part", F.lit(sampling.TEST))
+    )
+
+
+@_on(transactions)
+def split_random_rows(tx):
+    """Both random parts together: every clean row, each once."""
+    first, second = sampling.random_split(materialize(prepare.clean(tx), "clean"))
+    return first.unionByName(second)
+
+
+@_on(transactions)
+def train_test_rows(tx):
+    """The stored tables that forests are trained and tested on."""
+    train, test = training.train_test_tables(tx)
+    return train.withColumn("part", F.lit(sampling.TRAIN)).unionByName(
+        test.withColumn("part", F.lit(sampling.TEST))
     )
 
 

@@ -169,6 +169,11 @@ _BODIES = {
     "sample_hash": "SELECT * EXCLUDE (bucket) FROM bucketed WHERE bucket < 5",
     "split_hash": """SELECT * EXCLUDE (bucket),
         CASE WHEN bucket < 80 THEN 'train' ELSE 'test' END AS part FROM bucketed""",
+    "split_random_rows": "SELECT * FROM clean",
+    "train_test_rows": """SELECT step, type, amount, oldbalanceOrg, newbalanceOrig,
+        oldbalanceDest, newbalanceDest, substr(nameOrig, 1, 1) || substr(nameDest, 1, 1)
+        AS typeEchange, isFraud, CASE WHEN bucket < 80 THEN 'train' ELSE 'test' END AS part
+        FROM (SELECT DISTINCT * FROM bucketed) WHERE isFraud IS NOT NULL""",
     "account_kind": """SELECT nameOrig, substr(nameOrig, 1, 1) AS sender_kind, nameDest,
         substr(nameDest, 1, 1) AS receiver_kind FROM tx""",
     "exchange_type": "SELECT * FROM typed",

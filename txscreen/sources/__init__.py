@@ -1,8 +1,9 @@
 from txscreen.sources.derived import transactions_from_events
 from txscreen.sources.files import read_csv, read_parquet, schema_profile, write_csv
-from txscreen.sources.scratch import materialize, new_path
+from txscreen.sources.scratch import job_folder, materialize, new_path
 
 __all__ = [
+    "job_folder",
     "materialize",
     "new_path",
     "read_csv",

@@ -6,9 +6,15 @@ checkpointed one, is read column by column.
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Folder of the job that is running, below the shared one.
+_job: ContextVar[str] = ContextVar("job", default="")
+
 
 def _root(spark: SparkSession) -> str:
     context = spark.sparkContext
@@ -23,15 +29,32 @@ def _root(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nobody has used yet."""
-    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_root(spark)}/{_job.get()}{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as Parquet and return a scan of what was written.
 
-    The table stays until its folder is cleared, since the returned DataFrame
-    reads it whenever it is run.
+    The returned DataFrame reads the table whenever it is run, so the table
+    stays; inside ``job_folder`` until that ends.
     """
     path = new_path(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def job_folder(spark: SparkSession) -> Iterator[str]:
+    """Keep the tables stored meanwhile in one folder, and delete it at the end.
+
+    Collect or write the results before that.
+    """
+    job = f"job-{uuid.uuid4().hex}"
+    folder = f"{_root(spark)}/{job}"
+    token = _job.set(f"{job}/")
+    try:
+        yield folder
+    finally:
+        _job.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
