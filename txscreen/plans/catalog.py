@@ -44,12 +44,17 @@ def models(spark: SparkSession, sf_dir: str) -> screening.Models:
     return _MODELS[key]
 
 
+def _comparable(df: DataFrame) -> DataFrame:
+    """Labels as doubles: integers with nulls have no one form in pandas."""
+    return df.withColumn(S.LABEL, F.col(S.LABEL).cast("double")) if S.LABEL in df.columns else df
+
+
 def _on(source: Callable[[SparkSession, str], object]):
     """Register a query that starts from ``source(spark, sf_dir)``."""
 
     def decorate(build):
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(source(spark, sf_dir))
+            return _comparable(build(source(spark, sf_dir)))
 
         QUERIES[build.__name__] = query
         return build

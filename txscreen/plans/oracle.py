@@ -229,4 +229,19 @@ _BODIES = {
     "threshold_sweep": _sweep(),
 }
 
-ORACLE_SQL = {name: _DERIVED + body for name, body in _BODIES.items()}
+# Results that show the label; it is given as a double there, as some labels are null.
+_WITH_LABEL = """
+    scan_transactions csv_roundtrip sample_roundtrip preview sample_hash split_hash
+    split_random_rows train_test_rows exchange_type clean_features fraud_rows missed_by_flag
+    drop_null_label rule_flag dedup_rows clean_transactions class_balance flag_vs_label
+    label_by_type label_by_exchange leakfree_columns confusion_matrix
+""".split()
+
+
+def _comparable(name: str, body: str) -> str:
+    if name not in _WITH_LABEL:
+        return body
+    return f"SELECT * REPLACE (CAST(isFraud AS DOUBLE) AS isFraud) FROM ({body})"
+
+
+ORACLE_SQL = {name: _DERIVED + _comparable(name, body) for name, body in _BODIES.items()}
