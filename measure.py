@@ -4,8 +4,8 @@ import json
 
 import bench
 from txscreen import schema as S
-from txscreen.operators import prepare, profile
-from txscreen.operators.evaluate import threshold_sweep
+from txscreen.operators import features, prepare, profile, sampling, training
+from txscreen.operators.evaluate import binned_auc, threshold_sweep
 from txscreen.plans import catalog, screening
 from txscreen.sources import materialize
 
@@ -50,6 +50,24 @@ def shared_tables(tx) -> None:
         table.collect()
 
 
+def separate_training(tx) -> None:
+    """Nothing stored: every pass starts from the raw rows again."""
+    train, test = sampling.random_split(prepare.clean(tx))
+    for columns in (features.FULL, features.LEAK_FREE):
+        model = training.fit_forest(train, columns, allow_late=True)
+        predictions = training.score(model, test)
+        binned_auc(predictions)
+        for case in ("1 AND prediction = 1", "1 AND prediction = 0", "0 AND prediction = 1"):
+            predictions.filter(f"{S.LABEL} = {case}").count()
+    separate_sweep(materialize(predictions, "predictions"))
+
+
+def shared_training(tx) -> None:
+    models = screening.train_models(tx)
+    screening.compare(profile.detection_rate(tx), models).collect()
+    threshold_sweep(models.leak_free.predictions).collect()
+
+
 def main() -> None:
     spark = bench.session()
     tx = materialize(catalog.transactions(spark, bench.SF_DIR), "transactions")
@@ -61,6 +79,8 @@ def main() -> None:
         "sweep_one_pass": lambda: threshold_sweep(rows).collect(),
         "tables_one_scan_each": lambda: separate_tables(tx),
         "tables_from_cells": lambda: shared_tables(tx),
+        "training_from_raw_rows": lambda: separate_training(tx),
+        "training_from_stored_rows": lambda: shared_training(tx),
     }
     for run in cases.values():
         run()

@@ -47,22 +47,23 @@ def train_test_tables(
     """
     if random_seed is not None:
         stored = materialize(prepare.clean(df), "clean")
-        return sampling.random_split(stored, train_percent / 100, random_seed)
+        train, test = sampling.random_split(stored, train_percent / 100, random_seed)
+        return _spread(train), test
     parts = sampling.with_part(prepare.unique_labelled(df), train_percent)
     kept = prepare.with_exchange_type(parts).select(*S.CLEAN_COLUMNS, "part")
     table = materialize(kept, "clean", partition_by=("part",))
     train = table.filter(F.col("part") == sampling.TRAIN).drop("part")
     test = table.filter(F.col("part") == sampling.TEST).drop("part")
-    return train, test
+    return _spread(train), test
 
 
-def _spread(df: DataFrame) -> DataFrame:
+def _spread(scan: DataFrame) -> DataFrame:
     """At least one partition per core: growing trees costs far more than reading.
 
     A large table has more partitions than that and is left as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
 def fit_forest(
@@ -76,6 +77,7 @@ def fit_forest(
 ) -> PipelineModel:
     """Indexers, assembler and forest as one fitted pipeline.
 
+    Passes over ``train`` several times, so it should be a stored table.
     ``indexers`` fitted before on the same rows are taken over as they are.
     """
     columns = features.check_leaks(columns, allow_late=allow_late)
@@ -85,7 +87,7 @@ def fit_forest(
         featuresCol="features", labelCol=label, numTrees=settings.num_trees, seed=settings.seed
     )
     stages = [indexers, features.assembler(columns, handle_invalid=settings.handle_invalid), forest]
-    return Pipeline(stages=stages).fit(_spread(train))
+    return Pipeline(stages=stages).fit(train)
 
 
 def score(model: PipelineModel, df: DataFrame, *, label: str = S.LABEL) -> DataFrame:
