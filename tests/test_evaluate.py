@@ -11,7 +11,8 @@ SCHEMA = "isFraud int, score double, prediction double"
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(y, s, float(s is not None and s > 0.5)) for y, s in rows], SCHEMA)
+    predicted = [(y, s, float(s is not None and s > 0.5)) for y, s in rows]
+    return spark.createDataFrame(predicted, SCHEMA)
 
 
 def brute_auc(rows):
@@ -29,7 +30,8 @@ def some_rows(n, distinct, seed=1):
 @pytest.mark.parametrize("distinct", [1, 2, 7, 100, 10_000])
 def test_auc_against_all_pairs(spark, distinct):
     rows = some_rows(600, distinct)
-    assert one(evaluate.roc_auc(frame(spark, rows)))["auc"] == pytest.approx(brute_auc(rows), abs=1e-12)
+    auc = one(evaluate.roc_auc(frame(spark, rows)))["auc"]
+    assert auc == pytest.approx(brute_auc(rows), abs=1e-12)
 
 
 @pytest.mark.parametrize("adaptive", ["true", "false"])
@@ -53,7 +55,8 @@ def test_auc_does_not_depend_on_the_ranges(spark, adaptive, slices):
 
 def test_auc_with_a_third_of_the_rows_on_one_score(spark):
     rows = some_rows(400, 300) + [(int(i % 5 == 0), 0.25) for i in range(200)]
-    assert one(evaluate.roc_auc(frame(spark, rows)))["auc"] == pytest.approx(brute_auc(rows), abs=1e-12)
+    auc = one(evaluate.roc_auc(frame(spark, rows)))["auc"]
+    assert auc == pytest.approx(brute_auc(rows), abs=1e-12)
 
 
 def test_auc_agrees_with_the_unbinned_evaluator(spark):
@@ -158,7 +161,8 @@ def test_comparison_of_alerts(spark):
     df = spark.createDataFrame(
         [(1, 1, 0), (1, 0, 1), (0, 0, 1), (None, 1, 1)], "isFraud int, a int, b int"
     )
-    rows = {r.system: r for r in evaluate.compare_alerts(df, {"first": "a", "second": "b"}).collect()}
+    compared = evaluate.compare_alerts(df, {"first": "a", "second": "b"})
+    rows = {r.system: r for r in compared.collect()}
     assert (rows["first"].caught, rows["first"].missed, rows["first"].false_alerts) == (1, 1, 0)
     assert (rows["second"].caught, rows["second"].missed, rows["second"].false_alerts) == (1, 1, 1)
     assert rows["first"].recall_percent == 50.0

@@ -37,7 +37,12 @@ def test_exchange_type(spark):
 
 @pytest.mark.parametrize(
     "kind, amount, flag",
-    [("TRANSFER", 200000.0, 0), ("TRANSFER", 200000.01, 1), ("CASH_OUT", 900000.0, 0), (None, 1e9, 0)],
+    [
+        ("TRANSFER", 200000.0, 0),
+        ("TRANSFER", 200000.01, 1),
+        ("CASH_OUT", 900000.0, 0),
+        (None, 1e9, 0),
+    ],
 )
 def test_rule_flag(spark, kind, amount, flag):
     tx = transactions(spark, {"type": kind, "amount": amount})
@@ -115,7 +120,8 @@ def test_random_sample_size(spark):
 def test_fraud_probability_of_a_one_class_model(spark):
     from pyspark.ml.linalg import Vectors
 
-    df = spark.createDataFrame([(Vectors.dense(1.0),), (Vectors.dense(0.25, 0.75),)], ["probability"])
+    vectors = [(Vectors.dense(1.0),), (Vectors.dense(0.25, 0.75),)]
+    df = spark.createDataFrame(vectors, ["probability"])
     scores = df.select(fn.fraud_probability().alias("s")).collect()
     assert [r.s for r in scores] == [0.0, 0.75]
 

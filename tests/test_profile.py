@@ -38,7 +38,8 @@ def test_empty_table(spark):
         "row_count": 0, "fraud": 0, "normal": 0, "caught": 0, "missed": 0,
         "mean_fraud": 0.0, "mean_normal": 0.0,
     }
-    assert one(profile.sender_stats(empty)) == {"row_count": 0, "senders": 0, "rows_per_sender": 0.0}
+    senders = one(profile.sender_stats(empty))
+    assert senders == {"row_count": 0, "senders": 0, "rows_per_sender": 0.0}
     assert one(profile.fraud_share(empty))["fraud_percent"] == 0.0
 
 
