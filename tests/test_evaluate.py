@@ -2,6 +2,8 @@ import random
 
 import pytest
 from frames import one
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
@@ -179,3 +181,19 @@ def test_binned_area_is_close_to_the_exact_one(spark):
     exact = one(evaluate.roc_auc(df))["auc"]
     assert evaluate.binned_auc(df) == pytest.approx(exact, abs=1e-2)
     assert evaluate.binned_auc(df, bins=0) == pytest.approx(exact, abs=1e-9)
+
+
+LABELS = st.sampled_from([0, 0, 1, None])
+SCORES = st.one_of(st.none(), st.sampled_from([0.0, 0.05, 0.3, 0.5, 1.0]), st.floats(0, 1))
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=st.lists(st.tuples(LABELS, SCORES), max_size=40))
+def test_any_rows(spark, rows):
+    df = frame(spark, rows)
+    known = [(y, s) for y, s in rows if s is not None]
+    fraud = sum(y == 1 for y, _ in known)
+    assert one(evaluate.roc_auc(df))["auc"] == pytest.approx(brute_auc(known), abs=1e-12)
+    for r in evaluate.threshold_sweep(df).collect():
+        assert r.tp + r.fn == fraud
+        assert r.fp == sum(y == 0 and s >= r.threshold for y, s in known)
