@@ -187,7 +187,7 @@ LABELS = st.sampled_from([0, 0, 1, None])
 SCORES = st.one_of(st.none(), st.sampled_from([0.0, 0.05, 0.3, 0.5, 1.0]), st.floats(0, 1))
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(rows=st.lists(st.tuples(LABELS, SCORES), max_size=40))
 def test_any_rows(spark, rows):
     df = frame(spark, rows)
