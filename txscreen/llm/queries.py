@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txscreen.llm import ann, bpe, langid, linedup, mixing, quality, reputation, sharding
+from txscreen.llm import ann, bpe, jaccard, langid, linedup, mixing, quality, reputation, sharding
 from txscreen.llm.common import read
 
 
@@ -13,6 +13,10 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join_documents(read(spark, folder, "documents"))
+
+
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     definition = bpe.load_definition(word_bpe_path())
     return bpe.encode_documents(read(spark, folder, "documents"), definition)
@@ -50,6 +54,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (
+        op1_jaccard,
         op2_bpe,
         op4_lines,
         op5_quality,
