@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txscreen.llm import ann, bpe, jaccard, langid, linedup, mixing, quality, reputation, sharding
+from txscreen.llm import ann, bpe, jaccard, langid, linedup, mixing, quality, reputation, sharding, substrings
 from txscreen.llm.common import read
 
 
@@ -22,6 +22,10 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(read(spark, folder, "documents"), definition)
 
 
+def op3_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeats(read(spark, folder, "documents"))
+
+
 def op4_lines(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     return linedup.digest(linedup.drop_frequent_lines(docs))
@@ -56,6 +60,7 @@ QUERIES = {
     for q in (
         op1_jaccard,
         op2_bpe,
+        op3_substrings,
         op4_lines,
         op5_quality,
         op6_mix,
