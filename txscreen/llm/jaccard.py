@@ -564,17 +564,15 @@ def join_documents(
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group of linked ones: the one with the smallest id.
+    """One document of each group of linked ones, the one with the smallest id, as it is.
 
-    Rows that repeat an id or have none are kept apart by their text; equal
-    rows count as copies. Documents without a word stay.
+    Rows that share an id stay or go together; of those that share their text
+    too, one stays. Rows without an id stay, and so do documents without a
+    word, but for repeated rows.
     """
-    found = join_documents(docs).filter(
-        F.col("component_id").eqNullSafe(F.col("doc_id"))
-    )
-    kept = found.select(F.col("doc_id").alias("_kept")).distinct()
-    return (
-        docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-        .dropDuplicates(["doc_id"])
-        .select(*docs.columns)
-    )
+    found = join_documents(docs)
+    first = found.filter(F.col("doc_id") == F.col("component_id"))
+    kept = first.select(F.col("doc_id").alias("_kept")).distinct()
+    own = F.col("doc_id").isNull() | F.col("_kept").isNotNull()
+    joined = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left").filter(own)
+    return joined.dropDuplicates(["doc_id", "text"]).select(*docs.columns)

@@ -72,11 +72,12 @@ def mix(
     text: str = "text",
     source: str = "source",
     inclusion: str | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """How many words, and so how many copies, of every document the mix takes.
 
     Returns doc_id, source, size (words), source_size, target, copies and
-    taken (words, repeats counted) of every row. A null text has size 0; a
+    taken (words, repeats counted) of every row, and the columns in ``keep``. A null text has size 0; a
     null source is one more source, behind the others; repeated rows are
     documents of their own. An empty table gives no rows. The random numbers
     come from a seeded hash of the id, so reruns agree.
@@ -99,6 +100,7 @@ def mix(
             word_count(text).alias("size"),
             key.alias("key"),
             F.greatest(F.coalesce(favour, F.lit(1.0)), F.lit(1e-9)).alias("favour"),
+            *keep,
         ),
         "sizes",
     )
@@ -152,9 +154,27 @@ def mix(
         "target",
         copies.alias("copies"),
         (copies * F.col("size")).alias("taken"),
+        *keep,
     )
 
 
+
+def apply_mix(docs: DataFrame, **settings) -> DataFrame:
+    """Rows of ``docs`` as often as ``mix`` takes them, none to ``max_copies`` times.
+
+    Rows that repeat an id and text are taken alike, as often as the one of
+    them that is taken most. The texts are shuffled once, by id.
+    """
+    marked = docs.withColumn("_mark", F.xxhash64(F.col("text"), F.col("source")))
+    taken = mix(marked, keep=["_mark"], **settings).groupBy("doc_id", "_mark")
+    taken = taken.agg(F.max("copies").cast("int").alias("_copies"))
+    taken = taken.withColumnsRenamed({"doc_id": "_id", "_mark": "_same"})
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_same"))
+    found = marked.join(taken.filter("_copies > 0"), same)
+    times = F.explode(F.array_repeat(F.lit(1), F.col("_copies")))
+    return found.select(*docs.columns, times.alias("_time")).select(*docs.columns)
+
+
 SQL = f"""
 WITH rows AS (
   SELECT doc_id, source,
