@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txscreen.llm import bpe, langid, linedup, mixing
+from txscreen.llm import bpe, jaccard, langid, linedup, mixing
 from txscreen.llm.common import read
 from txscreen.llm.queries import word_bpe_path
 from txscreen.sources import materialize
@@ -34,6 +34,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose shingles overlap enough."""
+    return jaccard.keep_first(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of every document as the mix takes, from none to three."""
     return mixing.apply_mix(docs)
@@ -47,6 +52,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language", identify_language),
     ("lines", drop_lines),
+    ("near-duplicates", join_near_duplicates),
     ("mix", mix_sources),
     ("encode", encode_tokens),
 ]
