@@ -165,9 +165,9 @@ def _predictor(model: list[tuple[str, np.ndarray]]):
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            found = [predict(t.as_py()) for t in batch.column("text")]
-            kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "text"]
-            names = [n for n in batch.schema.names if n != "text"]
+            # The text to read is the last column.
+            found = [predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            kept, names = batch.columns[:-1], batch.schema.names[:-1]
             kept.append(pa.array([f[0] for f in found], pa.string()))
             kept.append(pa.array([f[1] for f in found], pa.float64()))
             yield pa.RecordBatch.from_arrays(kept, [*names, "lang_pred", "score"])
@@ -175,15 +175,20 @@ def _predictor(model: list[tuple[str, np.ndarray]]):
     return batches
 
 
-def predict(docs: DataFrame, profiles: DataFrame, *, text: str = "text") -> DataFrame:
-    """Add lang_pred and score (0 to 1, higher is nearer) to every row, in place of the text.
+def predict(
+    docs: DataFrame, profiles: DataFrame, *, text: str = "text", keep_text: bool = False
+) -> DataFrame:
+    """Add lang_pred and score (0 to 1, higher is nearer) to every row.
+
+    Other columns pass through, the text only with ``keep_text``.
 
     A null text and one without a letter get ``und`` and 0. Equal distances go
     to the first name. Each row is judged by its text alone.
     """
-    others = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
-    few = docs.select(*others, F.col(text).alias("text"))
-    schema = T.StructType([f for f in few.schema if f.name != "text"])
+    others = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    others = others if keep_text else [c for c in others if c != text]
+    few = docs.select(*others, F.col(text).alias("_read"))
+    schema = T.StructType(list(few.schema)[:-1])
     schema = schema.add("lang_pred", "string").add("score", "double")
     return few.mapInArrow(_predictor(_model(profiles)), schema)
 
@@ -217,6 +222,6 @@ def keep_identified(docs: DataFrame, *, min_score: float = 0.0) -> DataFrame:
     """
     known = docs.filter(fold() != HELD_OUT)
     profiles = materialize(train_profiles(known), "profiles")
-    judged = predict(docs.withColumn("_text", F.col("text")), profiles, text="_text")
+    judged = predict(docs, profiles, keep_text=True)
     kept = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)
     return judged.filter(kept).select(*docs.columns)
