@@ -247,7 +247,7 @@ def encode_documents(
     few = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = T.StructType([few.schema["doc_id"]]).add("n_tokens", "long")
     if with_ids:
-        schema = schema.add("ids", "array<int>").add("decoded", "string")
+        schema = schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
     schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,3 +31,12 @@ def sha256(text: Column) -> Column:
 def no_value(column: str) -> Column:
     """True where ``column`` is null: sorts nulls behind all values."""
     return F.col(column).isNull()
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns c0, c1 and so on, and the new name of each.
+
+    Whatever the caller's columns are called, they can't clash with an operator's.
+    """
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from txscreen.llm.common import numbered
 from txscreen.llm.components import connected
 from txscreen.sources import materialize
 
@@ -572,7 +573,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """
     found = join_documents(docs)
     first = found.filter(F.col("doc_id") == F.col("component_id"))
-    kept = first.select(F.col("doc_id").alias("_kept")).distinct()
-    own = F.col("doc_id").isNull() | F.col("_kept").isNotNull()
-    joined = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left").filter(own)
-    return joined.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    kept = first.select(F.col("doc_id").alias("kept")).distinct()
+    plain, names = numbered(docs)
+    key, text = names["doc_id"], names["text"]
+    joined = plain.join(kept, F.col(key) == F.col("kept"), "left")
+    joined = joined.filter(F.col(key).isNull() | F.col("kept").isNotNull())
+    single = joined.dropDuplicates([key, text])
+    return single.select(*plain.columns).toDF(*docs.columns)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from txscreen.llm.common import numbered
 from txscreen.sources import materialize
 
 UNKNOWN = "und"
@@ -222,6 +223,7 @@ def keep_identified(docs: DataFrame, *, min_score: float = 0.0) -> DataFrame:
     """
     known = docs.filter(fold() != HELD_OUT)
     profiles = materialize(train_profiles(known), "profiles")
-    judged = predict(docs, profiles, keep_text=True)
+    plain, names = numbered(docs)
+    judged = predict(plain, profiles, text=names["text"], keep_text=True)
     kept = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)
-    return judged.filter(kept).select(*docs.columns)
+    return judged.filter(kept).select(*plain.columns).toDF(*docs.columns)

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txscreen.llm.common import WHITE, ascii_lower, sha256
+from txscreen.llm.common import WHITE, ascii_lower, numbered, sha256
 from txscreen.sources import materialize
 
 #: A line in this many documents goes; keys shorter than MIN_CHARS stay.
@@ -149,25 +149,18 @@ def drop_frequent_lines(
         .groupBy("doc", "mark")
         .agg(F.sort_array(F.collect_set("place")).alias("gone"))
     )
-    own, mark = f"{doc_id}", F.xxhash64(F.col(text))
-    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col(own).alias("doc"))
-    marked = marked.withColumn("mark", F.xxhash64(F.col(f"row.{text}")))
-    hit = dropped.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), "gone")
-    same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark"))
-    found = marked.join(hit, same, "left").select(
-        "row.*", F.coalesce("gone", F.array().cast("array<int>")).alias("_gone")
+    plain, names = numbered(docs)
+    own, own_text = F.col(names[doc_id]), F.col(names[text])
+    same = own.eqNullSafe(F.col("doc")) & (F.xxhash64(own_text) == F.col("mark"))
+    found = plain.join(dropped, same, "left")
+    gone = F.coalesce("gone", F.array().cast("array<int>"))
+    lines_of_text = text_lines(names[text])
+    kept = F.when(F.size(gone) == 0, F.coalesce(own_text, F.lit(""))).otherwise(
+        F.array_join(_without(lines_of_text, gone), "\n")
     )
-    split = text_lines(text)
-    kept = F.when(F.size("_gone") == 0, F.coalesce(F.col(text), F.lit(""))).otherwise(
-        F.array_join(_without(split, F.col("_gone")), "\n")
-    )
-    return found.withColumns(
-        {
-            "kept_text": kept,
-            "n_lines": F.size(split).cast("long"),
-            "n_dropped": F.size("_gone").cast("long"),
-        }
-    ).drop("_gone")
+    counts = [F.size(c).cast("long") for c in (lines_of_text, gone)]
+    added = ("kept_text", "n_lines", "n_dropped")
+    return found.select(*plain.columns, kept, *counts).toDF(*docs.columns, *added)
 
 
 def _without(lines: Column, gone: Column) -> Column:

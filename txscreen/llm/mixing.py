@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txscreen.llm.common import WORD
+from txscreen.llm.common import WORD, numbered
 from txscreen.llm.ranking import running_totals
 from txscreen.sources import materialize
 
@@ -165,14 +165,15 @@ def apply_mix(docs: DataFrame, **settings) -> DataFrame:
     Rows that repeat an id and text are taken alike, as often as the one of
     them that is taken most. The texts are shuffled once, by id.
     """
-    marked = docs.withColumn("_mark", F.xxhash64(F.col("text"), F.col("source")))
-    taken = mix(marked, keep=["_mark"], **settings).groupBy("doc_id", "_mark")
-    taken = taken.agg(F.max("copies").cast("int").alias("_copies"))
-    taken = taken.withColumnsRenamed({"doc_id": "_id", "_mark": "_same"})
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_same"))
-    found = marked.join(taken.filter("_copies > 0"), same)
-    times = F.explode(F.array_repeat(F.lit(1), F.col("_copies")))
-    return found.select(*docs.columns, times.alias("_time")).select(*docs.columns)
+    own = docs.select("doc_id", "text", "source", F.xxhash64("text", "source").alias("mark"))
+    taken = mix(own, keep=["mark"], **settings).groupBy("doc_id", "mark")
+    taken = taken.agg(F.max("copies").cast("int").alias("copies")).filter("copies > 0")
+    plain, names = numbered(docs)
+    key, text, source = (names[c] for c in ("doc_id", "text", "source"))
+    same = F.col(key).eqNullSafe(F.col("doc_id")) & (F.xxhash64(text, source) == F.col("mark"))
+    times = F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("time")
+    found = plain.join(taken, same).select(*plain.columns, times)
+    return found.drop("time").toDF(*docs.columns)
 
 
 SQL = f"""

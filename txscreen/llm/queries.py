@@ -2,7 +2,19 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txscreen.llm import ann, bpe, jaccard, langid, linedup, mixing, quality, reputation, sharding, substrings
+from txscreen.llm import (
+    ann,
+    bpe,
+    jaccard,
+    langid,
+    linedup,
+    mixing,
+    oracle,
+    quality,
+    reputation,
+    sharding,
+    substrings,
+)
 from txscreen.llm.common import read
 
 
@@ -72,7 +84,11 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_jaccard": oracle.JACCARD,
+    "op3_substrings": oracle.SUBSTRINGS,
     "op4_lines": linedup.SQL,
+    "op5_quality": oracle.QUALITY,
     "op6_mix": mixing.SQL,
     "op8_urls": reputation.SQL,
+    "op9_shards": oracle.SHARDS,
 }

@@ -82,23 +82,3 @@ def interleaved(
         (F.col("place") - start).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
-
-
-# DuckDB has no CRC-32; the checksum is compared in the tests.
-SQL = f"""
-WITH ranked AS (
-  SELECT doc_id, source, strlen(coalesce(text, '')) + 1 AS size,
-    row_number() OVER (PARTITION BY source
-      ORDER BY md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), doc_id) AS r,
-    count(*) OVER (PARTITION BY source) AS n
-  FROM documents),
-placed AS (
-  SELECT *, row_number() OVER (ORDER BY (2 * r - 1) / (2 * n)::DOUBLE,
-    source IS NULL, source) - 1 AS g, count(*) OVER () AS rows
-  FROM ranked)
-SELECT doc_id, source, size::BIGINT AS size, 'rows' AS law,
-  (g * {SHARDS} // rows)::INT AS shard,
-  (g - ((g * {SHARDS} // rows) * rows + {SHARDS - 1}) // {SHARDS})::BIGINT AS slot,
-  NULL::INT AS grown_shard
-FROM placed
-"""
