@@ -103,7 +103,7 @@ class FakeSession:
         self.master, self.configured = master, configured
 
     def get(self, key, default):
-        return self.configured or default
+        return self.configured or default if key == "spark.checkpoint.dir" else default
 
     def getCheckpointDir(self):
         return self.folder
@@ -116,6 +116,12 @@ def test_shared_folder_comes_from_the_session():
     assert new_path(FakeSession("yarn", "hdfs://x/y/"), "t").startswith("hdfs://x/y/t-")
 
 
+def test_a_folder_of_one_machine_is_refused_on_a_cluster():
+    with pytest.raises(ValueError, match="one machine"):
+        new_path(FakeSession("yarn", "file:///tmp/x"), "t")
+    assert new_path(FakeSession("local[2]", "file:///tmp/x"), "t").startswith("file:///tmp/x/t-")
+
+
 def test_without_a_shared_folder_only_a_local_session_makes_one():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         new_path(FakeSession("yarn"), "t")
@@ -125,12 +131,14 @@ def test_without_a_shared_folder_only_a_local_session_makes_one():
 
 def test_job_folder_is_gone_after_the_job(spark):
     with job_folder(spark) as folder:
-        stored = materialize(transactions(spark, {}), "t")
-        assert stored.count() == 1
-        assert all(f.split("://")[-1].startswith(f"{folder}/t-") for f in stored.inputFiles())
+        stored = materialize(transactions(spark, {}, {"type": "X"}), "t", partition_by=("type",))
+        assert stored.filter("type = 'X'").count() == 1
+        assert all(f"{folder}/t_" in f for f in stored.inputFiles())
+        assert new_path(spark, "t").startswith(f"{folder}/t-")
         assert os.path.isdir(folder)
     assert not os.path.exists(folder)
-    assert "/job-" not in new_path(spark, "t")
+    assert "/job_" not in new_path(spark, "t")
+    assert not [d for d in spark.catalog.listDatabases() if d.name.startswith("job_")]
 
 
 def test_job_folder_is_gone_after_a_failure(spark):

@@ -4,6 +4,7 @@ A written table cuts the lineage, survives the loss of executors and, unlike a
 checkpointed one, is read column by column.
 """
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,24 +13,36 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Folder of the job that is running, below the shared one.
-_job: ContextVar[str] = ContextVar("job", default="")
+# Database of the job that is running, and its folder below the shared one.
+_job: ContextVar[tuple[str, str] | None] = ContextVar("job", default=None)
+
+# Folders made for local sessions; they go when the process ends.
+_made: list[tempfile.TemporaryDirectory] = []
+
+#: Set to true where ``file:`` names a file system that all machines mount.
+SHARED_FILES = "spark.txscreen.sharedFiles"
 
 
 def _root(spark: SparkSession) -> str:
     context = spark.sparkContext
+    local = context.master.startswith("local")
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root:
+        shared = str(spark.conf.get(SHARED_FILES, None)).lower() == "true"
+        if root.startswith("file:") and not local and not shared:
+            raise ValueError(f"{root} may be a folder of one machine; set {SHARED_FILES} if not")
         return root.rstrip("/")
-    if not context.master.startswith("local"):
+    if not local:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="txscreen-"))
+    _made.append(tempfile.TemporaryDirectory(prefix="txscreen-", ignore_cleanup_errors=True))
+    context.setCheckpointDir(_made[-1].name)
     return context.getCheckpointDir()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that nobody has used yet."""
-    return f"{_root(spark)}/{_job.get()}{name}-{uuid.uuid4().hex}"
+    """A path under the shared folder, or the running job's, that nobody has used yet."""
+    job = _job.get()
+    return f"{job[1] if job else _root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -38,23 +51,31 @@ def materialize(df: DataFrame, name: str, *, partition_by: tuple[str, ...] = ())
     The returned DataFrame reads the table whenever it is run, so the table
     stays; inside ``job_folder`` until that ends.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, job = df.sparkSession, _job.get()
+    writer = df.write.format("parquet").partitionBy(*partition_by)
+    if job:
+        table = f"{job[0]}.{re.sub('[^A-Za-z0-9]', '_', name)}_{uuid.uuid4().hex}"
+        writer.saveAsTable(table)
+        return spark.table(table).select(*df.columns)
+    path = new_path(spark, name)
+    writer.save(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def job_folder(spark: SparkSession) -> Iterator[str]:
-    """Keep the tables stored meanwhile in one folder, and delete it at the end.
+    """Keep the tables stored meanwhile in one database and folder, and drop both at the end.
 
-    Collect or write the results before that.
+    The folder is the job's own, below the shared one. Collect or write the
+    results before the end.
     """
-    job = f"job-{uuid.uuid4().hex}"
-    folder = f"{_root(spark)}/{job}"
-    token = _job.set(f"{job}/")
+    name = f"job_{uuid.uuid4().hex}"
+    folder = f"{_root(spark)}/{name}"
+    place = folder.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{place}'")
+    token = _job.set((name, folder))
     try:
         yield folder
     finally:
         _job.reset(token)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        spark.sql(f"DROP DATABASE {name} CASCADE")
