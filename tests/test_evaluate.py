@@ -8,6 +8,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClass
 from pyspark.sql import functions as F
 
 from txscreen.operators import evaluate
+from txscreen.schema import THRESHOLDS
 
 SCHEMA = "isFraud int, score double, prediction double"
 
@@ -125,7 +126,7 @@ def test_weighted_metrics_of_no_rows(spark):
 def test_sweep_against_single_counts(spark):
     rows = some_rows(300, 40)
     swept = {r.threshold: r for r in evaluate.threshold_sweep(frame(spark, rows)).collect()}
-    assert list(swept) == [0.5, 0.3, 0.2, 0.1, 0.05]
+    assert tuple(swept) == THRESHOLDS
     for t, r in swept.items():
         assert r.tp == sum(y == 1 and s >= t for y, s in rows)
         assert r.fn == sum(y == 1 and s < t for y, s in rows)
@@ -197,3 +198,34 @@ def test_any_rows(spark, rows):
     for r in evaluate.threshold_sweep(df).collect():
         assert r.tp + r.fn == fraud
         assert r.fp == sum(y == 0 and s >= r.threshold for y, s in known)
+
+
+@pytest.mark.parametrize("count", [0, 1, 5, 1000])
+def test_sweep_of_any_list(spark, count):
+    """Unsorted and repeated thresholds, ties with scores, null and NaN scores, null labels."""
+    rnd = random.Random(count)
+    rows = [(rnd.choice([0, 1, None]), rnd.randrange(200) / 200) for _ in range(400)]
+    rows += [(1, None), (0, None), (1, float("nan")), (0, float("nan"))]
+    rows += [(1, float("inf")), (0, float("-inf"))]
+    thresholds = [rnd.randrange(-20, 220) / 200 for _ in range(count)]
+    found = evaluate.threshold_sweep(frame(spark, rows), thresholds).collect()
+    known = [(y, s) for y, s in rows if s is not None]
+
+    def alerts(score, t):
+        return score != score or score >= t
+
+    wanted = [
+        (
+            t,
+            sum(y == 1 and alerts(s, t) for y, s in known),
+            sum(y == 1 and not alerts(s, t) for y, s in known),
+            sum(y == 0 and alerts(s, t) for y, s in known),
+        )
+        for t in thresholds
+    ]
+    assert [tuple(r)[:4] for r in found] == wanted
+
+
+def test_sweep_refuses_what_is_no_number(spark):
+    with pytest.raises(ValueError, match="finite"):
+        evaluate.threshold_sweep(frame(spark, []), [0.5, float("nan")])

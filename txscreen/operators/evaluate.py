@@ -1,8 +1,11 @@
 """Evaluation of a score, a predicted class or any alert against the label."""
 
+import bisect
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -200,15 +203,51 @@ def threshold_sweep(
 ) -> DataFrame:
     """Recall and false alerts when every score at or above a threshold alerts.
 
+    A row is placed between two thresholds by binary search and counted there,
+    so neither the work per row nor the plan grows with the list; sums over
+    the few places follow. Rows come in the order of ``thresholds``, repeated
+    ones too. A null score neither alerts nor stays quiet, NaN always alerts.
     Mind that a model's own class at 0.5 leaves out a score of exactly 0.5.
     """
-    cases = [
-        (F.lit(float(t)), F.col(score) >= float(t), F.col(score) < float(t)) for t in thresholds
-    ]
-    return _one_pass(df, "threshold", cases, label).select(
+    asked = [float(t) for t in thresholds]
+    if not all(map(math.isfinite, asked)):
+        raise ValueError("thresholds must be finite numbers")
+    steps = sorted(set(asked))
+    scored = df.filter(F.col(score).isNotNull()).select(
+        F.col(label).alias("label"), F.col(score).cast("double").alias("score")
+    )
+    # Place i: the scores from the i-th step on; NaN goes to one place more.
+    splits = [-math.inf, *steps, math.inf] if steps else [-math.inf, 0.0, math.inf]
+    bucketizer = Bucketizer(
+        splits=splits, inputCol="score", outputCol="place", handleInvalid="keep"
+    )
+    placed = bucketizer.transform(scored).groupBy(F.col("place").cast("int").alias("place"))
+    counts = placed.agg(
+        F.count_if(F.col("label") == 1).alias("fraud"),
+        F.count_if(F.col("label") == 0).alias("normal"),
+    )
+    # A row without counts for each threshold takes up the sums of all places
+    # from its own on: peers in the order count as well.
+    rows = [(bisect.bisect_left(steps, t) + 1, 0, 0, i, t) for i, t in enumerate(asked)]
+    types = "place int, fraud long, normal long, position int, threshold double"
+    wanted = df.sparkSession.createDataFrame(rows, types)
+    above = W.orderBy(F.desc("place"))
+    summed = counts.unionByName(wanted, allowMissingColumns=True).select(
+        "position",
         "threshold",
-        *_OUTCOMES,
-        ratio(F.col("tp") * F.lit(100.0), F.col("tp") + F.col("fn")).alias("recall_percent"),
+        F.sum("fraud").over(above).alias("tp"),
+        F.sum("normal").over(above).alias("fp"),
+        F.sum("fraud").over(W.partitionBy()).alias("fraud"),
+    )
+    return (
+        summed.filter(F.col("position").isNotNull())
+        .withColumn("fn", F.col("fraud") - F.col("tp"))
+        .orderBy("position")
+        .select(
+            "threshold",
+            *_OUTCOMES,
+            ratio(F.col("tp") * F.lit(100.0), F.col("tp") + F.col("fn")).alias("recall_percent"),
+        )
     )
 
 
