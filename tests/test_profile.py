@@ -82,10 +82,21 @@ def test_exploration_agrees_with_single_operators(spark):
     explored = screening.explore(tx)
     for name, table in expected.items():
         assert sorted(map(str, explored[name].collect())) == sorted(map(str, table.collect())), name
+    senders = [explored[n].collect() for n in ("senders", "top_senders")]
+    assert senders == [profile.sender_stats(tx).collect(), profile.top_senders(tx).collect()]
     amounts = one(explored["amounts"])
     assert amounts == pytest.approx({**one(profile.describe(tx)), **one(profile.mean_by_label(tx))})
 
 
+def test_amounts_of_cells_with_nulls_and_none(spark):
+    rows = [{"amount": a, "isFraud": y} for a, y in ((1e9, 1), (None, 1), (1e9 + 1, 0), (5.0, None))]
+    tx = prepare.with_exchange_type(transactions(spark, *rows))
+    for table in (tx, tx.filter("step < 0"), tx.filter("amount IS NULL"), tx.limit(1)):
+        cells = profile.cells(table, "type", "isFraud", amount="amount")
+        found, plain = one(profile.cell_amounts(cells)), one(profile.amounts(table))
+        assert {k: v and pytest.approx(v) for k, v in plain.items()} == found
+
+
 def test_preview_is_ordered(spark):
     tx = transactions(spark, {"step": 3}, {"step": 1}, {"step": 2})
     assert [r.step for r in profile.preview(tx.repartition(3), 2).collect()] == [1, 2]

@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from txscreen import schema as S
@@ -44,10 +45,18 @@ def without_late_columns(
     return df.drop(*known_late)
 
 
+def check_invalid(handle_invalid: str) -> str:
+    """``error`` or ``keep``: skipping would drop rows without a word."""
+    if handle_invalid not in ("error", "keep"):
+        raise ValueError(f"handle_invalid is error or keep, not {handle_invalid}")
+    return handle_invalid
+
+
 def fit_indexers(
     df: DataFrame, categories: Sequence[str] = CATEGORIES, *, handle_invalid: str = "error"
 ) -> StringIndexerModel:
     """Index all ``categories`` by frequency, most frequent first, in one pass."""
+    check_invalid(handle_invalid)
     return StringIndexer(
         inputCols=list(categories),
         outputCols=[index_name(c) for c in categories],
@@ -56,18 +65,19 @@ def fit_indexers(
 
 
 def index_table(df: DataFrame, category: str) -> DataFrame:
-    """Every value of ``category`` with its index, from one counting pass.
+    """Every value of ``category`` with the index a fitted indexer gives it.
 
-    The values pass through the driver, as they do in any fitted indexer: this
-    is for categories, not for account ids.
+    Nothing passes through the driver. Numbering the values takes one task, a
+    row per value: this is for categories, not for account ids.
     """
-    labels = fit_indexers(df, [category]).labelsArray[0]
-    rows = [(value, float(i)) for i, value in enumerate(labels)]
-    types = f"{category} string, {index_name(category)} double"
-    return df.sparkSession.createDataFrame(rows, types)
+    values = df.filter(F.col(category).isNotNull()).groupBy(category)
+    counts = values.agg(F.count(F.lit(1)).alias("row_count"))
+    place = F.row_number().over(W.orderBy(F.desc("row_count"), F.col(category))) - 1
+    return counts.select(category, place.cast("double").alias(index_name(category)))
 
 
 def assembler(columns: Sequence[str], *, handle_invalid: str = "error") -> VectorAssembler:
+    check_invalid(handle_invalid)
     return VectorAssembler(
         inputCols=list(columns), outputCol="features", handleInvalid=handle_invalid
     )

@@ -59,13 +59,60 @@ def _value_aggregates(column: str) -> list[Column]:
     ]
 
 
-def cells(df: DataFrame, *keys: str) -> DataFrame:
+def cells(df: DataFrame, *keys: str, amount: str | None = None) -> DataFrame:
     """Rows per combination of a few coarse ``keys``.
 
     Pass it on with ``weight="row_count"``: every count below over these keys
-    then comes from a handful of rows instead of a scan of its own.
+    then comes from a handful of rows instead of a scan of its own. With
+    ``amount`` each cell also holds moments that ``cell_amounts`` combines.
     """
-    return df.groupBy(*keys).agg(_rows().alias("row_count"))
+    if amount is None:
+        return df.groupBy(*keys).agg(_rows().alias("row_count"))
+    return df.groupBy(*keys).agg(
+        _rows().alias("row_count"),
+        F.count(amount).alias("value_count"),
+        F.avg(amount).alias("mean"),
+        (F.var_pop(amount) * F.count(amount)).alias("squares"),
+        F.min(amount).alias("min"),
+        F.max(amount).alias("max"),
+    )
+
+
+def cell_amounts(cells: DataFrame, *, label: str = S.LABEL) -> DataFrame:
+    """What ``amounts`` gives, from the moments of a few dozen cells.
+
+    Squares are sums of squared distances from each cell's mean, so that
+    nothing large cancels when they are combined.
+    """
+    n, mean = F.col("value_count"), F.col("mean")
+
+    def mean_of(*condition: Column) -> Column:
+        used = mean.isNotNull()
+        for c in condition:
+            used &= c
+        total = F.sum(F.when(used, mean * n))
+        return total / F.sum(F.when(used, n))
+
+    whole = cells.agg(
+        F.coalesce(F.sum("value_count"), F.lit(0)).alias("value_count"),
+        mean_of().alias("mean"),
+        F.collect_list(F.struct("value_count", "mean", "squares")).alias("parts"),
+        F.min("min").alias("min"),
+        F.max("max").alias("max"),
+        F.coalesce(mean_of(F.col(label) == 1), F.lit(0.0)).alias("mean_fraud"),
+        F.coalesce(mean_of(F.col(label) == 0), F.lit(0.0)).alias("mean_normal"),
+    )
+    squares = F.aggregate(
+        F.filter("parts", lambda p: p["mean"].isNotNull()),
+        F.lit(0.0),
+        lambda total, p: total
+        + p["squares"]
+        + p["value_count"] * F.pow(p["mean"] - F.col("mean"), F.lit(2.0)),
+    )
+    stddev = F.when(F.col("value_count") > 1, F.sqrt(squares / (F.col("value_count") - 1)))
+    return whole.select(
+        "value_count", "mean", stddev.alias("stddev"), "min", "max", "mean_fraud", "mean_normal"
+    )
 
 
 def label_counts(
@@ -123,12 +170,13 @@ def rows_per_sender(df: DataFrame, *, sender: str = S.SENDER) -> DataFrame:
     return df.groupBy(sender).agg(F.count(F.lit(1)).alias("row_count"))
 
 
-def sender_stats(df: DataFrame, *, sender: str = S.SENDER) -> DataFrame:
+def sender_stats(df: DataFrame, *, sender: str = S.SENDER, counted: bool = False) -> DataFrame:
     """Rows, distinct senders and rows per sender.
 
     Counts the groups rather than distinct values: a null sender is one group.
+    With ``counted``, ``df`` is a stored result of ``rows_per_sender``.
     """
-    per_sender = rows_per_sender(df, sender=sender)
+    per_sender = df if counted else rows_per_sender(df, sender=sender)
     totals = per_sender.agg(
         F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count"),
         F.count(F.lit(1)).alias("senders"),
@@ -136,9 +184,14 @@ def sender_stats(df: DataFrame, *, sender: str = S.SENDER) -> DataFrame:
     return totals.withColumn("rows_per_sender", F.round(ratio("row_count", "senders"), 2))
 
 
-def top_senders(df: DataFrame, k: int = 10, *, sender: str = S.SENDER) -> DataFrame:
-    """The ``k`` busiest senders; equal counts in order of the sender's name."""
-    per_sender = rows_per_sender(df, sender=sender)
+def top_senders(
+    df: DataFrame, k: int = 10, *, sender: str = S.SENDER, counted: bool = False
+) -> DataFrame:
+    """The ``k`` busiest senders; equal counts in order of the sender's name.
+
+    With ``counted``, ``df`` is a stored result of ``rows_per_sender``.
+    """
+    per_sender = df if counted else rows_per_sender(df, sender=sender)
     return per_sender.orderBy(F.desc("row_count"), F.asc(sender)).limit(k)
 
 
