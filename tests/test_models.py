@@ -56,6 +56,36 @@ def test_random_split_of_the_clean_rows(tx):
     assert train.count() + test.count() == 9896
 
 
+@pytest.mark.parametrize("files", [1, 3, 31])
+def test_forest_does_not_depend_on_the_files(spark, models, tmp_path, files):
+    rows = models.train.repartition(files)
+    rows.write.parquet(str(tmp_path / "train"))
+    stored = training._laid_out(spark.read.parquet(str(tmp_path / "train")), SMALL.partitions)
+    again = training.fit_forest(stored, features.LEAK_FREE, SMALL)
+    before = models.leak_free
+    assert sorted(training.score(again, models.test).collect()) == sorted(before.predictions.collect())
+    weights = training.importances(spark, again, features.LEAK_FREE).collect()
+    assert weights == before.importances.collect()
+
+
+def test_rows_are_never_skipped():
+    for build in (
+        lambda: Forest(handle_invalid="skip"),
+        lambda: features.assembler(features.LEAK_FREE, handle_invalid="skip"),
+        lambda: features.fit_indexers(None, handle_invalid="skip"),
+    ):
+        with pytest.raises(ValueError, match="error or keep"):
+            build()
+
+
+def test_kept_invalid_rows_are_scored(spark, tx):
+    rows = tx.unionByName(transactions(spark, *[{"nameOrig": None, "step": i} for i in range(30)]))
+    keeping = Forest(5, 5, "keep", 4)
+    found = screening.train_models(rows, keeping)
+    assert found.leak_free.predictions.count() == found.test.count()
+    assert found.test.filter("typeEchange IS NULL").count() > 0
+
+
 def test_importances_sum_to_one(models):
     for trained in (models.full, models.leak_free):
         rows = trained.importances.collect()
@@ -126,6 +156,19 @@ def test_job_on_a_sample(spark, tx, tmp_path):
     assert sorted(map(str, sample.collect())) == sorted(map(str, sample.collect()))
 
 
+def test_job_with_every_argument(spark, tx, tmp_path):
+    source, output = str(tmp_path / "csv"), str(tmp_path / "out")
+    copies = transactions(spark, *[{"nameOrig": None}] * 5)
+    tx.unionByName(copies).write.csv(source, header=True)
+    arguments = "--trees 3 --partitions 2 --split random --invalid keep --infer-schema --unique"
+    main([source, *arguments.split(), "--fraction", "0.5", "--all-senders", "--output", output])
+    senders = one(spark.read.parquet(f"{output}/senders"))
+    assert senders["row_count"] == tx.count() + 5
+    counts = one(spark.read.parquet(f"{output}/label_counts"))
+    assert counts["row_count"] < 0.55 * tx.count()
+    assert spark.read.parquet(f"{output}/model_comparison").count() == 3
+
+
 def test_job_prints_every_table(spark, tx, tmp_path, capsys):
     source = str(tmp_path / "tx")
     tx.write.parquet(source)

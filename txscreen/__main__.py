@@ -16,6 +16,15 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--fraction", type=float, help="work on a random sample of this size")
     parser.add_argument("--trees", type=int, default=50)
     parser.add_argument("--seed", type=int, default=67)
+    parser.add_argument("--partitions", type=int, default=Forest.partitions,
+                        help="partitions of the training rows; part of the model, like the seed")
+    parser.add_argument("--split", choices=("hash", "random"), default="hash")
+    parser.add_argument("--invalid", choices=("error", "keep"), default="error",
+                        help="null or unseen categories: fail, or keep as one of their own")
+    parser.add_argument("--infer-schema", action="store_true", help="let Spark find CSV types")
+    parser.add_argument("--unique", action="store_true", help="explore without exact copies")
+    parser.add_argument("--all-senders", action="store_true",
+                        help="with --fraction, figures of senders from the whole input")
     parser.add_argument("--output", help="write each result table to a folder below this one")
     return parser.parse_args(argv)
 
@@ -24,10 +33,16 @@ def main(argv: list[str] | None = None) -> None:
     args = arguments(argv)
     spark = SparkSession.builder.appName("txscreen").getOrCreate()
     with job_folder(spark):
-        tx = screening.load(
-            spark, args.path, file_format=args.format, fraction=args.fraction, seed=args.seed
+        source = {"file_format": args.format, "infer_schema": args.infer_schema}
+        tx = screening.load(spark, args.path, fraction=args.fraction, seed=args.seed, **source)
+        whole = args.fraction is not None and args.all_senders
+        tables = screening.report(
+            tx,
+            Forest(args.trees, args.seed, args.invalid, args.partitions),
+            random_seed=args.seed if args.split == "random" else None,
+            unique=args.unique,
+            senders_of=screening.load(spark, args.path, **source) if whole else None,
         )
-        tables = screening.report(tx, Forest(num_trees=args.trees, seed=args.seed))
         for name, table in tables.items():
             if args.output:
                 table.write.mode("overwrite").parquet(f"{args.output}/{name}")

@@ -22,6 +22,12 @@ class Forest:
     num_trees: int = 50
     seed: int = 67
     handle_invalid: str = "error"
+    #: Partitions of the training rows. MLlib samples by partition and place in
+    #: it, so this number is part of the model, as the seed is.
+    partitions: int = 64
+
+    def __post_init__(self) -> None:
+        features.check_invalid(self.handle_invalid)
 
 
 @dataclass(frozen=True)
@@ -37,7 +43,11 @@ class Trained:
 
 
 def train_test_tables(
-    df: DataFrame, train_percent: int = 80, *, random_seed: int | None = None
+    df: DataFrame,
+    train_percent: int = 80,
+    *,
+    random_seed: int | None = None,
+    partitions: int = Forest.partitions,
 ) -> tuple[DataFrame, DataFrame]:
     """Clean and split ``df`` into stored tables, once for all models.
 
@@ -48,22 +58,25 @@ def train_test_tables(
     if random_seed is not None:
         stored = materialize(prepare.clean(df), "clean")
         train, test = sampling.random_split(stored, train_percent / 100, random_seed)
-        return _spread(train), test
+        return _laid_out(train, partitions), test
     parts = sampling.with_part(prepare.unique_labelled(df), train_percent)
     kept = prepare.with_exchange_type(parts).select(*S.CLEAN_COLUMNS, "part")
     table = materialize(kept, "clean", partition_by=("part",))
     train = table.filter(F.col("part") == sampling.TRAIN).drop("part")
     test = table.filter(F.col("part") == sampling.TEST).drop("part")
-    return _spread(train), test
+    return _laid_out(train, partitions), test
 
 
-def _spread(scan: DataFrame) -> DataFrame:
-    """At least one partition per core: growing trees costs far more than reading.
+def _laid_out(train: DataFrame, partitions: int) -> DataFrame:
+    """The rows in one order over a given number of partitions, however they are stored.
 
-    A large table has more partitions than that and is left as it is.
+    Dealt by a hash of the whole row and sorted, equal rows being
+    interchangeable, so that a forest depends on rows, seed and ``partitions``
+    alone: not on files, cores or the size of the table. For a large table the
+    number should be one that fits a few hundred MB each.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    dealt = train.repartition(partitions, *S.CLEAN_COLUMNS)
+    return dealt.sortWithinPartitions(*S.CLEAN_COLUMNS)
 
 
 def fit_forest(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from txscreen import schema as S
 from txscreen.operators import evaluate, features, profile, sampling, training
-from txscreen.operators.prepare import with_exchange_type
+from txscreen.operators.prepare import drop_duplicate_rows, with_exchange_type
 from txscreen.operators.training import Forest, Trained
 from txscreen.sources import materialize, read_csv, read_parquet
 
@@ -30,13 +30,17 @@ def load(
     file_format: str = "csv",
     fraction: float | None = None,
     seed: int = 67,
+    infer_schema: bool = False,
 ) -> DataFrame:
     """Transactions of ``path``, all of them or a random ``fraction``.
 
     CSV rows and random samples are stored once: CSV would be parsed whole for
     every table, and a sample drawn again need not be the same sample.
     """
-    df = read_csv(spark, path) if file_format == "csv" else read_parquet(spark, path)
+    if file_format == "csv":
+        df = read_csv(spark, path, infer_schema=infer_schema)
+    else:
+        df = read_parquet(spark, path)
     if fraction is not None:
         df = sampling.random_sample(df, fraction, seed)
     elif file_format != "csv":
@@ -44,14 +48,17 @@ def load(
     return materialize(df, "transactions")
 
 
-def explore(tx: DataFrame) -> dict[str, DataFrame]:
+def explore(tx: DataFrame, *, senders_of: DataFrame | None = None) -> dict[str, DataFrame]:
     """Result tables of the exploration.
 
-    All counts come from one stored pass over the four coarse columns; amounts
-    take a second pass, and the senders one shuffle for each of their tables.
+    All counts and amounts come from one stored pass over five columns. Rows
+    per sender, of ``senders_of`` where ``tx`` is a sample of it, are counted
+    and stored once for both tables of senders.
     """
-    coarse = profile.cells(with_exchange_type(tx), S.KIND, S.EXCHANGE, S.LABEL, S.FLAG)
-    cells = materialize(coarse, "cells")
+    keys = (S.KIND, S.EXCHANGE, S.LABEL, S.FLAG)
+    cells = materialize(profile.cells(with_exchange_type(tx), *keys, amount=S.AMOUNT), "cells")
+    senders = profile.rows_per_sender(tx if senders_of is None else senders_of)
+    senders = materialize(senders, "senders")
     weight = "row_count"
     return {
         "fraud_share": profile.fraud_share(cells, weight=weight),
@@ -63,19 +70,28 @@ def explore(tx: DataFrame) -> dict[str, DataFrame]:
         "label_by_exchange": profile.cross_tab(cells, S.EXCHANGE, S.LABEL, weight=weight),
         "fraud_by_type": profile.fraud_by(cells, S.KIND, weight=weight),
         "fraud_by_exchange": profile.fraud_by(cells, S.EXCHANGE, weight=weight),
-        "amounts": profile.amounts(tx),
-        "senders": profile.sender_stats(tx),
-        "top_senders": profile.top_senders(tx),
+        "amounts": profile.cell_amounts(cells),
+        "senders": profile.sender_stats(senders, counted=True),
+        "top_senders": profile.top_senders(senders, counted=True),
     }
 
 
-def train_models(tx: DataFrame, settings: Forest = Forest(), *, train_percent: int = 80) -> Models:
+def train_models(
+    tx: DataFrame,
+    settings: Forest = Forest(),
+    *,
+    train_percent: int = 80,
+    random_seed: int | None = None,
+) -> Models:
     """Fit the forest with and the one without the balances known too late.
 
     The rows are cleaned and stored once, and both forests share the split and
-    the category indexes.
+    the category indexes. The split goes by a hash of the row; with
+    ``random_seed`` it is a random one.
     """
-    train, test = training.train_test_tables(tx, train_percent)
+    train, test = training.train_test_tables(
+        tx, train_percent, random_seed=random_seed, partitions=settings.partitions
+    )
     indexers = features.fit_indexers(train, handle_invalid=settings.handle_invalid)
     full = training.train_and_evaluate(
         train, test, features.FULL, WITH_BALANCES, settings, indexers=indexers, allow_late=True
@@ -93,10 +109,22 @@ def compare(detection_rate: DataFrame, models: Models) -> DataFrame:
     )
 
 
-def report(tx: DataFrame, settings: Forest = Forest()) -> dict[str, DataFrame]:
-    """Every result table of the screening, by name."""
-    tables = explore(tx)
-    models = train_models(tx, settings)
+def report(
+    tx: DataFrame,
+    settings: Forest = Forest(),
+    *,
+    random_seed: int | None = None,
+    unique: bool = False,
+    senders_of: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """Every result table of the screening, by name.
+
+    With ``unique`` the exploration looks at the rows without exact copies,
+    unlabelled ones included.
+    """
+    seen = materialize(drop_duplicate_rows(tx), "unique") if unique else tx
+    tables = explore(seen, senders_of=senders_of)
+    models = train_models(tx, settings, random_seed=random_seed)
     tables["model_comparison"] = compare(tables["detection_rate"], models)
     tables["threshold_sweep"] = evaluate.threshold_sweep(models.leak_free.predictions)
     for key, model in (("full", models.full), ("leak_free", models.leak_free)):
