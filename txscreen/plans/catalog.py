@@ -44,8 +44,22 @@ def models(spark: SparkSession, sf_dir: str) -> screening.Models:
     return _MODELS[key]
 
 
+#: Queries whose labels are never null; all others give them as doubles, since
+#: integers with nulls have no one form in pandas.
+WHOLE_LABELS = (
+    "fraud_rows",
+    "missed_by_flag",
+    "drop_null_label",
+    "clean_transactions",
+    "split_random_rows",
+    "train_test_rows",
+    "leakfree_columns",
+    "confusion_matrix",
+    "scored_labels",
+)
+
+
 def _comparable(df: DataFrame) -> DataFrame:
-    """Labels as doubles: integers with nulls have no one form in pandas."""
     return df.withColumn(S.LABEL, F.col(S.LABEL).cast("double")) if S.LABEL in df.columns else df
 
 
@@ -54,7 +68,8 @@ def _on(source: Callable[[SparkSession, str], object]):
 
     def decorate(build):
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return _comparable(build(source(spark, sf_dir)))
+            result = build(source(spark, sf_dir))
+            return result if build.__name__ in WHOLE_LABELS else _comparable(result)
 
         QUERIES[build.__name__] = query
         return build
@@ -140,6 +155,14 @@ def train_test_rows(tx):
     )
 
 
+@_on(transactions)
+def sample_and_rest(tx):
+    """A stored random sample with all that isn't in it: the whole table again."""
+    stored = materialize(tx, "transactions")
+    sample = materialize(sampling.random_sample(stored, 0.05), "sample")
+    return sample.unionByName(stored.exceptAll(sample))
+
+
 # Projections and scalar functions
 
 
@@ -412,6 +435,57 @@ def threshold_sweep_model(m):
     return evaluate.threshold_sweep(m.leak_free.predictions)
 
 
+@_on(models)
+def scored_labels(m):
+    """Rows scored per model and label, and those with a score from 0 to 1."""
+    rated = F.count_if(F.col("score").between(0.0, 1.0)).alias("rated")
+    rows = [
+        t.predictions.groupBy(F.lit(t.name).alias("model"), S.LABEL).agg(
+            F.count(F.lit(1)).alias("row_count"), rated
+        )
+        for t in (m.full, m.leak_free)
+    ]
+    return rows[0].unionByName(rows[1])
+
+
+@_on(models)
+def sweep_totals_model(m):
+    """Caught and missed together, at each threshold all the fraud there is."""
+    return evaluate.threshold_sweep(m.leak_free.predictions).select(
+        "threshold", (F.col("tp") + F.col("fn")).alias("fraud")
+    )
+
+
+@_on(models)
+def importance_check(m):
+    """Features per model, and their importances' sum."""
+    rows = [
+        t.importances.agg(
+            F.lit(t.name).alias("model"),
+            F.array_join(F.sort_array(F.collect_list("variable")), ",").alias("variables"),
+            F.round(F.sum("importance"), 6).alias("total"),
+        )
+        for t in (m.full, m.leak_free)
+    ]
+    return rows[0].unionByName(rows[1])
+
+
+def model_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fraud rows that each system caught or missed, and rows each has scored."""
+    m = models(spark, sf_dir)
+    tx = transactions(spark, sf_dir)
+    compared = screening.compare(profile.detection_rate(tx), m)
+    scored_rows = [(t.name, t.predictions) for t in (m.full, m.leak_free)]
+    scored_rows.append((screening.RULE, tx.filter(F.col(S.FLAG).isNotNull())))
+    sizes = [df.agg(F.lit(n).alias("system"), F.count(F.lit(1)).alias("scored")) for n, df in scored_rows]
+    together = sizes[0].unionByName(sizes[1]).unionByName(sizes[2])
+    fraud = compared.select("system", (F.col("caught") + F.col("missed")).alias("fraud"))
+    return fraud.join(together, "system")
+
+
+QUERIES["model_totals"] = model_totals
+
+
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     rate = profile.detection_rate(transactions(spark, sf_dir))
     return screening.compare(rate, models(spark, sf_dir))

@@ -148,6 +148,8 @@ def _alerts() -> str:
     )
 
 
+_TEST_PART = """(SELECT * FROM (SELECT DISTINCT * FROM bucketed)
+        WHERE isFraud IS NOT NULL AND bucket >= 80)"""
 _INDEXED = "clean JOIN type_index USING (type) JOIN exchange_index USING (typeEchange)"
 _WEIGHTED = f"""
 SELECT ROUND(accuracy, 9) AS accuracy,
@@ -206,7 +208,8 @@ _BODIES = {
         AS fraud_percent FROM (SELECT {_FRAUD} AS fraud, {_NORMAL} AS normal FROM tx)""",
     "sender_stats": """SELECT row_count, senders,
         ROUND(CAST(row_count AS DOUBLE) / senders, 2) AS rows_per_sender
-        FROM (SELECT count(*) AS row_count, count(DISTINCT nameOrig) AS senders FROM tx)""",
+        FROM (SELECT count(*) AS row_count, (SELECT count(*) FROM (SELECT DISTINCT nameOrig FROM tx))
+          AS senders FROM tx)""",
     "top_senders": """SELECT nameOrig, count(*) AS row_count FROM tx GROUP BY nameOrig
         ORDER BY row_count DESC, nameOrig LIMIT 10""",
     "overview": f"""SELECT count(*) AS row_count, {_FRAUD} AS fraud, {_NORMAL} AS normal,
@@ -227,14 +230,28 @@ _BODIES = {
         ROUND({_guarded('tp', '(tp + fn)')}, 9) AS recall, tp, fn, fp FROM counts""",
     "recall_comparison": _alerts(),
     "threshold_sweep": _sweep(),
+    "sample_and_rest": "SELECT * FROM tx",
+    "scored_labels": f"""SELECT model, isFraud, count(*) AS row_count, count(*) AS rated
+        FROM {_TEST_PART}, (VALUES ('with balances'), ('leak-free')) AS m(model)
+        GROUP BY model, isFraud""",
+    "sweep_totals_model": f"""SELECT CAST(threshold AS DOUBLE) AS threshold, {_FRAUD} AS fraud
+        FROM {_TEST_PART}, (VALUES {', '.join(f'({t})' for t in S.THRESHOLDS)}) AS t(threshold)
+        GROUP BY threshold""",
+    "importance_check": """SELECT * FROM (VALUES
+        ('with balances', 'amount,newbalanceDest,newbalanceOrig,oldbalanceDest,oldbalanceOrg,'
+          || 'step,typeEchange_num,type_num', CAST(1 AS DOUBLE)),
+        ('leak-free', 'amount,step,typeEchange_num,type_num', CAST(1 AS DOUBLE)))
+        AS t(model, variables, total) WHERE EXISTS (SELECT * FROM clean)""",
+    "model_totals": f"""SELECT system, {_FRAUD} AS fraud, count(*) AS scored
+        FROM {_TEST_PART}, (VALUES ('with balances'), ('leak-free')) AS s(system) GROUP BY system
+        UNION ALL SELECT 'existing flag', {_FRAUD}, count(*) FROM tx""",
 }
 
 # Results that show the label; it is given as a double there, as some labels are null.
 _WITH_LABEL = """
     scan_transactions csv_roundtrip sample_roundtrip preview sample_hash split_hash
-    split_random_rows train_test_rows exchange_type clean_features fraud_rows missed_by_flag
-    drop_null_label rule_flag dedup_rows clean_transactions class_balance flag_vs_label
-    label_by_type label_by_exchange leakfree_columns confusion_matrix
+    exchange_type clean_features rule_flag dedup_rows class_balance flag_vs_label
+    label_by_type label_by_exchange sample_and_rest
 """.split()
 
 

@@ -10,6 +10,7 @@ KIND = "type"
 AMOUNT = "amount"
 EXCHANGE = "typeEchange"
 
+# The names and types of the data set's columns, in its order.
 TRANSACTION_SCHEMA = T.StructType(
     [
         T.StructField("step", T.IntegerType()),
@@ -29,7 +30,7 @@ TRANSACTION_SCHEMA = T.StructType(
 # The columns only known once the event is over.
 BALANCE_COLUMNS = ("oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest")
 
-# What cleaning keeps: account ids and the rule's flag are dropped.
+# What cleaning keeps; account ids and the rule's flag are dropped.
 CLEAN_COLUMNS = ("step", KIND, AMOUNT, *BALANCE_COLUMNS, EXCHANGE, LABEL)
 
 # The rule "alert on a transfer above 200 000".
