@@ -18,8 +18,9 @@ into all of their pairs:
    By the triangle inequality of the Jaccard distance a member that links to
    the pivot can't link to one twice as far from it.
 3. What is left over searches the index, dealt in blocks of sets: a set goes
-   as a query to the blocks that have one of its short shingles, and is merged
-   with the block's short lists there.
+   as a query to the blocks that have one of its short shingles, and the
+   block's short lists are merged there. What sizes and range counts allow of
+   these comes back with its sets, to be probed.
 """
 
 import heapq
@@ -363,6 +364,61 @@ def _search(shared, percent: int):
     return run
 
 
+def _bounded_search(percent: int):
+    """Queries with an index set that sizes and range counts allow, and those sets.
+
+    Rows come sorted by block, index rows ahead of queries. A query's lists are
+    merged to the index sets behind it in key order; each row comes out once
+    per block, so what comes out grows with the rows, not with their pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = None
+        for batch in batches:
+            out: list[tuple[int, bool, int]] = []
+            names = ("block", "query", "key", "label", "n", "ranges", "tokens")
+            for at, query, key, label, n, ranges, tokens in _rows(batch, *names):
+                if at != number:
+                    number, lists, told = at, {}, set()
+                    keys, labels, sizes, counts = [], [], [], []
+                    table = None
+                own = np.frombuffer(ranges, np.int32)
+                if not query:
+                    for token in tokens:
+                        lists.setdefault(token, []).append(len(keys))
+                    for column, value in zip((keys, labels, sizes, counts), (key, label, n, own)):
+                        column.append(value)
+                    continue
+                if table is None:
+                    table = [np.array(c) for c in (keys, labels, sizes, counts)]
+                merged = heapq.merge(*[lists[t] for t in tokens if t in lists])
+                found = np.array([i for i, _ in groupby(merged)], np.int64)
+                k, l, m = (column[found] for column in table[:3])
+                found = found[
+                    (k > key)
+                    & (l != label)
+                    & (100 * np.minimum(m, n) >= percent * np.maximum(m, n))
+                ]
+                top = np.minimum(table[3][found], own).sum(axis=1)
+                found = found[top * (100 + percent) >= percent * (table[2][found] + n)]
+                if len(found):
+                    out.append((at, True, key))
+                    fresh = [keys[i] for i in found.tolist() if keys[i] not in told]
+                    told.update(fresh)
+                    out += [(at, False, f) for f in fresh]
+            columns = list(zip(*out)) or [()] * 3
+            kinds = (pa.int32(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, kinds)], ["block", "query", "key"]
+            )
+
+    return run
+
+
+def _by_block(rows: DataFrame) -> DataFrame:
+    return rows.repartition("block").sortWithinPartitions("block", "query", "key")
+
+
 def _near(percent: int) -> int:
     """Similarity in percent at twice the distance of a link, rounded down."""
     return max(0, 2 * percent - 100)
@@ -500,31 +556,37 @@ def links(
     )
     open_entries = materialize(open_entries.select("token", "key"), "open")
 
-    # 3. They search the blocks of the index that have one of their short shingles.
-    searchers = materialize(open_entries.select("key").distinct(), "searchers")
+    # 3. They search the blocks of the index that have one of their short shingles:
+    # first by sizes and range counts, then what that leaves by its sets.
+    labels = linked.groupBy(F.col("b").alias("key")).agg(F.min("a").alias("label"))
+    searchers = materialize(
+        open_entries.groupBy("key")
+        .agg(F.collect_list("token").alias("tokens"))
+        .join(members.select("key", "n", "ranges"), "key")
+        .join(labels, "key", "left")
+        .select("key", F.coalesce("label", "key").alias("label"), "n", "ranges", "tokens"),
+        "searchers",
+    )
     count = searchers.count()
     if count:
         blocks = -(-count // BLOCK_SETS)
         dealt = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block")
         where = open_entries.select("token", dealt).distinct()
         routed = open_entries.join(where, "token").select("key", "block").distinct()
-        labels = linked.groupBy(F.col("b").alias("key")).agg(F.min("a").alias("label"))
-        again = (
-            _sets_of(docs, searchers, members, width)
-            .join(labels, "key", "left")
-            .select("key", F.coalesce("label", "key").alias("label"), "shingles")
+        index = searchers.select(dealt, F.lit(False).alias("query"), *searchers.columns)
+        queries = searchers.join(routed, "key").select(
+            "block", F.lit(True).alias("query"), *searchers.columns
         )
-        again = materialize(again, "searching")
-        index = again.select(dealt, F.lit(False).alias("query"), "key", "label", "shingles")
-        queries = again.join(routed, "key").select(
-            "block", F.lit(True).alias("query"), "key", "label", "shingles"
+        left = _by_block(index.unionByName(queries)).mapInArrow(
+            _bounded_search(percent), "block int, query boolean, key long"
         )
-        more = (
-            index.unionByName(queries)
-            .repartition("block")
-            .sortWithinPartitions("block", "query", "key")
-            .mapInArrow(_search(shared, percent), "a long, b long")
+        left = materialize(left, "left")
+        sets = _sets_of(docs, left.select("key").distinct(), members, width)
+        again = sets.join(searchers.select("key", "label"), "key")
+        more = _by_block(again.join(left, "key")).select(
+            "block", "query", "key", "label", "shingles"
         )
+        more = more.mapInArrow(_search(shared, percent), "a long, b long")
         linked = linked.unionByName(materialize(more, "found"))
     return documents.select("doc_id", "n", "key"), linked
 
