@@ -84,8 +84,9 @@ def mix(
 
     ``inclusion`` names a positive column: the odds of being in the sample
     grow with it. Without it the documents of a source have equal chances,
-    those of different sources different ones. The sample ends at the document
-    that brings the words nearest to the target: within half a document.
+    those of different sources different ones. The sample takes documents in
+    order as long as they fit the words due, and then the one of the others,
+    the first of equals, that comes nearest to what is left, if that helps.
 
     A source is ranked in slices of its order, so it may hold any share of the
     rows. The ids and sizes are stored between the passes, not the texts.
@@ -144,9 +145,31 @@ def mix(
         before="ahead",
         total="_total",
     )
-    sampled = 2 * F.col("ahead") + F.col("size") <= 2 * F.col("due")
+    summed = materialize(
+        summed.select(
+            "doc_id", "no_source", "name", "size", "source_size", "target", "whole", "due", "ahead", *keep
+        ),
+        "ranked",
+    )
+    own = ["no_source", "name"]
+    fits = F.col("ahead") + F.col("size") <= F.col("due")
+    open_ = summed.groupBy(*own).agg(
+        (F.first("due") - F.coalesce(F.sum(F.when(fits, F.col("size"))), F.lit(0))).alias("gap")
+    )
+    # A document of some size is known by what lies ahead of it in its source.
+    off = F.abs(F.col("size") - F.col("gap"))
+    last = (
+        summed.filter(~fits)
+        .join(open_, own)
+        .filter(off < F.col("gap"))
+        .groupBy(*own)
+        .agg(F.min(F.struct(off.alias("off"), "ahead")).alias("last"))
+        .select(*own, F.col("last.ahead").alias("ahead"), F.lit(True).alias("last"))
+    )
+    chosen = summed.join(last, [*own, "ahead"], "left")
+    sampled = fits | (F.coalesce("last", F.lit(False)) & (F.col("size") > 0))
     copies = F.least(F.col("whole") + sampled.cast("long"), F.lit(max_copies).cast("long"))
-    return summed.select(
+    return chosen.select(
         "doc_id",
         F.when(~F.col("no_source"), F.col("name")).alias("source"),
         "size",
@@ -158,7 +181,6 @@ def mix(
     )
 
 
-
 def apply_mix(docs: DataFrame, **settings) -> DataFrame:
     """Rows of ``docs`` as often as ``mix`` takes them, none to ``max_copies`` times.
 
@@ -207,8 +229,18 @@ drawn AS (
     coalesce(sum(size) OVER (PARTITION BY rows.source ORDER BY key, doc_id
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
   FROM rows JOIN plan ON rows.source IS NOT DISTINCT FROM plan.source),
+gaps AS (
+  SELECT source, any_value(due) - coalesce(sum(size) FILTER (ahead + size <= due), 0) AS gap
+  FROM drawn GROUP BY source),
+lasts AS (
+  SELECT drawn.source, min(row(abs(size - gap), ahead)) AS last
+  FROM drawn JOIN gaps ON drawn.source IS NOT DISTINCT FROM gaps.source
+  WHERE ahead + size > due AND abs(size - gap) < gap GROUP BY drawn.source),
 counted AS (
-  SELECT *, least(whole + (2 * ahead + size <= 2 * due)::BIGINT, {MAX_COPIES}) AS copies FROM drawn)
+  SELECT drawn.*, least(whole + (ahead + size <= due
+    OR (last IS NOT NULL AND size > 0))::BIGINT, {MAX_COPIES}) AS copies
+  FROM drawn LEFT JOIN lasts ON drawn.source IS NOT DISTINCT FROM lasts.source
+    AND last[2] = ahead)
 SELECT doc_id, source, size, source_size, target, copies, (copies * size)::BIGINT AS taken
 FROM counted
 """
