@@ -24,6 +24,7 @@ into all of their pairs:
 """
 
 import heapq
+import math
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -41,7 +42,7 @@ from txscreen.sources import materialize
 WIDTH, PERCENT = 4, 85
 
 #: Buckets that shingles are counted in to order them: a table of this size, whatever the corpus.
-BUCKET_BITS = 16
+BUCKET_BITS = 18
 
 #: Ranges of the hash that a set's shingles are counted in, for the upper bound.
 RANGE_BITS = 7
@@ -50,8 +51,8 @@ RANGE_BITS = 7
 #: A full filter lets everyone pass: more is read then, nothing is lost.
 FILTER_BITS = 23
 
-#: Sets of an index block in the search.
-BLOCK_SETS = 2000
+#: Sets of an index block in the search, were they all of one size.
+BLOCK_SETS = 8000
 
 CACHE_WORDS = 300_000
 
@@ -477,8 +478,8 @@ def links(
     documents = summary.filter("kind = 'document'")
     buckets = summary.filter("kind = 'bucket'").groupBy("bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    for row in buckets.collect():  # one number per bucket, whatever the corpus
-        counts[row["bucket"]] = row["n"]
+    table = buckets.toArrow()  # one number per bucket, whatever the corpus
+    counts[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
     shared = spark.sparkContext.broadcast(counts)
 
     postings = docs.select("text").mapInArrow(
@@ -536,9 +537,10 @@ def links(
         F.coalesce("close", F.lit(True)).alias("close"),
     ).filter("linked OR close")
     placed = materialize(
-        entries.select("token", "pivot", "key").join(status, ["pivot", "key"], "left").select(
+        entries.select("token", "pivot", "key", "n").join(status, ["pivot", "key"], "left").select(
             "token",
             "key",
+            "n",
             F.when(F.col("linked"), "linked").when(F.col("close"), "near").otherwise("far").alias("place"),
         ),
         "placed",
@@ -554,7 +556,7 @@ def links(
         .when(F.col("place") == "near", F.col("entries") > 1)
         .otherwise(F.col("far") + F.col("near") > 1)
     )
-    open_entries = materialize(open_entries.select("token", "key"), "open")
+    open_entries = materialize(open_entries.select("token", "key", "n"), "open")
 
     # 3. They search the blocks of the index that have one of their short shingles:
     # first by sizes and range counts, then what that leaves by its sets.
@@ -569,13 +571,23 @@ def links(
     )
     count = searchers.count()
     if count:
-        blocks = -(-count // BLOCK_SETS)
-        dealt = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block")
-        where = open_entries.select("token", dealt).distinct()
-        routed = open_entries.join(where, "token").select("key", "block").distinct()
-        index = searchers.select(dealt, F.lit(False).alias("query"), *searchers.columns)
+        # A block holds sets of about one size; partners lie one band away at most.
+        # Bands are a little wider than the sizes that may link, for the rounding.
+        parts = -(-count // BLOCK_SETS)
+        width_of_band = max(math.log(100 / percent) * 1.01, 1e-6)
+        band = F.floor(F.log(F.col("n")) / width_of_band).cast("int")
+        part = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
+        banded = open_entries.select("token", "key", band.alias("band"), part.alias("part"))
+        where = banded.select("token", "band", "part").distinct()
+        near_by = F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)]))
+        routed = banded.select("token", "key", near_by.alias("band")).join(where, ["token", "band"])
+        routed = routed.select("key", "band", "part").distinct()
+        block = (F.col("band") * parts + F.col("part")).alias("block")
+        index = searchers.withColumns({"band": band, "part": part}).select(
+            block, F.lit(False).alias("query"), *searchers.columns
+        )
         queries = searchers.join(routed, "key").select(
-            "block", F.lit(True).alias("query"), *searchers.columns
+            block, F.lit(True).alias("query"), *searchers.columns
         )
         left = _by_block(index.unionByName(queries)).mapInArrow(
             _bounded_search(percent), "block int, query boolean, key long"
