@@ -51,8 +51,9 @@ RANGE_BITS = 7
 #: A full filter lets everyone pass: more is read then, nothing is lost.
 FILTER_BITS = 23
 
-#: Sets of an index block in the search, were they all of one size.
-BLOCK_SETS = 8000
+#: Sets of an index block in the search. A block holds sets of about one size;
+#: sizes with more sets have several.
+BLOCK_SETS = 20_000
 
 CACHE_WORDS = 300_000
 
@@ -569,20 +570,23 @@ def links(
         .select("key", F.coalesce("label", "key").alias("label"), "n", "ranges", "tokens"),
         "searchers",
     )
-    count = searchers.count()
-    if count:
-        # A block holds sets of about one size; partners lie one band away at most.
+    if not searchers.isEmpty():
+        # Partners lie in the same band of sizes or in one beside it.
         # Bands are a little wider than the sizes that may link, for the rounding.
-        parts = -(-count // BLOCK_SETS)
         width_of_band = max(math.log(100 / percent) * 1.01, 1e-6)
         band = F.floor(F.log(F.col("n")) / width_of_band).cast("int")
-        part = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
+        # One row per band: as many as the largest size has powers.
+        filled = searchers.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("sets")).collect()
+        parts = {row["band"]: -(-row["sets"] // BLOCK_SETS) for row in filled}
+        most = max(parts.values())
+        in_band = F.create_map(*[F.lit(v) for item in parts.items() for v in item])
+        part = F.pmod(F.xxhash64("key"), in_band[band]).cast("int")
         banded = open_entries.select("token", "key", band.alias("band"), part.alias("part"))
         where = banded.select("token", "band", "part").distinct()
         near_by = F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)]))
         routed = banded.select("token", "key", near_by.alias("band")).join(where, ["token", "band"])
         routed = routed.select("key", "band", "part").distinct()
-        block = (F.col("band") * parts + F.col("part")).alias("block")
+        block = (F.col("band") * most + F.col("part")).alias("block")
         index = searchers.withColumns({"band": band, "part": part}).select(
             block, F.lit(False).alias("query"), *searchers.columns
         )
