@@ -23,7 +23,7 @@ NO_MERGE = 1 << 60
 
 #: Words whose codes a worker keeps, in each of two generations, and the longest
 #: word that is kept. Any other word is encoded again.
-CACHE_WORDS, CACHE_CHARS = 250_000, 40
+CACHE_WORDS, CACHE_CHARS = 120_000, 40
 
 
 def byte_letters() -> list[str]:

@@ -26,6 +26,9 @@ PROFILE, ORDERS = 300, (1, 2, 3)
 #: Of five parts by checksum of the id, this one is held out.
 FOLDS, HELD_OUT = 5, 0
 
+#: N-grams of training texts that a task counts together.
+TOGETHER = 2_000_000
+
 #: A model of at most this many languages is sent to the tasks.
 MAX_LANGUAGES = 1000
 
@@ -67,8 +70,18 @@ def _grams(codes: np.ndarray) -> list[np.ndarray]:
 
 
 def _counted(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    grams = [g for t in texts for g in _grams(_codes(t))]
-    counts = pd.Series(np.concatenate(grams)).value_counts(sort=False)
+    """N-grams of ``texts`` with their counts, holding about ``TOGETHER`` of them at a time."""
+    parts, waiting, size = [], [], 0
+    for text in texts:
+        grams = _grams(_codes(text))
+        waiting += grams
+        size += sum(map(len, grams))
+        if size >= TOGETHER:
+            parts.append(pd.Series(np.concatenate(waiting)).value_counts(sort=False))
+            waiting, size = [], 0
+    if waiting:
+        parts.append(pd.Series(np.concatenate(waiting)).value_counts(sort=False))
+    counts = pd.concat(parts).groupby(level=0).sum()
     return counts.index.to_numpy(), counts.to_numpy()
 
 
