@@ -14,6 +14,9 @@ from txscreen.llm.common import read
 from txscreen.llm.queries import word_bpe_path
 from txscreen.sources import materialize
 
+#: Words of a shingle and percentage of the union for the near-duplicate stage.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; those without a letter go."""
@@ -35,8 +38,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose shingles overlap enough."""
-    return jaccard.keep_first(docs)
+    """One document of each group whose five-word shingles overlap by 80 percent.
+
+    The width and limit of the query ``op1_jaccard`` are its own.
+    """
+    return jaccard.keep_first(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

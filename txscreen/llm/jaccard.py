@@ -642,14 +642,16 @@ def join_documents(
     )
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(
+    docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT
+) -> DataFrame:
     """One document of each group of linked ones, the one with the smallest id, as it is.
 
     Rows that share an id stay or go together; of those that share their text
     too, one stays. Rows without an id stay, and so do documents without a
     word, but for repeated rows.
     """
-    found = join_documents(docs)
+    found = join_documents(docs, width=width, percent=percent)
     first = found.filter(F.col("doc_id") == F.col("component_id"))
     kept = first.select(F.col("doc_id").alias("kept")).distinct()
     plain, names = numbered(docs)
