@@ -232,11 +232,12 @@ def identify(
 def keep_identified(docs: DataFrame, *, min_score: float = 0.0) -> DataFrame:
     """Rows whose text has a language; profiles are trained as in ``identify``.
 
-    Rows without a letter go, and so do those no nearer than ``min_score``.
+    Rows without a letter go, and so do those no nearer than ``min_score``; a
+    text that shares no n-gram with any profile scores 0 and always goes.
     """
     known = docs.filter(fold() != HELD_OUT)
     profiles = materialize(train_profiles(known), "profiles")
     plain, names = numbered(docs)
     judged = predict(plain, profiles, text=names["text"], keep_text=True)
-    kept = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)
+    kept = (F.col("lang_pred") != UNKNOWN) & (F.col("score") > min_score)
     return judged.filter(kept).select(*plain.columns).toDF(*docs.columns)
