@@ -156,14 +156,14 @@ def drop_frequent_lines(
     gone = F.coalesce("gone", F.array().cast("array<int>"))
     lines_of_text = text_lines(names[text])
     kept = F.when(F.size(gone) == 0, F.coalesce(own_text, F.lit(""))).otherwise(
-        F.array_join(_without(lines_of_text, gone), "\n")
+        F.array_join(without_places(lines_of_text, gone), "\n")
     )
     counts = [F.size(c).cast("long") for c in (lines_of_text, gone)]
     added = ("kept_text", "n_lines", "n_dropped")
     return found.select(*plain.columns, kept, *counts).toDF(*docs.columns, *added)
 
 
-def _without(lines: Column, gone: Column) -> Column:
+def without_places(lines: Column, gone: Column) -> Column:
     """``lines`` without the places in ``gone``: the stretches between them."""
     starts = F.concat(F.array(F.lit(0)), F.transform(gone, lambda p: p + 1))
     ends = F.concat(gone, F.array(F.size(lines)))

@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txscreen.llm.linedup import text_lines
+from txscreen.llm.common import numbered
+from txscreen.llm.linedup import text_lines, without_places
 from txscreen.sources import materialize
 
 #: Fixed values of the contract.
@@ -84,7 +85,7 @@ def _host(source: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
 
 
-def boilerplate_share(
+def boilerplate_lines(
     docs: DataFrame,
     *,
     line_docs: int = LINE_DOCS,
@@ -93,55 +94,96 @@ def boilerplate_share(
     text: str = "text",
     host: str = "source",
 ) -> DataFrame:
-    """Per document that has lines: characters in all lines and in lines above the limits.
+    """Per document that has lines: the places of those above the limits, and characters.
 
-    Lines are normalised (white space collapsed, lower case, digits as one
-    sign), hashed to 96 bits, and counted over all documents of the host. Both
-    limits must be reached. Counts and documents meet in joins by host and
-    line; a line with a third of all rows is summed up map-side.
+    Returns doc_id, mark (hash of the text), host, line_chars (in all lines)
+    and removed, an array of (place, chars). Lines are normalised (white space
+    collapsed, lower case, digits as one sign), hashed to 96 bits, and counted
+    over all documents of the host. Both limits must be reached. Counts and
+    lines meet in joins by host and line; a line with a third of all rows is
+    summed up map-side. A list of places is no longer than its document.
     """
     normal = F.lower(F.regexp_replace(F.trim(F.col("line")), r"[\x20\x09-\x0D]+", " "))
     normal = F.regexp_replace(normal, r"[0-9]+", "0")
+    key = ["doc_id", "mark", "host"]
     lines = (
         docs.select(
             F.col(doc_id).alias("doc_id"),
             F.xxhash64(F.col(text)).alias("mark"),
             _host(host).alias("host"),
-            F.explode(text_lines(text)).alias("line"),
+            F.posexplode(text_lines(text)).alias("place", "line"),
         )
         .withColumn("normal", normal)
         .filter(F.col("normal") != "")
         .select(
-            "doc_id",
-            "mark",
-            "host",
+            *key,
+            "place",
             F.xxhash64("normal").alias("h1"),
             F.hash("normal").alias("h2"),
             F.char_length("normal").cast("long").alias("chars"),
         )
     )
-    per_doc = materialize(
-        lines.groupBy("doc_id", "mark", "host", "h1", "h2").agg(F.sum("chars").alias("chars")),
+    # Repeated rows have the same lines at the same places.
+    placed = materialize(
+        lines.groupBy(*key, "place", "h1", "h2").agg(F.sum("chars").alias("chars")),
         "quality-lines",
     )
     hosts = docs.groupBy(_host(host).alias("host")).agg(F.count(F.lit(1)).alias("host_docs"))
-    counts = per_doc.groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("line_docs"))
+    counts = placed.select(*key, "h1", "h2").distinct()
+    counts = counts.groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("line_docs"))
     often = (
         counts.filter(F.col("line_docs") >= line_docs)
         .join(hosts, "host")
         .filter(F.col("line_docs") * 100 >= F.col("host_docs") * line_percent)
         .select("host", "h1", "h2", F.lit(1).alias("often"))
     )
+    gone = F.when(F.col("often") == 1, F.struct("place", "chars"))
     return (
-        per_doc.join(often, ["host", "h1", "h2"], "left")
-        .groupBy("doc_id", "mark", "host")
+        placed.join(often, ["host", "h1", "h2"], "left")
+        .groupBy(*key)
         .agg(
             F.sum("chars").alias("line_chars"),
-            F.sum(F.when(F.col("often") == 1, F.col("chars")).otherwise(0)).alias("boiler_chars"),
+            F.sort_array(F.collect_list(gone)).alias("removed"),
         )
     )
 
 
+def clean(
+    docs: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    host: str = "source",
+    **limits,
+) -> DataFrame:
+    """Every row of ``docs`` with ``kept_text``, ``n_removed`` and ``kept`` added.
+
+    ``kept_text`` is the text without its boilerplate lines, ``n_removed`` their
+    number and ``kept`` the verdict of ``judge``, with its limits. A null text
+    has an empty ``kept_text``. Other columns pass through untouched (a column
+    by one of the three added names is replaced). The texts are shuffled once,
+    with the places of removed lines.
+    """
+    docs = docs.drop("kept_text", "n_removed", "kept")
+    judged = _judged(docs, doc_id=doc_id, text=text, host=host, **limits)
+    judged = judged.select("doc_id", "mark", "host", "removed", "kept")
+    judged = judged.dropDuplicates(["doc_id", "mark", "host"])
+    plain, names = numbered(docs)
+    own, own_text = F.col(names[doc_id]), F.col(names[text])
+    same = (
+        own.eqNullSafe(F.col("doc_id"))
+        & (F.xxhash64(own_text) == F.col("mark"))
+        & (_host(names[host]) == F.col("host"))
+    )
+    gone = F.col("removed")
+    kept_text = F.when(F.size(gone) == 0, F.coalesce(own_text, F.lit(""))).otherwise(
+        F.array_join(without_places(text_lines(names[text]), gone), "\n")
+    )
+    found = plain.join(judged, same)
+    added = (kept_text, F.size(gone).cast("long"), F.col("kept"))
+    return found.select(*plain.columns, *added).toDF(*docs.columns, "kept_text", "n_removed", "kept")
+
+
 def judge(
     docs: DataFrame,
     *,
@@ -155,11 +197,35 @@ def judge(
     """Measures and verdict of every row of ``docs``.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, line_chars, boiler_chars, base_failed and kept. A null or
-    empty text has no words and fails; a null host is a host of its own; each
-    row is judged, and repeated rows alike. The measures are taken from whole
-    texts in Arrow batches; only ids, hosts and line hashes are shuffled.
+    n_repeat_words, line_chars, boiler_chars (characters of the removed lines),
+    base_failed and kept. ``clean`` returns the texts without these lines. A
+    null or empty text has no words and fails; a null host is a host of its
+    own; each row is judged, and repeated rows alike. The measures are taken
+    from whole texts in Arrow batches; only ids, hosts, and hashes and places
+    of lines are shuffled.
     """
+    return _judged(
+        docs,
+        line_docs=line_docs,
+        line_percent=line_percent,
+        least_left_percent=least_left_percent,
+        doc_id=doc_id,
+        text=text,
+        host=host,
+    ).drop("mark", "host", "removed")
+
+
+def _judged(
+    docs: DataFrame,
+    *,
+    line_docs: int = LINE_DOCS,
+    line_percent: float = LINE_PERCENT,
+    least_left_percent: float = LEAST_LEFT_PERCENT,
+    doc_id: str,
+    text: str,
+    host: str,
+) -> DataFrame:
+    """The columns of ``judge``, behind them mark, host and removed (places of lines)."""
     few = docs.select(
         F.col(doc_id).alias("doc_id"),
         _host(host).alias("host"),
@@ -171,14 +237,15 @@ def judge(
         "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
     )
     base = few.mapInArrow(_measure, types)
-    lines = boilerplate_share(
+    lines = boilerplate_lines(
         docs, line_docs=line_docs, line_percent=line_percent, doc_id=doc_id, text=text, host=host
     ).select(
         F.col("doc_id").alias("_doc"),
         F.col("mark").alias("_mark"),
         F.col("host").alias("_host"),
         "line_chars",
-        "boiler_chars",
+        F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["chars"]).alias("boiler_chars"),
+        F.col("removed.place").alias("removed"),
     )
     same = (
         F.col("doc_id").eqNullSafe(F.col("_doc"))
@@ -201,4 +268,7 @@ def judge(
         F.coalesce("boiler_chars", F.lit(0)).alias("boiler_chars"),
         failed.alias("base_failed"),
         (~failed & ~F.coalesce(depleted, F.lit(False))).alias("kept"),
+        "mark",
+        "host",
+        F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
     )
