@@ -35,3 +35,13 @@ def test_boilerplate_lines_leave_the_text(spark):
 
 def test_boilerplate_of_nothing(spark):
     assert quality.clean(spark.createDataFrame([], TYPES)).collect() == []
+
+
+def test_share_decides_in_a_hot_host(spark):
+    """30 documents are one percent of 3,000, and less of 3,001."""
+    for host_docs, gone in ((3000, 30), (3001, 0)):
+        rows = [(i, "shared line" if i < 30 else "", "x", "") for i in range(host_docs)]
+        table = spark.createDataFrame(rows, TYPES)
+        found = quality.clean(table).filter("n_removed > 0").count()
+        assert found == gone
+    assert quality.clean(table, line_percent=0.5).filter("n_removed > 0").count() == 30
