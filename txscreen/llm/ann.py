@@ -124,8 +124,8 @@ def _usable(vectors: DataFrame, vec_id: str, embedding: str, size: int) -> DataF
 
 
 def _blocks(rows: DataFrame, number: str, blocks: int) -> DataFrame:
-    """Rows dealt into ``blocks`` groups by a hash of the id, each group one list."""
-    dealt = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    """Rows dealt into ``blocks`` groups by a hash of id and salt, each group one list."""
+    dealt = F.pmod(F.xxhash64("vec_id", "salt"), F.lit(blocks)).cast("int")
     members = F.sort_array(F.collect_list(F.struct("vec_id", "items")))
     return rows.groupBy(dealt.alias(number)).agg(members.alias("members"))
 
@@ -158,7 +158,7 @@ def nearest(
     a repeated query is answered once, for its smallest vector. No usable row:
     an empty result.
 
-    Vectors are packed into blocks and meet the blocks of queries by the
+    Vectors are packed into blocks, copies of one id spread over them, and meet the blocks of queries by the
     number of the query block, so a task holds one block of either. A block
     returns its best ``top`` per query; these are ranked per query.
     """
@@ -168,7 +168,9 @@ def nearest(
     if common is None:
         return vectors.sparkSession.createDataFrame([], result)
     size = int(common["size"])
-    rows = materialize(_usable(vectors, vec_id, embedding, size), "vectors")
+    # A stored number per row, so that copies of an id don't share a block.
+    usable = _usable(vectors, vec_id, embedding, size)
+    rows = materialize(usable.withColumn("salt", F.monotonically_increasing_id()), "vectors")
     means = [F.avg(F.col("items")[i]) for i in range(size)]
     averages = rows.agg(F.array(*means).alias("centre")).first()["centre"]
     if averages[0] is None:
@@ -179,6 +181,7 @@ def nearest(
         rows.filter(F.col("vec_id") % query_every == 0)
         .groupBy("vec_id")
         .agg(F.min("items").alias("items"))
+        .withColumn("salt", F.lit(0).cast("long"))
     )
     queries = materialize(queries, "queries")
     query_blocks = -(-queries.count() // QUERY_BLOCK)
