@@ -117,6 +117,63 @@ FROM base
 # The checksum's table by its rule: eight halvings of each byte by the reflected polynomial.
 _HALF = "(CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END)"
 
+_FIELDS = " || ".join(
+    f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    for c in ("doc_id", "source", "lang", "{chars}", "text")
+)
+
+MANIFEST = f"""
+WITH RECURSIVE entries AS (
+  SELECT list(list_reduce(range(0, 8), lambda v, i: {_HALF.format("v")}, b) ORDER BY b) AS entry
+  FROM (SELECT unnest(range(0, 256)) AS b)),
+summed AS (
+  SELECT *, xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''),
+      lambda c: ascii(c)::BIGINT),
+    lambda v, b: xor(v >> 8, entry[(xor(v, b) & 255) + 1]), 4294967295::BIGINT)) AS crc
+  FROM documents, entries),
+leaves AS (
+  SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS rank,
+    count(*) OVER (PARTITION BY lang) AS n, sha256({_FIELDS.format(chars="n_chars")}) AS leaf,
+    sha256({_FIELDS.format(chars="(n_chars + (crc % 7 = 0)::INT)")}) AS given
+  FROM summed),
+nodes AS (
+  SELECT lang, 0 AS level, rank, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT lang, any_value(level) + 1, rank // 2, (any_value(n) + 1) // 2,
+    sha256(string_agg(h, '' ORDER BY rank))
+  FROM nodes WHERE n > 1 GROUP BY lang, rank // 2),
+subroots AS (
+  SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS rank, count(*) OVER () AS n
+  FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, rank, n, h FROM subroots
+  UNION ALL
+  SELECT any_value(level) + 1, rank // 2, (any_value(n) + 1) // 2,
+    sha256(string_agg(h, '' ORDER BY rank))
+  FROM tops WHERE n > 1 GROUP BY rank // 2),
+climb AS (
+  SELECT doc_id, lang, leaf, 0 AS level, rank, n, given AS node, '' AS siblings FROM leaves
+  UNION ALL
+  SELECT doc_id, c.lang, leaf, c.level + 1, c.rank // 2, (c.n + 1) // 2,
+    sha256(CASE WHEN c.rank % 2 = 1 THEN h || node ELSE node || coalesce(h, '') END),
+    siblings || coalesce(h, '')
+  FROM climb c LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM c.lang
+    AND s.level = c.level AND s.rank = xor(c.rank, 1)
+  WHERE c.n > 1),
+onward AS (
+  SELECT doc_id, leaf, h AS subroot, 0 AS level, s.rank, s.n, node, siblings
+  FROM climb c JOIN subroots s ON s.lang IS NOT DISTINCT FROM c.lang WHERE c.n = 1
+  UNION ALL
+  SELECT doc_id, leaf, subroot, c.level + 1, c.rank // 2, (c.n + 1) // 2,
+    sha256(CASE WHEN c.rank % 2 = 1 THEN h || node ELSE node || coalesce(h, '') END),
+    siblings || coalesce(h, '')
+  FROM onward c LEFT JOIN tops s ON s.level = c.level AND s.rank = xor(c.rank, 1)
+  WHERE c.n > 1)
+SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, node AS folded_root,
+  node = root AS verified
+FROM onward, (SELECT h AS root FROM tops WHERE n = 1) WHERE n = 1
+"""
+
 SHARDS = f"""
 WITH entries AS (
   SELECT list(list_reduce(range(0, 8), lambda v, i: {_HALF.format("v")}, b) ORDER BY b) AS entry

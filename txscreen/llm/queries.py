@@ -5,13 +5,16 @@ from pyspark.sql import DataFrame, SparkSession
 from txscreen.llm import (
     ann,
     bpe,
+    decontam,
     jaccard,
     langid,
     linedup,
+    manifest,
     mixing,
     oracle,
     quality,
     reputation,
+    retrieval,
     sharding,
     substrings,
 )
@@ -67,6 +70,22 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(read(spark, folder, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontam.find_contamination(
+        read(spark, folder, "documents"), read(spark, folder, "benchmark")
+    )
+    return decontam.digest(found)
+
+
+def op12_search(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+def op13_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return manifest.verified(manifest.proofs(docs, altered=manifest.sampled_change()))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -80,6 +99,9 @@ QUERIES = {
         op8_urls,
         op9_shards,
         op10_language,
+        op11_decontamination,
+        op12_search,
+        op13_manifest,
     )
 }
 
@@ -91,4 +113,7 @@ ORACLE_SQL = {
     "op6_mix": mixing.SQL,
     "op8_urls": reputation.SQL,
     "op9_shards": oracle.SHARDS,
+    "op11_decontamination": decontam.SQL,
+    "op12_search": retrieval.SQL,
+    "op13_manifest": oracle.MANIFEST,
 }
