@@ -1,0 +1,130 @@
+"""Decontamination against a plain scan of every window."""
+
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+from test_llm_cases import CLASHES, LONG, PASSAGE, TYPES, awkward_rows
+
+from txscreen.llm import decontam
+
+ITEM = " ".join(f"item{i}" for i in range(14))
+ITEMS = [
+    (0, ITEM),
+    (1, "Ärger, FÜR alle!  "),
+    (2, None),
+    (3, " ?! "),
+    (4, PASSAGE),
+    (5, PASSAGE),
+    (10, ITEM.upper() + " and more"),
+    (11, "7"),
+    (None, "fox jumps over"),
+    (None, LONG[:3000]),
+    (0, "a second text of the first id, which is longer than a window of ten words"),
+]
+
+
+def rows():
+    own = ITEM.split()
+    return [
+        *awkward_rows(),
+        (50, "x " + " ".join(own[:9]) + " y", "en", "a", 1),
+        (51, "x " + ", ".join(own[2:12]).upper() + " y " + ITEM + "!", "en", "a", 1),
+        (52, "für alle ärger für, alle ärgernis", "en", "a", 1),
+        (53, "İtem " + "FOX-jumps (over) it", "en", "a", 1),
+        (54, "item0 " * 30, "en", "a", 1),
+    ]
+
+
+def words_of(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return [m for m in re.finditer(decontam.WORD, low)]
+
+
+def plain(text, items, width=10):
+    """Number of words, numbers of hit words, and ids of the items with a window in the text."""
+    words = [m[0] for m in words_of(text)]
+    hit, found = set(), set()
+    for item_id, item in items:
+        own = [m[0] for m in words_of(item)]
+        n = min(width, len(own))
+        grams = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if own else set()
+        for i in range(len(words) - n + 1):
+            if tuple(words[i : i + n]) in grams:
+                hit.update(range(i, i + n))
+                found.add("" if item_id is None else str(item_id))
+    return len(words), hit, sorted(found)
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    docs = spark.createDataFrame(rows(), TYPES).repartition(3)
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in [*CLASHES, "_words", "_spans", "item"]})
+    items = spark.createDataFrame(ITEMS, "item_id long, text string").repartition(2)
+    return docs, items.withColumn("gram", F.lit("own"))
+
+
+@pytest.mark.parametrize("piece_bytes", [decontam.PIECE_BYTES, 20_000])
+def test_every_window_is_found(tables, piece_bytes):
+    docs, items = tables
+    found = decontam.find_contamination(docs, items, piece_bytes=piece_bytes)
+    wanted = []
+    for doc_id, text, *_ in rows():
+        n, hit, ids = plain(text, ITEMS)
+        digest = hashlib.sha256(",".join(ids).encode()).hexdigest()
+        wanted.append((doc_id, n, len(hit), len(ids), digest, bool(hit)))
+    assert sorted(map(repr, (tuple(r) for r in decontam.digest(found).collect()))) == sorted(map(repr, wanted))
+
+
+def test_small_pieces_are_several(tables):
+    grams = decontam.item_ngrams(tables[1])
+    assert len(list(decontam._pieces(grams, decontam.PIECE_BYTES))) == 1
+    pieces = list(decontam._pieces(grams, 20_000))
+    assert len(pieces) > 1 and sum(len(p.grams) for p in pieces) == grams.count()
+
+
+def cut(text):
+    n, hit, _ = plain(text, ITEMS)
+    words, out, at = words_of(text), "", 0
+    for i in sorted(hit):
+        if i - 1 not in hit:
+            out += text[at : words[i].start()]
+        at = words[i].end()
+    return out + text[at:]
+
+
+def test_spans_leave_the_text(tables):
+    docs, items = tables
+    found = decontam.decontaminate(docs, items)
+    assert found.columns == docs.columns
+    texts = sorted(repr((r["doc_id"], r["text"], r["key"], r["_words"])) for r in found.collect())
+    wanted = [(i, t if t is None else cut(t), "own key", "own _words") for i, t, *_ in rows()]
+    assert texts == sorted(map(repr, wanted))
+
+
+@pytest.mark.parametrize("percent", [0, 60])
+def test_documents_with_many_hit_words_go(tables, percent):
+    docs, items = tables
+    kept = decontam.decontaminate(docs, items, drop_percent=percent, piece_bytes=20_000)
+    wanted = []
+    for doc_id, text, *_ in rows():
+        n, hit, _ = plain(text, ITEMS)
+        if not hit or 100 * len(hit) < percent * n:
+            wanted.append(doc_id)
+    assert sorted(map(repr, (r["doc_id"] for r in kept.collect()))) == sorted(map(repr, wanted))
+    assert 0 < len(wanted) < len(rows())
+
+
+def test_names_ids_and_empty_tables(spark, tables):
+    docs, items = tables
+    named = docs.select(F.concat(F.lit("d"), "doc_id").alias("name"), F.col("text").alias("body"))
+    asked = items.select(F.concat(F.lit("i"), "item_id").alias("no"), F.col("text").alias("question"))
+    names = {"doc_id": "name", "text": "body", "item_id": "no", "item_text": "question"}
+    found = {r["doc_id"]: r for r in decontam.find_contamination(named, asked, **names).collect()}
+    assert found["d51"]["items"] == ["i0", "i10"] and found["d50"]["items"] == []
+    assert [tuple(s) for s in found["d51"]["spans"]] == [(1, 11), (12, 26)]
+    none = decontam.find_contamination(docs, items.limit(0))
+    assert none.count() == len(rows()) and none.filter(F.size("spans") > 0).count() == 0
+    assert decontam.find_contamination(docs.limit(0), items).collect() == []
+    assert decontam.decontaminate(docs.limit(0), items).collect() == []

@@ -1,0 +1,114 @@
+"""Merkle manifests against trees built one node at a time."""
+
+import hashlib
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+from test_llm_cases import CLASHES, TYPES, awkward_rows
+
+from txscreen.llm import manifest
+
+
+def digest(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(row):
+    return digest(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in row])
+
+
+def tree(nodes, arity):
+    """Root, and per leaf the (left, right) digests of its run at every level."""
+    paths, at = [[] for _ in nodes], list(range(len(nodes)))
+    while len(nodes) > 1:
+        runs = [nodes[i : i + arity] for i in range(0, len(nodes), arity)]
+        for k, path in enumerate(paths):
+            run, place = runs[at[k] // arity], at[k] % arity
+            path.append(("".join(run[:place]), "".join(run[place + 1 :])))
+        at = [i // arity for i in at]
+        nodes = [digest(*run) for run in runs]
+    return (nodes or [None])[0], paths
+
+
+def plain(rows, arity=2):
+    """doc_id, leaf, subroot, root, digest of the siblings, folded root and verdict per row."""
+    null_first = lambda v: (v is not None, v if v is not None else 0)
+    fields = [(r[0], r[3], r[2], r[4], r[1]) for r in rows]
+    groups = {}
+    for row in fields:
+        groups.setdefault(row[2], []).append(row)
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {}
+    for name in names:
+        groups[name].sort(key=lambda r: (null_first(r[0]), leaf(r)))
+        trees[name] = tree([leaf(r) for r in groups[name]], arity)
+    root, above = tree([trees[n][0] for n in names], arity)
+    out = []
+    for name, up in zip(names, above):
+        subroot, paths = trees[name]
+        for row, path in zip(groups[name], paths):
+            chars = row[3]
+            if row[0] is not None and chars is not None and zlib.crc32(str(row[0]).encode()) % 7 == 0:
+                chars += 1
+            node = leaf((*row[:3], chars, row[4]))
+            for left, right in path + up:
+                node = digest(left, node, right)
+            siblings = digest(*[a + b for a, b in path + up])
+            out.append((row[0], leaf(row), subroot, root, siblings, node, node == root))
+    return out
+
+
+def proved(table, **settings):
+    found = manifest.proofs(table, altered=manifest.sampled_change(), **settings)
+    return sorted(map(repr, (tuple(r) for r in manifest.verified(found).collect())))
+
+
+def rows():
+    more = [(100 + i, f"text {i}", "en" if i % 3 else "zz", "s", i) for i in range(140)]
+    return [*awkward_rows(), *more, (None, None, None, None, None)]
+
+
+@pytest.mark.parametrize(("arity", "digits"), [(2, 8), (2, 2), (3, 1), (5, 3)])
+def test_every_proof_equals_the_plain_tree(spark, arity, digits):
+    table = spark.createDataFrame(rows(), TYPES).repartition(5)
+    table = table.withColumns({c: F.lit("own") for c in [*CLASHES, "leaf", "given", "node", "_group"]})
+    found = proved(table, arity=arity, digits=digits)
+    assert found == sorted(map(repr, plain(rows(), arity)))
+    broken = sum(not r[-1] for r in plain(rows(), arity))
+    assert 0 < broken < len(rows())
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 255, 256, 257])
+def test_one_group_of_every_shape(spark, n):
+    some = [(i, f"t{i}", "en", "s", i) for i in range(n)]
+    assert proved(spark.createDataFrame(some, TYPES).repartition(3)) == sorted(map(repr, plain(some)))
+
+
+def test_copies_of_one_row_and_empty_tables(spark):
+    some = [(7, "copy", "en", "s", 1)] * 600 + [(8, None, "de", None, None)]
+    assert proved(spark.createDataFrame(some, TYPES).repartition(4)) == sorted(map(repr, plain(some)))
+    assert proved(spark.createDataFrame([], TYPES)) == []
+
+
+def test_without_changes_all_proofs_hold(spark):
+    table = spark.createDataFrame(rows(), TYPES)
+    found = manifest.proofs(table, fields=["text", "doc_id"], group="source")
+    assert found.columns == ["doc_id", "leaf", "given", "subroot", "root", "path"]
+    kept = manifest.verified(found)
+    assert kept.filter("verified").count() == len(rows())
+    assert kept.select("root").distinct().count() == 1
+
+
+def test_no_block_is_larger_than_its_digits(spark):
+    """A hot group is in many rows; each of them nests a bounded number of leaves."""
+    table = spark.range(1000).select(
+        F.lit(0).alias("_group"), F.lit(10).alias("_height"), F.col("id").alias("_rank"),
+        F.struct(F.sha2(F.col("id").cast("string"), 256).alias("hash")).alias("node"),
+    )
+    rolled = manifest._rolled(table, 0, 2, 4)
+    kids = F.col("node.kids")
+    for _ in range(3):
+        kids = F.flatten(F.transform(kids, lambda k: k["kids"]))
+    sizes = [r[0] for r in rolled.select(F.size(kids)).collect()]
+    assert sorted(sizes) == [8] + [16] * 62
