@@ -222,7 +222,8 @@ def proofs(
         changed = changed | ~value.eqNullSafe(F.col(column))
     given = F.when(changed, leaf(changes)).alias("given")
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(group).alias("_group"), leaf({}).alias("hash"), given)
-    ranked = _ranked(plain, ["doc_id", "hash"], "manifest-leaves")
+    # Stored first: finding the ranges reads its input twice, which should not be the texts.
+    ranked = _ranked(materialize(plain, "manifest-hashed"), ["doc_id", "hash"], "manifest-leaves")
     levels = _levels(_largest(ranked), arity)
     node = F.struct("hash", "doc_id", "given").alias("node")
     leaves = ranked.select("_group", _height(arity, levels), "_rank", node)
