@@ -229,3 +229,68 @@ def test_sweep_of_any_list(spark, count):
 def test_sweep_refuses_what_is_no_number(spark):
     with pytest.raises(ValueError, match="finite"):
         evaluate.threshold_sweep(frame(spark, []), [0.5, float("nan")])
+
+
+AWKWARD = [
+    (1, 0.5), (1, 0.3), (0, 0.3), (0, 0.05), (1, 0.0499), (0, None), (1, None), (None, 0.7),
+    (0, float("nan")), (1, float("nan")), (0, -3.0), (1, 7.5), (1, 1.0), (0, 0.0),
+]
+
+
+@pytest.mark.parametrize("rows", [AWKWARD, some_rows(500, 40), []])
+def test_cells_give_what_the_rows_give(spark, rows):
+    df = frame(spark, rows)
+    thresholds = [0.5, 0.05, 0.3, 0.3, 2.0, -1.0]
+    cells = evaluate.outcome_cells(df, thresholds)
+    weight = "row_count"
+    assert evaluate.confusion(cells, weight=weight).collect() == evaluate.confusion(df).collect()
+    for operator in (evaluate.outcome_counts, evaluate.recall, evaluate.weighted_metrics):
+        assert one(operator(cells, weight=weight)) == one(operator(df))
+    sweep = evaluate.sweep_of_cells(cells, thresholds).collect()
+    assert sweep == evaluate.threshold_sweep(df, thresholds).collect()
+
+
+def test_cells_are_one_aggregation(spark):
+    cells = evaluate.outcome_cells(frame(spark, some_rows(50, 9)))
+    assert cells._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def bounds(df, bins):
+    return one(evaluate.auc_bounds(evaluate.score_histogram(df, bins=bins)))
+
+
+@pytest.mark.parametrize("bins", [1, 7, 1000])
+@pytest.mark.parametrize(
+    "rows",
+    [
+        some_rows(600, 5000),
+        some_rows(300, 7),
+        some_rows(400, 300) + [(int(i % 5 == 0), 0.25) for i in range(200)],
+        [(1, 0.1), (0, 0.9)],
+        AWKWARD,
+    ],
+)
+def test_histogram_bounds_hold_the_exact_area(spark, rows, bins):
+    df = frame(spark, rows)
+    exact = one(evaluate.roc_auc(df))["auc"]
+    found = bounds(df, bins)
+    assert 0 <= found["auc_low"] <= exact + 1e-12 and exact - 1e-12 <= found["auc_high"] <= 1
+
+
+def test_histogram_bounds_are_narrow_and_exact_where_they_can_be(spark):
+    wide = bounds(frame(spark, some_rows(2000, 10_000)), 1000)
+    assert wide["auc_high"] - wide["auc_low"] < 0.002
+    # Every range has one score only.
+    rows = some_rows(300, 7)
+    found = bounds(frame(spark, rows), 1000)
+    assert found["auc_low"] == found["auc_high"] == pytest.approx(brute_auc(rows))
+    for none in ([], [(1, 0.5)], [(0, 0.5), (None, 0.2), (1, None)]):
+        assert bounds(frame(spark, none), 10) == {"auc_low": 0.0, "auc_high": 0.0}
+
+
+def test_histograms_of_parts_merge(spark):
+    rows = some_rows(400, 3000)
+    parts = [evaluate.score_histogram(frame(spark, rows[i::3]), bins=50) for i in range(3)]
+    merged = evaluate.merged_histograms(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    whole = evaluate.score_histogram(frame(spark, rows), bins=50)
+    assert sorted(map(str, merged.collect())) == sorted(map(str, whole.collect()))

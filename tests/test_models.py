@@ -1,13 +1,19 @@
+import os
+import re
+import subprocess
+import sys
+
 import pytest
 from conftest import DATA
 from frames import one, transactions
 
 from txscreen.__main__ import main
-from txscreen.operators import features, prepare, training
+from txscreen.operators import evaluate, features, prepare, training
 from txscreen.operators.training import Forest
 from txscreen.plans import catalog, screening
+from txscreen.sources import job_folder
 
-SMALL = Forest(num_trees=10, seed=5)
+SMALL = Forest(num_trees=10, seed=5, partitions=8)
 
 
 @pytest.fixture(scope="module")
@@ -57,17 +63,76 @@ def test_random_split_of_the_clean_rows(tx):
 
 
 @pytest.mark.parametrize("files", [1, 3, 31])
-def test_forest_does_not_depend_on_the_files(spark, models, tmp_path, files):
-    rows = models.train.repartition(files)
-    rows.write.parquet(str(tmp_path / "train"))
-    stored = training._laid_out(spark.read.parquet(str(tmp_path / "train")), SMALL.partitions)
-    again = training.fit_forest(stored, features.LEAK_FREE, SMALL)
+def test_forest_does_not_depend_on_the_files(spark, tx, models, tmp_path, files):
+    tx.repartition(files).write.parquet(str(tmp_path / "tx"))
+    train, test = training.train_test_tables(
+        spark.read.parquet(str(tmp_path / "tx")), partitions=SMALL.partitions
+    )
+    again = training.fit_forest(train, features.LEAK_FREE, SMALL)
     before = models.leak_free
-    assert sorted(training.score(again, models.test).collect()) == sorted(before.predictions.collect())
+    assert sorted(training.score(again, test).collect()) == sorted(before.predictions.collect())
     weights = training.importances(spark, again, features.LEAK_FREE).collect()
     assert weights == before.importances.collect()
 
 
+_ON_CORES = """
+import sys
+from pyspark.sql import SparkSession
+from txscreen.operators import features, training
+from txscreen.operators.training import Forest
+from txscreen.plans import catalog
+
+builder = SparkSession.builder.master(f"local[{sys.argv[1]}]").config("spark.ui.enabled", "false")
+spark = builder.config("spark.driver.memory", "2g").getOrCreate()
+spark.sparkContext.setLogLevel("ERROR")
+train, test = training.train_test_tables(catalog.transactions(spark, sys.argv[2]), partitions=5)
+model = training.fit_forest(train, features.LEAK_FREE, Forest(4, 5, partitions=5))
+rows = sorted(map(str, training.score(model, test).collect()))
+print(train.rdd.getNumPartitions(), hash(tuple(rows)), len(rows))
+"""
+
+
+def test_forest_does_not_depend_on_the_cores():
+    """Sessions of their own on 1, 2 and 4 cores, with their own default partitions."""
+    folder = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    printed = set()
+    for cores in (1, 2, 4):
+        run = subprocess.run(
+            [sys.executable, "-c", _ON_CORES, str(cores), f"{DATA}/sf0.001"],
+            env=os.environ | {"PYTHONPATH": folder, "PYTHONHASHSEED": "0"},
+            capture_output=True, text=True, timeout=300,
+        )
+        printed.add(run.stdout.strip().splitlines()[-1])
+    assert len(printed) == 1 and printed.pop().startswith("5 ")
+
+
+def plan_that_ran(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_training_rows_are_shuffled_once(spark, tx):
+    """Deduplication, split and layout share one exchange; what comes after reads kept rows."""
+    train, test = training.train_test_tables(tx, partitions=7)
+    for rows in (train, test):
+        plan = plan_that_ran(rows)
+        assert plan.count("Exchange hashpartitioning") == plan.count("Exchange ") == 1
+        assert re.search(r"Exchange hashpartitioning\(.*, 7\), ENSURE_REQUIREMENTS", plan)
+        above = plan.split("InMemoryRelation")[0]
+        assert "Exchange" not in above and "Sort" not in above
+        assert rows.rdd.getNumPartitions() == 7
+    # Another number is not served from the rows kept for the first one.
+    assert training.train_test_tables(tx, partitions=3)[0].rdd.getNumPartitions() == 3
+
+
+def test_a_hot_row_is_one_row_per_task(spark):
+    """Copies are dropped before the shuffle: a third of the rows being one doesn't matter."""
+    some = transactions(spark, *[{"step": i} for i in range(40)])
+    copies = transactions(spark, {}).crossJoin(spark.range(500)).drop("id")
+    train, test = training.train_test_tables(some.unionByName(copies), partitions=4)
+    assert train.count() + test.count() == 40
+    assert plan_that_ran(train).split("Exchange hashpartitioning")[1].count("HashAggregate") == 1
+
+
 def test_rows_are_never_skipped():
     for build in (
         lambda: Forest(handle_invalid="skip"),
@@ -144,7 +209,9 @@ def test_job_writes_every_table(spark, tx, tmp_path):
     main([source, "--trees", "10", "--output", output])
     comparison = spark.read.parquet(f"{output}/model_comparison")
     assert comparison.count() == 3
-    assert spark.read.parquet(f"{output}/threshold_sweep").count() == 5
+    for name in ("threshold_sweep", "threshold_sweep_full", "threshold_sweep_leak_free"):
+        assert spark.read.parquet(f"{output}/{name}").count() == 5
+    assert spark.read.parquet(f"{output}/senders_by_type").count() == 5
     assert one(spark.read.parquet(f"{output}/detection_rate"))["caught"] == 15
 
 
@@ -156,11 +223,50 @@ def test_job_on_a_sample(spark, tx, tmp_path):
     assert sorted(map(str, sample.collect())) == sorted(map(str, sample.collect()))
 
 
+def test_tables_of_counts_equal_the_single_operators(spark, tx):
+    with job_folder(spark):
+        tables = screening.report(tx, Forest(4, 5, partitions=4))
+        models = screening.train_models(tx, Forest(4, 5, partitions=4))
+        for key, rows in (("full", models.full.predictions), ("leak_free", models.leak_free.predictions)):
+            for name, operator in (
+                ("outcomes", evaluate.outcome_counts),
+                ("weighted_metrics", evaluate.weighted_metrics),
+                ("confusion", evaluate.confusion),
+                ("threshold_sweep", evaluate.threshold_sweep),
+            ):
+                table = tables[f"{name}_{key}"]
+                assert table.collect() == operator(rows).collect()
+                assert all("outcomes" in f for f in table.inputFiles())
+
+
+def test_job_samples_the_same_rows_of_any_files(spark, tx, tmp_path):
+    kept = []
+    for files in (1, 3, 31):
+        tx.repartition(files).write.csv(str(tmp_path / str(files)), header=True)
+        sample = screening.load(spark, str(tmp_path / str(files)), fraction=0.125)
+        kept.append(sorted(map(str, sample.collect())))
+    assert kept[0] == kept[1] == kept[2] and 0.11 < len(kept[0]) / tx.count() < 0.14
+
+
+def test_job_accounts_for_malformed_rows(spark, tx, tmp_path):
+    source, output = str(tmp_path / "csv"), str(tmp_path / "out")
+    tx.coalesce(1).write.csv(source, header=True)
+    with open(f"{source}/more.csv", "w") as file:
+        file.write(",".join(tx.columns) + "\n1,PAYMENT\n")
+    main([source, "--malformed", "account", "--trees", "3", "--partitions", "2", "--output", output])
+    files = sorted(tuple(r)[1:] for r in spark.read.parquet(f"{output}/input_files").collect())
+    assert files == [(1, 0, 1), (tx.count(), tx.count(), 0)]
+    assert [r.text for r in spark.read.parquet(f"{output}/refused_rows").collect()] == ["1,PAYMENT"]
+    assert one(spark.read.parquet(f"{output}/label_counts"))["row_count"] == tx.count()
+    with pytest.raises(SystemExit):
+        main([source, "--malformed", "account", "--format", "parquet"])
+
+
 def test_job_with_every_argument(spark, tx, tmp_path):
     source, output = str(tmp_path / "csv"), str(tmp_path / "out")
     copies = transactions(spark, *[{"nameOrig": None}] * 5)
     tx.unionByName(copies).write.csv(source, header=True)
-    arguments = "--trees 3 --partitions 2 --split random --invalid keep --infer-schema --unique"
+    arguments = "--sampling random --trees 3 --partitions 2 --split random --invalid keep --infer-schema --unique"
     main([source, *arguments.split(), "--fraction", "0.5", "--all-senders", "--output", output])
     senders = one(spark.read.parquet(f"{output}/senders"))
     assert senders["row_count"] == tx.count() + 5

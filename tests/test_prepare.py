@@ -117,6 +117,27 @@ def test_random_sample_size(spark):
     assert 0.03 < sampling.random_sample(tx).count() / tx.count() < 0.07
 
 
+def test_fraction_sample_of_any_layout(spark):
+    tx = catalog.transactions(spark, f"{DATA}/sf0.01")
+
+    def kept(df, fraction, seed=67):
+        return sorted(map(str, sampling.fraction_sample(df, fraction, seed).collect()))
+
+    small = kept(tx, 0.0125)
+    assert small == kept(tx.repartition(7), 0.0125)
+    assert 0.008 < len(small) / tx.count() < 0.018
+    assert set(small) <= set(kept(tx, 0.2)) and kept(tx, 0.2) != kept(tx, 0.2, seed=5)
+    assert len(kept(tx, 1.0)) == tx.count() and kept(tx, 0.0) == []
+    for wrong in (-0.1, 1.1):
+        with pytest.raises(ValueError, match="from 0 to 1"):
+            sampling.fraction_sample(tx, wrong)
+
+
+def test_fraction_sample_filters_the_scan(spark):
+    sample = sampling.fraction_sample(catalog.transactions(spark, f"{DATA}/sf0.001"), 0.1)
+    assert "Exchange" not in plan(sample)
+
+
 def test_fraud_probability_of_a_one_class_model(spark):
     from pyspark.ml.linalg import Vectors
 

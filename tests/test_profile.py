@@ -1,6 +1,7 @@
 import pytest
 from conftest import DATA
 from frames import one, transactions
+from pyspark.sql import functions as F
 
 from txscreen.operators import prepare, profile
 from txscreen.plans import catalog, screening
@@ -100,3 +101,27 @@ def test_amounts_of_cells_with_nulls_and_none(spark):
 def test_preview_is_ordered(spark):
     tx = transactions(spark, {"step": 3}, {"step": 1}, {"step": 2})
     assert [r.step for r in profile.preview(tx.repartition(3), 2).collect()] == [1, 2]
+
+
+def test_sketches_merge_to_any_grouping(spark):
+    """Per type, per label and over all, from one table of cells, next to exact counts."""
+    rows = spark.range(60_000).selectExpr(
+        "concat('T', id % 3) AS type", "cast(id % 2 AS int) AS isFraud",
+        "concat('C', if(id % 5 = 0, 7, id % 23000)) AS nameOrig",
+    )
+    cells = profile.cells(rows, "type", "isFraud", distinct="nameOrig")
+    for keys in (["type"], ["isFraud"], ["type", "isFraud"], []):
+        exact = rows.groupBy(*keys).agg(F.countDistinct("nameOrig").alias("n"))
+        found = profile.distinct_estimate(cells, *keys)
+        both = found.join(exact, keys) if keys else found.crossJoin(exact)
+        for r in both.collect():
+            assert r.low <= r.n <= r.high
+            assert r.high - r.low <= 2 * max(1, 0.05 * r.estimate)
+
+
+def test_sketch_of_nulls_and_nothing(spark):
+    tx = transactions(spark, {"nameOrig": None}, {"type": "X"}, {"type": "X", "nameOrig": "C9"})
+    cells = profile.cells(tx, "type", distinct="nameOrig", amount="amount")
+    found = {r.type: tuple(r)[1:] for r in profile.distinct_estimate(cells, "type").collect()}
+    assert found == {"TRANSFER": (0, 0, 1), "X": (2, 1, 3)}
+    assert profile.distinct_estimate(cells.filter("false"), "type").collect() == []

@@ -6,7 +6,15 @@ from frames import BASE, transactions
 
 from txscreen.plans import catalog
 from txscreen.schema import TRANSACTION_SCHEMA
-from txscreen.sources import files, job_folder, materialize, new_path
+from txscreen.sources import (
+    files,
+    job_folder,
+    keep_on_disk,
+    materialize,
+    new_path,
+    session_settings,
+    stored_result,
+)
 
 
 def as_set(df):
@@ -146,3 +154,109 @@ def test_job_folder_is_gone_after_a_failure(spark):
         materialize(transactions(spark, {}), "t")
         raise RuntimeError
     assert not os.path.exists(folder)
+
+
+def tables_below(folder):
+    return sorted(d for d in os.listdir(folder) if not d.startswith("."))
+
+
+def test_inner_tables_go_once_the_result_is_stored(spark):
+    def build():
+        inner = materialize(transactions(spark, {}, {"step": 2}), "inner")
+        deeper = stored_result(spark, "deeper", lambda: materialize(inner, "innermost"))
+        return deeper.filter("step = 2")
+
+    with job_folder(spark) as folder:
+        for n in (1, 2):
+            result = stored_result(spark, "stage", build)
+            assert result.count() == 1
+            assert len(tables_below(folder)) == n
+            assert all(d.startswith("stage_") for d in tables_below(folder))
+    outside = stored_result(spark, "stage", build)
+    assert outside.count() == 1 and "/job_" not in outside.inputFiles()[0]
+    assert not [d for d in spark.catalog.listDatabases() if d.name.startswith("job_")]
+
+
+def test_inner_tables_go_after_a_failure(spark):
+    def build():
+        materialize(transactions(spark, {}), "inner")
+        raise RuntimeError
+
+    with job_folder(spark) as folder:
+        with pytest.raises(RuntimeError):
+            stored_result(spark, "stage", build)
+        assert tables_below(folder) == []
+        assert f"{folder}/t-" in new_path(spark, "t")
+
+
+def test_kept_rows_are_let_go_with_the_job(spark):
+    rows = transactions(spark, {"step": 77})
+    with job_folder(spark):
+        kept = keep_on_disk(rows)
+        assert kept.storageLevel.useDisk and not kept.storageLevel.useMemory
+    assert not rows.storageLevel.useDisk
+
+
+def test_settings_are_put_back(spark):
+    keys = ("spark.sql.shuffle.partitions", "spark.txscreen.unknown")
+    before = [spark.conf.get(k, None) for k in keys]
+    with pytest.raises(RuntimeError), session_settings(spark, dict.fromkeys(keys, "5")):
+        assert [spark.conf.get(k) for k in keys] == ["5", "5"]
+        raise RuntimeError
+    assert [spark.conf.get(k, None) for k in keys] == before
+
+
+def write_lines(path, *rows, header=True):
+    lines = [",".join(BASE)] if header else []
+    lines += [r if isinstance(r, str) else ",".join(map(str, {**BASE, **r}.values())) for r in rows]
+    path.write_text("\n".join(lines) + "\n")
+
+
+def test_account_of_three_kinds_of_broken_rows(spark, tmp_path):
+    broken = [",".join(map(str, {**BASE, "isFraud": "yes"}.values())), "1,TRANSFER,5.0"]
+    broken.append(",".join(map(str, BASE.values())) + ",extra")
+    (tmp_path / "in").mkdir()
+    write_lines(tmp_path / "in" / "a.csv", {}, broken[0], {"step": 2}, broken[1])
+    write_lines(tmp_path / "in" / "b.csv", broken[2], {"isFraud": ""}, {"isFraud": 1})
+    write_lines(tmp_path / "in" / "c.csv", broken[0])
+    write_lines(tmp_path / "in" / "d.csv", {"step": 9})
+    write_lines(tmp_path / "in" / "e.csv")
+    account = files.read_csv_with_account(spark, str(tmp_path / "in"))
+    assert account.rows.schema == TRANSACTION_SCHEMA
+    rows = sorted((r.step, str(r.isFraud)) for r in account.rows.collect())
+    assert rows == [(1, "0"), (1, "1"), (1, "None"), (2, "0"), (9, "0")]
+    counts = {r.file[-5:]: tuple(r)[1:] for r in account.files.collect()}
+    assert counts == {"a.csv": (4, 2, 2), "b.csv": (3, 2, 1), "c.csv": (1, 0, 1), "d.csv": (1, 1, 0)}
+    refused = sorted((r.file[-5:], r.text) for r in account.refused.collect())
+    assert refused == sorted(
+        [("a.csv", broken[0]), ("a.csv", broken[1]), ("b.csv", broken[2]), ("c.csv", broken[0])]
+    )
+    lines = sum(len(p.read_text().splitlines()) - 1 for p in (tmp_path / "in").iterdir())
+    assert lines == sum(c[0] for c in counts.values())
+
+
+def test_account_without_broken_rows_or_without_rows(spark, tmp_path):
+    write_lines(tmp_path / "t.csv", {}, {"isFraud": 1})
+    account = files.read_csv_with_account(spark, str(tmp_path / "t.csv"))
+    assert account.rows.count() == 2 and account.refused.count() == 0
+    write_lines(tmp_path / "none.csv")
+    account = files.read_csv_with_account(spark, str(tmp_path / "none.csv"))
+    assert account.rows.count() == account.refused.count() == account.files.count() == 0
+
+
+def test_account_of_columns_in_another_order_and_with_a_clashing_name(spark, tmp_path):
+    names = [*reversed(BASE), "line_text"]
+    values = [*map(str, reversed(BASE.values())), "hello"]
+    text = "\n".join([",".join(names), ",".join(values), "x," + ",".join(values[1:]), ""])
+    (tmp_path / "t.csv").write_text(text)
+    account = files.read_csv_with_account(spark, str(tmp_path / "t.csv"))
+    assert account.rows.first().asDict() == {**BASE, "line_text": "hello"}
+    assert account.refused.first().text == "x," + ",".join(values[1:])
+
+
+def test_account_of_files_with_different_headers_fails(spark, tmp_path):
+    for file, order in (("a.csv", list(BASE)), ("b.csv", list(BASE)[::-1])):
+        line = ",".join(str(BASE[n]) for n in order)
+        (tmp_path / file).write_text(",".join(order) + "\n" + line + "\n")
+    with pytest.raises(Exception, match="header"):
+        files.read_csv_with_account(spark, str(tmp_path))

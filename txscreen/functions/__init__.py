@@ -7,6 +7,7 @@ from txscreen.functions.columns import (
     percent,
     ratio,
     row_bucket,
+    row_number,
     rule_flag,
 )
 
@@ -19,5 +20,6 @@ __all__ = [
     "percent",
     "ratio",
     "row_bucket",
+    "row_number",
     "rule_flag",
 ]

@@ -60,18 +60,27 @@ def key_bucket(*keys: ColumnOrName, buckets: int = 100) -> Column:
     return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % buckets).cast("int")
 
 
+def _row_keys() -> list[Column]:
+    return [
+        cents(f.name) if f.dataType.typeName() == "double" else F.col(f.name)
+        for f in S.TRANSACTION_SCHEMA
+        if f.name not in (S.LABEL, S.FLAG)
+    ]
+
+
 def row_bucket(buckets: int = 100) -> Column:
     """``key_bucket`` over every column of a transaction but label and flag.
 
     All the columns take part so that one busy sender or one busy pair of
     accounts spreads over the buckets; only exact copies stay together.
     """
-    keys = [
-        cents(f.name) if f.dataType.typeName() == "double" else F.col(f.name)
-        for f in S.TRANSACTION_SCHEMA
-        if f.name not in (S.LABEL, S.FLAG)
-    ]
-    return key_bucket(*keys, buckets=buckets)
+    return key_bucket(*_row_keys(), buckets=buckets)
+
+
+def row_number(seed: int) -> Column:
+    """A number from 0 to 2**52 - 1 that row and ``seed`` decide, as ``row_bucket`` does."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in _row_keys()]))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
 
 
 def fraud_probability(probability: ColumnOrName = "probability") -> Column:

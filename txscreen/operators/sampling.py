@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txscreen.functions import row_bucket
+from txscreen.functions import row_bucket, row_number
 
 TRAIN, TEST = "train", "test"
 
@@ -28,6 +28,18 @@ def hash_sample(df: DataFrame, percent: int = 5) -> DataFrame:
     return df.filter(row_bucket() < percent)
 
 
+def fraction_sample(df: DataFrame, fraction: float = 0.05, seed: int = 67) -> DataFrame:
+    """Any ``fraction`` of the rows, chosen by a hash of row and seed.
+
+    The same rows in any layout, on any cluster and at every run, as a filter
+    of the scan; another seed chooses others. Exact copies are chosen together,
+    and a larger fraction of one seed holds all rows of a smaller one.
+    """
+    if not 0.0 <= fraction <= 1.0:
+        raise ValueError(f"a fraction is from 0 to 1, not {fraction}")
+    return df.filter(row_number(seed) < F.lit(round(fraction * 2**52)))
+
+
 def with_part(df: DataFrame, train_percent: int = 80, *, column: str = "part") -> DataFrame:
     """Mark each row ``train`` or ``test`` by its bucket.
 

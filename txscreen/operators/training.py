@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from txscreen import schema as S
 from txscreen.functions import fraud_probability
 from txscreen.operators import evaluate, features, prepare, sampling
-from txscreen.sources import materialize
+from txscreen.sources import keep_on_disk, materialize, session_settings
 
 
 @dataclass(frozen=True)
@@ -49,34 +49,45 @@ def train_test_tables(
     random_seed: int | None = None,
     partitions: int = Forest.partitions,
 ) -> tuple[DataFrame, DataFrame]:
-    """Clean and split ``df`` into stored tables, once for all models.
+    """Clean and split ``df``, dealt out once for all models and passes.
 
-    Fitting passes over the training rows many times. Reading them from
-    storage costs each pass one scan instead of the deduplication's shuffle.
-    The split goes by row bucket; with ``random_seed`` it is a random one.
+    One shuffle serves deduplication, split and layout: copies are dropped in
+    the map tasks, the rest is dealt by a hash of the whole row, and what
+    arrives is sorted and kept on the executors' disks. Fitting passes over
+    the training rows many times and finds them there. The split goes by row
+    bucket; with ``random_seed`` it is a random one of the rows as they lie.
     """
+    whole = _dealt_rows(df, train_percent, partitions)
     if random_seed is not None:
-        stored = materialize(prepare.clean(df), "clean")
-        train, test = sampling.random_split(stored, train_percent / 100, random_seed)
-        return _laid_out(train, partitions), test
-    parts = sampling.with_part(prepare.unique_labelled(df), train_percent)
-    kept = prepare.with_exchange_type(parts).select(*S.CLEAN_COLUMNS, "part")
-    table = materialize(kept, "clean", partition_by=("part",))
-    train = table.filter(F.col("part") == sampling.TRAIN).drop("part")
-    test = table.filter(F.col("part") == sampling.TEST).drop("part")
-    return _laid_out(train, partitions), test
+        return sampling.random_split(whole.drop("part"), train_percent / 100, random_seed)
+    train = whole.filter(F.col("part") == sampling.TRAIN).drop("part")
+    test = whole.filter(F.col("part") == sampling.TEST).drop("part")
+    return train, test
+
 
+def _dealt_rows(df: DataFrame, train_percent: int, partitions: int) -> DataFrame:
+    """Clean rows with their part, in one order over a given number of partitions.
 
-def _laid_out(train: DataFrame, partitions: int) -> DataFrame:
-    """The rows in one order over a given number of partitions, however they are stored.
+    MLlib samples by partition and by place in it. Dealt by a hash of the whole
+    row and sorted, rows that are equal once the ids are gone being
+    interchangeable, a forest depends on rows, seed and ``partitions`` alone:
+    not on files, cores or the size of the table. For a large table the number
+    should be one that fits a few hundred MB each.
 
-    Dealt by a hash of the whole row and sorted, equal rows being
-    interchangeable, so that a forest depends on rows, seed and ``partitions``
-    alone: not on files, cores or the size of the table. For a large table the
-    number should be one that fits a few hundred MB each.
+    The deal is the deduplication's own shuffle, so that a set of copies is one
+    row per map task there, whatever its size; its number of partitions is a
+    setting of the session while the plan is made and run.
     """
-    dealt = train.repartition(partitions, *S.CLEAN_COLUMNS)
-    return dealt.sortWithinPartitions(*S.CLEAN_COLUMNS)
+    parts = sampling.with_part(prepare.unique_labelled(df), train_percent)
+    kept = prepare.with_exchange_type(parts).select(*S.CLEAN_COLUMNS, "part")
+    fixed = {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    # Spark finds kept rows by their plan, which must tell one number from another.
+    told = kept.withColumn("dealt", F.lit(partitions))
+    with session_settings(df.sparkSession, fixed):
+        return keep_on_disk(told.sortWithinPartitions(*S.CLEAN_COLUMNS, "part")).drop("dealt")
 
 
 def fit_forest(
@@ -90,7 +101,8 @@ def fit_forest(
 ) -> PipelineModel:
     """Indexers, assembler and forest as one fitted pipeline.
 
-    Passes over ``train`` several times, so it should be a stored table.
+    Passes over ``train`` several times, so its rows should be kept as
+    ``train_test_tables`` does.
     ``indexers`` fitted before on the same rows are taken over as they are.
     """
     columns = features.check_leaks(columns, allow_late=allow_late)
@@ -134,8 +146,8 @@ def train_and_evaluate(
 ) -> Trained:
     """Fit on ``train``, score ``test`` once, store the scored rows and their evaluation.
 
-    Confusion matrix, threshold sweep and preview then read three stored
-    columns instead of running the forest again.
+    Outcome cells and preview then read three stored columns instead of running
+    the forest again.
     """
     model = fit_forest(
         train, columns, settings, label=label, indexers=indexers, allow_late=allow_late

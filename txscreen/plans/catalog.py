@@ -14,6 +14,7 @@ from txscreen.sources import (
     materialize,
     new_path,
     read_csv,
+    read_csv_with_account,
     transactions_from_events,
     write_csv,
 )
@@ -55,6 +56,7 @@ WHOLE_LABELS = (
     "train_test_rows",
     "leakfree_columns",
     "confusion_matrix",
+    "confusion_of_cells",
     "scored_labels",
 )
 
@@ -108,6 +110,43 @@ def schema_profile(tx):
     return files.schema_profile(read_csv(tx.sparkSession, path, infer_schema=True))
 
 
+#: Of 100 buckets of rows, those that ``_with_broken_lines`` breaks, and how.
+BROKEN_LABEL, BROKEN_AMOUNT, TOO_SHORT, TOO_LONG = range(4)
+
+
+def _with_broken_lines(tx: DataFrame) -> str:
+    """Path of the table as lines of text, some of them malformed."""
+    values = {f: F.coalesce(F.col(f).cast("string"), F.lit("")) for f in tx.columns}
+    bucket = fn.row_bucket()
+    changed = values | {
+        S.LABEL: F.when(bucket == BROKEN_LABEL, "yes").otherwise(values[S.LABEL]),
+        S.AMOUNT: F.when(bucket == BROKEN_AMOUNT, "n/a").otherwise(values[S.AMOUNT]),
+    }
+    line = F.concat_ws(",", *changed.values())
+    line = F.when(bucket == TOO_SHORT, F.concat_ws(",", *list(values.values())[:-2])).otherwise(line)
+    line = F.when(bucket == TOO_LONG, F.concat(line, F.lit(",1"))).otherwise(line)
+    path = new_path(tx.sparkSession, "broken-csv")
+    tx.select(line.alias("line")).write.text(path)
+    return path
+
+
+@_on(transactions)
+def csv_account(tx):
+    """Lines read, rows taken and rows refused, and the fraud among those taken."""
+    account = read_csv_with_account(tx.sparkSession, _with_broken_lines(tx), header=False)
+    counts = account.files.agg(
+        *[F.sum(c).alias(c) for c in ("line_count", "row_count", "refused_count")]
+    )
+    listed = account.refused.agg(F.count(F.lit(1)).alias("listed_count"))
+    return _beside(counts, listed, profile.label_counts(account.rows).select("fraud"))
+
+
+@_on(transactions)
+def csv_rows_kept(tx):
+    """The rows of a broken table that fit."""
+    return read_csv_with_account(tx.sparkSession, _with_broken_lines(tx), header=False).rows
+
+
 @_on(transactions)
 def preview(tx):
     return profile.preview(tx, 5)
@@ -126,6 +165,11 @@ def sample_hash(tx):
     return sampling.hash_sample(tx, 5)
 
 
+@_on(transactions)
+def sample_fraction(tx):
+    return sampling.fraction_sample(tx, 0.125, 67)
+
+
 @_on(transactions)
 def split_hash(tx):
     return sampling.with_part(tx)
@@ -300,6 +344,16 @@ def sender_stats(tx):
     return profile.sender_stats(tx)
 
 
+@_on(transactions)
+def senders_by_type(tx):
+    """Distinct senders per type, and whether the sketch's bounds hold them."""
+    exact = tx.groupBy(S.KIND).agg(F.countDistinct(S.SENDER).alias("senders"))
+    cells = profile.cells(tx, S.KIND, S.LABEL, distinct=S.SENDER)
+    near = profile.distinct_estimate(cells, S.KIND)
+    held = F.col("senders").between(F.col("low"), F.col("high")).alias("held")
+    return exact.join(near, S.KIND).select(S.KIND, "senders", held)
+
+
 @_on(transactions)
 def top_senders(tx):
     return profile.top_senders(tx, 10)
@@ -349,6 +403,31 @@ def auc_exact(rows):
     return _rounded(evaluate.roc_auc(rows), 9)
 
 
+@_on(scored)
+def auc_bounds(rows):
+    return _rounded(evaluate.auc_bounds(evaluate.score_histogram(rows)), 9)
+
+
+@_on(scored)
+def confusion_of_cells(rows):
+    return evaluate.confusion(evaluate.outcome_cells(rows), weight="row_count")
+
+
+@_on(scored)
+def metrics_of_cells(rows):
+    return _rounded(evaluate.weighted_metrics(evaluate.outcome_cells(rows), weight="row_count"), 9)
+
+
+@_on(scored)
+def outcomes_of_cells(rows):
+    return evaluate.outcome_counts(evaluate.outcome_cells(rows), weight="row_count")
+
+
+@_on(scored)
+def sweep_of_cells(rows):
+    return _rounded(evaluate.sweep_of_cells(evaluate.outcome_cells(rows)), 9)
+
+
 @_on(scored)
 def confusion_matrix(rows):
     return evaluate.confusion(rows)
@@ -418,12 +497,15 @@ def feature_importance(m):
 
 @_on(models)
 def auc_model(m):
-    """Of both forests: exact, and binned as MLlib's evaluator has it by default."""
+    """Of both forests: exact, binned as MLlib's evaluator has it, and the histogram's bounds."""
     rows = [
-        evaluate.roc_auc(t.predictions).select(
-            F.lit(t.name).alias("model"),
-            "auc",
-            F.lit(evaluate.binned_auc(t.predictions)).alias("auc_binned"),
+        _beside(
+            evaluate.roc_auc(t.predictions).select(
+                F.lit(t.name).alias("model"),
+                "auc",
+                F.lit(evaluate.binned_auc(t.predictions)).alias("auc_binned"),
+            ),
+            evaluate.auc_bounds(evaluate.score_histogram(t.predictions)),
         )
         for t in (m.full, m.leak_free)
     ]
@@ -494,6 +576,13 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["model_comparison"] = model_comparison
 
 
+def _beside(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Frames of one row each as one row."""
+    for other in others:
+        first = first.unionByName(other, allowMissingColumns=True)
+    return first.agg(*[F.first(c, ignorenulls=True).alias(c) for c in first.columns])
+
+
 def _rounded(df: DataFrame, places: int) -> DataFrame:
     """Doubles to ``places``, as sums of doubles differ in their last digits."""
     return df.select(

@@ -49,13 +49,13 @@ WITH kinds AS (
   FROM (SELECT *, ROUND(amount / CAST(500000 AS DOUBLE), 6) AS score FROM ruled
     WHERE isFraud IS NOT NULL)
 ), bucketed AS (
-  SELECT *, CAST('0x' || substr(md5(concat_ws('|', step, type,
+  SELECT *, CAST('0x' || substr(md5(keys), 1, 8) AS BIGINT) % 100 AS bucket
+  FROM (SELECT *, concat_ws('|', step, type,
       CAST(floor(amount * 100 + 0.5) AS BIGINT), nameOrig,
       CAST(floor(oldbalanceOrg * 100 + 0.5) AS BIGINT),
       CAST(floor(newbalanceOrig * 100 + 0.5) AS BIGINT),
       nameDest, CAST(floor(oldbalanceDest * 100 + 0.5) AS BIGINT),
-      CAST(floor(newbalanceDest * 100 + 0.5) AS BIGINT))), 1, 8) AS BIGINT) % 100 AS bucket
-  FROM tx
+      CAST(floor(newbalanceDest * 100 + 0.5) AS BIGINT)) AS keys FROM tx)
 ), type_index AS (
   SELECT type,
     CAST(row_number() OVER (ORDER BY count(*) DESC, type) - 1 AS DOUBLE) AS type_num
@@ -165,11 +165,19 @@ FROM (SELECT tp + fn AS n1, tn + fp AS n0, {_guarded('tp + tn', 'tp + tn + fp +
 _BODIES = {
     "scan_transactions": "SELECT * FROM tx",
     "csv_roundtrip": "SELECT * FROM tx",
-    "sample_roundtrip": "SELECT * EXCLUDE (bucket) FROM bucketed WHERE bucket < 5",
+    "sample_roundtrip": "SELECT * EXCLUDE (bucket, keys) FROM bucketed WHERE bucket < 5",
     "schema_profile": _schema_rows(),
     "preview": f"SELECT * FROM tx ORDER BY {', '.join(S.TRANSACTION_SCHEMA.names)} LIMIT 5",
-    "sample_hash": "SELECT * EXCLUDE (bucket) FROM bucketed WHERE bucket < 5",
-    "split_hash": """SELECT * EXCLUDE (bucket),
+    "sample_hash": "SELECT * EXCLUDE (bucket, keys) FROM bucketed WHERE bucket < 5",
+    "sample_fraction": """SELECT * EXCLUDE (bucket, keys) FROM bucketed
+        WHERE CAST('0x' || substr(md5('67|' || keys), 1, 13) AS BIGINT) < 562949953421312""",
+    "csv_account": """SELECT count(*) AS line_count, count(*) FILTER (bucket > 3) AS row_count,
+        count(*) FILTER (bucket < 4) AS refused_count, count(*) FILTER (bucket < 4) AS listed_count,
+        count(*) FILTER (bucket > 3 AND isFraud = 1) AS fraud FROM bucketed""",
+    "csv_rows_kept": "SELECT * EXCLUDE (bucket, keys) FROM bucketed WHERE bucket > 3",
+    "senders_by_type": """SELECT type, count(DISTINCT nameOrig) AS senders, TRUE AS held
+        FROM tx GROUP BY type""",
+    "split_hash": """SELECT * EXCLUDE (bucket, keys),
         CASE WHEN bucket < 80 THEN 'train' ELSE 'test' END AS part FROM bucketed""",
     "split_random_rows": "SELECT * FROM clean",
     "train_test_rows": """SELECT step, type, amount, oldbalanceOrg, newbalanceOrig,
@@ -222,7 +230,20 @@ _BODIES = {
         typeEchange_num FROM {_INDEXED}""",
     "leakfree_columns": "SELECT step, type, amount, typeEchange, isFraud FROM clean",
     "auc_exact": "SELECT ROUND(auc, 9) AS auc FROM area",
+    "auc_bounds": """SELECT ROUND(sure / pairs, 9) AS auc_low, ROUND((sure + unsure) / pairs, 9) AS auc_high
+        FROM (SELECT CAST(sum(2 * pos * below + CASE WHEN one THEN pos * neg ELSE 0 END) AS DOUBLE) AS sure,
+            CAST(sum(CASE WHEN one THEN 0 ELSE 2 * pos * neg END) AS DOUBLE) AS unsure,
+            CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE) * 2 AS pairs
+          FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY place
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+            FROM (SELECT least(floor(least(score, 1) * 1000), 999) AS place,
+                count(*) FILTER (isFraud = 1) AS pos, count(*) FILTER (isFraud = 0) AS neg,
+                min(score) = max(score) AS one FROM scored GROUP BY place)))""",
     "confusion_matrix": _count_by("scored", "isFraud", "prediction"),
+    "confusion_of_cells": _count_by("scored", "isFraud", "prediction"),
+    "metrics_of_cells": _WEIGHTED,
+    "outcomes_of_cells": "SELECT tp, fn, fp FROM counts",
+    "sweep_of_cells": _sweep(),
     "tp_fn_fp": "SELECT tp, fn, fp FROM counts",
     "recall": f"SELECT ROUND({_guarded('tp', '(tp + fn)')}, 9) AS recall FROM counts",
     "weighted_metrics": _WEIGHTED,
@@ -251,7 +272,7 @@ _BODIES = {
 _WITH_LABEL = """
     scan_transactions csv_roundtrip sample_roundtrip preview sample_hash split_hash
     exchange_type clean_features rule_flag dedup_rows class_balance flag_vs_label
-    label_by_type label_by_exchange sample_and_rest
+    label_by_type label_by_exchange sample_and_rest sample_fraction csv_rows_kept
 """.split()
 
 
