@@ -30,6 +30,7 @@ from txscreen.llm import (
     substrings,
 )
 from txscreen.llm.queries import word_bpe_path
+from txscreen.sources import session_settings
 
 TYPES = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside; they must not get in the way.
@@ -82,17 +83,17 @@ def small(spark):
     return rows, [tuple(r) for r in rows.collect()]
 
 
-def plain_sets(rows):
+def plain_sets(rows, width=4):
     sets = []
     for _, text, *_ in rows:
         words = (text or "").encode().lower().split()
-        wide = min(4, len(words))
+        wide = min(width, len(words))
         sets.append(frozenset(tuple(words[i : i + wide]) for i in range(len(words) - wide + 1)) if words else frozenset())
     return sets
 
 
-def plain_components(rows, percent=85):
-    sets = plain_sets(rows)
+def plain_components(rows, percent=85, width=4):
+    sets = plain_sets(rows, width)
     group = list(range(len(rows)))
     for a in range(len(rows)):
         for b in range(a):
@@ -285,10 +286,55 @@ def test_boilerplate_is_counted_per_host(spark):
     assert all(found[200 + i]["kept"] and found[200 + i]["boiler_chars"] > 0 for i in range(40))
 
 
+def plain_targets(sizes, weights=(1, 2, 3), top=3):
+    """Target per source: the total by weight, what is above ``top`` sizes reshared."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    left, free, targets = sum(sizes.values()), set(names), {}
+    while free:
+        share = {s: left * weight[s] / sum(weight[f] for f in free) for s in free}
+        full = {s for s in free if share[s] > top * sizes[s]}
+        if not full:
+            return targets | share
+        targets |= {s: float(top * sizes[s]) for s in full}
+        left, free = left - sum(top * sizes[s] for s in full), free - full
+    return targets
+
+
+def plain_copies(rows, seed=67):
+    """Copies per doc_id by a walk down the order, equal chances within a source."""
+    words = {r[0]: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows}
+    sources = collections.defaultdict(list)
+    for r in rows:
+        sources[r[3]].append(r[0])
+    targets = plain_targets({s: sum(words[i] for i in ids) for s, ids in sources.items()})
+    copies = {}
+    for source, ids in sources.items():
+        size, target = sum(words[i] for i in ids), targets[source]
+        whole = int(target // size) if size else 0
+        due = target - whole * size
+        order = sorted(ids, key=lambda i: hashlib.md5(f"{seed}:{i}".encode()).hexdigest())
+        taken = []
+        for i in order:
+            if words[i] <= int(due) - sum(words[t] for t in taken):
+                taken.append(i)
+        out, gap = [i for i in order if i not in taken], due - sum(words[t] for t in taken)
+        if out and min(words[i] for i in out) < 2 * gap:
+            taken.append(min(out, key=lambda i: words[i]))
+        for i in ids:
+            copies[i] = min(3, whole + (i in taken))
+    return copies
+
+
+def test_mix_equals_a_walk(small):
+    found = {r["doc_id"]: r["copies"] for r in mixing.mix(small[0]).collect()}
+    assert found == plain_copies(small[1])
+
+
 def test_mix_comes_near_its_targets(awkward, small, nothing):
-    for table in (awkward, small[0]):
-        found = mixing.mix(table).collect()
-        again = mixing.mix(table.repartition(5)).collect()
+    for table, by_size in ((awkward, False), (small[0], False), (awkward, True), (small[0], True)):
+        found = mixing.mix(table, by_size=by_size).collect()
+        again = mixing.mix(table.repartition(5), by_size=by_size).collect()
         assert as_multiset(found) == as_multiset(again)
         sources = collections.defaultdict(list)
         for r in found:
@@ -300,12 +346,52 @@ def test_mix_comes_near_its_targets(awkward, small, nothing):
             size, target = sum(r["size"] for r in rows), rows[0]["target"]
             assert rows[0]["source_size"] == size and target <= 3 * size + 1e-6
             off = abs(sum(r["taken"] for r in rows) - target)
-            assert off <= max(r["size"] for r in rows) / 2 + 1e-6
-            if len(rows) > 5 and max(r["size"] for r in rows) < 0.2 * size:
-                assert off <= 0.05 * target + 20
+            # The last one taken may be above the target, by half of its size at most.
+            assert off <= max(1, max(r["size"] for r in rows) / 2)
     assert mixing.mix(nothing).collect() == []
 
 
+@pytest.mark.parametrize("by_size", [False, True])
+@pytest.mark.parametrize("long", [[60_000], [60_000, 50_000, 9_000, 7_000]])
+def test_long_documents_keep_nothing_out(spark, long, by_size):
+    """A document that is long against what is due doesn't cost the source its target."""
+    rows = [(i, "w " * n, "x") for i, n in enumerate(long)]
+    rows += [(100 + i, "w " * (100 + i % 3), "x") for i in range(400)]
+    rows += [(1000 + i, "w " * 250, "y") for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in (67, 1, 2):
+        found = mixing.mix(table, weights=(2, 1), seed=seed, by_size=by_size).collect()
+        for source in "xy":
+            own = [r for r in found if r["source"] == source]
+            taken, target = sum(r["taken"] for r in own), own[0]["target"]
+            least = min(r["copies"] for r in own)
+            left_out = [r["size"] for r in own if r["copies"] == least]
+            assert abs(taken - target) <= min(left_out) and abs(taken - target) < 251
+
+
+def test_mix_of_empty_documents(spark):
+    rows = [(1, None, "a"), (2, " \t", "a"), (3, "", None), (3, "", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for r in mixing.mix(table).collect():
+        assert (r["size"], r["target"], r["taken"], r["copies"]) == (0, 0.0, 0, 1)
+    with pytest.raises(ValueError, match="not with both"):
+        mixing.mix(table, inclusion="doc_id", by_size=True)
+
+
+def test_a_hot_source_is_spread(spark):
+    """No exchange deals documents by their source alone."""
+    rows = [(i, "w " * (1 + i % 9), "hot" if i % 3 else f"s{i}") for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    keys = "spark.sql.autoBroadcastJoinThreshold"
+    with session_settings(spark, {keys: "-1"}):
+        rows = table.select("*", F.col("source").isNull().alias("no_source"), F.col("source").alias("name"))
+        sources = rows.groupBy(*mixing.OWN).agg(F.count(F.lit(1)).alias("n"))
+        found = mixing._with_source(rows.withColumn("row", F.col("doc_id")), sources)
+        assert found.count() == 300
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "salt" in plan.split("SortMergeJoin")[1].split("\n")[0]
+
+
 def test_targets_fill_to_one_level(spark):
     sizes = [(False, "a", 1), (False, "b", 1000), (False, "c", 100), (True, "", 899)]
     table = spark.createDataFrame(sizes, "no_source boolean, name string, source_size long")
@@ -434,6 +520,77 @@ def test_language_of_awkward_rows(awkward, nothing):
     assert langid.keep_identified(nothing).collect() == []
 
 
+def letters_of(text):
+    return "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text)
+
+
+def grams_of(text):
+    """Letters, pairs and triples within words, a blank at either end, as code points."""
+    counts = collections.Counter()
+    for word in letters_of(text).split(" "):
+        if word:
+            full = [0, *map(ord, word), 0]
+            counts.update((c,) for c in full[1:-1])
+            counts.update(zip(full, full[1:]))
+            counts.update(zip(full, full[1:], full[2:]))
+    return counts
+
+
+def by_code(counts):
+    """Counts by the number that stands for an n-gram; a blank ahead adds nothing to it."""
+    found = collections.Counter()
+    for gram, n in counts.items():
+        code = 0
+        for c in gram:
+            code = code << 21 | c
+        found[code] += n
+    return found
+
+
+def plain_language(text, profiles, size=300):
+    """The nearest profile by out-of-place distance, and the score."""
+    counts = by_code(grams_of(text or ""))
+    own = sorted(counts, key=lambda g: (-counts[g], g))[:size]
+    if not own or not profiles:
+        return "und", 0.0
+    off = {
+        lang: sum(abs(places[g] - i) if g in places else size for i, g in enumerate(own))
+        for lang, places in profiles.items()
+    }
+    best = min(off, key=lambda lang: (off[lang], lang))
+    return best, 1.0 - off[best] / (size * len(own))
+
+
+def test_language_equals_a_plain_prediction(spark, awkward, small):
+    """Every text's language and score, of profiles counted by plain code."""
+    for table, rows in ((awkward, awkward_rows()), small):
+        counts = collections.defaultdict(collections.Counter)
+        for i, text, lang, *_ in rows:
+            if i is not None and lang is not None and zlib.crc32(str(i).encode()) % 5:
+                counts[lang].update(grams_of(text or ""))
+        profiles = {}
+        for lang, found in counts.items():
+            codes = by_code(found)
+            best = sorted(codes, key=lambda g: (-codes[g], g))[:300]
+            if best:
+                profiles[lang] = {g: i for i, g in enumerate(best)}
+        found = [(r["doc_id"], r["lang_pred"], round(r["score"], 12)) for r in langid.identify(table).collect()]
+        wanted = [(r[0], *plain_language(r[1], profiles)) for r in rows]
+        assert as_multiset(found) == as_multiset((i, p, round(s, 12)) for i, p, s in wanted)
+
+
+def test_language_of_clashing_names(small):
+    names = ["_read", "c0", "lang_pred", "score", "lang", "place", "gram"]
+    table = small[0].limit(20).withColumns({n: F.lit(f"own {n}") for n in names})
+    profiles = langid.train_profiles(small[0])
+    few = langid.predict(table, profiles)
+    assert few.columns == ["doc_id", "lang", "source", "n_chars", "_read", "c0", "place", "gram", "lang_pred", "score"]
+    assert {r["_read"] for r in few.collect()} == {"own _read"}
+    whole = langid.predict(table, profiles, keep_text=True)
+    texts = {r["doc_id"]: r["text"] for r in table.collect()}
+    assert {r["doc_id"]: r["text"] for r in whole.collect()} == texts
+
+
 def test_language_of_held_out_documents(small):
     found = small[0].join(langid.identify(small[0]), "doc_id").filter("held_out").collect()
     assert len(found) > 20
@@ -482,10 +639,10 @@ def test_pipeline_stage_by_stage(spark, small):
 
     before = [tuple(r) for r in two.collect()]
     three = stages["near-duplicates"](spark, two, folder)
-    first = {i for i, _, c in plain_components(before) if i == c}
+    first = {i for i, _, c in plain_components(before, percent=80, width=5) if i == c}
     assert as_multiset(three.collect()) == as_multiset(r for r in before if r[0] in first)
 
-    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(three).collect()}
+    copies = plain_copies([r for r in before if r[0] in first])
     four = stages["mix"](spark, three, folder)
     assert four.columns == docs.columns
     wanted = [r for r in before if r[0] in first for _ in range(copies[r[0]])]

@@ -1,5 +1,8 @@
 """Texts that the quality operator leaves, line by line."""
 
+import collections
+import re
+
 from pyspark.sql import functions as F
 
 from txscreen.llm import quality
@@ -45,3 +48,35 @@ def test_share_decides_in_a_hot_host(spark):
         found = quality.clean(table).filter("n_removed > 0").count()
         assert found == gone
     assert quality.clean(table, line_percent=0.5).filter("n_removed > 0").count() == 30
+
+
+def normal(line):
+    low = " ".join(part for part in re.split(r"[\x20\x09-\x0D]+", line) if part).lower()
+    return re.sub("[0-9]+", "0", low)
+
+
+def test_white_space_never_makes_another_line(spark):
+    """Tabs, carriage returns and lines of white space alone, against a plain count."""
+    ends = ["", "\t", "\r", " \t ", "\x0b", "\x0c\r"]
+    blank = ["", " ", "\t", "\r", " \t\r"]
+    rows = []
+    for i in range(60):
+        own = f"own line of document {chr(97 + i % 26)}{chr(97 + i // 26)}{ends[i % 6]}"
+        lines = [f"{ends[i % 6]}Footer  of\tthe page{ends[-1 - i % 6]}", blank[i % 5], own, "\r"]
+        rows.append((i, "\n".join(lines), "x" if i % 4 else "y", ""))
+    rows += [(100 + i, "\r\n\t\n", "x", "") for i in range(30)]
+    table = spark.createDataFrame(rows, TYPES).repartition(4)
+    hosts = {s: sum(r[2] == s for r in rows) for s in "xy"}
+    counts = collections.Counter(
+        (source, key) for _, text, source, _ in rows for key in {normal(n) for n in text.split("\n")} if key
+    )
+    gone = {k for k, n in counts.items() if n >= 20 and 100 * n >= hosts[k[0]]}
+    assert gone == {("x", "footer of the page")}
+    found = {r["doc_id"]: r for r in quality.clean(table).collect()}
+    chars = {r["doc_id"]: (r["line_chars"], r["boiler_chars"]) for r in quality.judge(table).collect()}
+    for i, text, source, _ in rows:
+        lines = text.split("\n")
+        left = [n for n in lines if (source, normal(n)) not in gone]
+        assert (found[i]["kept_text"], found[i]["n_removed"]) == ("\n".join(left), len(lines) - len(left))
+        every = sum(len(normal(n)) for n in lines)
+        assert chars[i] == (every, every - sum(len(normal(n)) for n in left))

@@ -23,6 +23,7 @@ into all of their pairs:
    these comes back with its sets, to be probed.
 """
 
+import bisect
 import heapq
 import math
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from txscreen.llm.common import numbered
 from txscreen.llm.components import connected
-from txscreen.sources import materialize
+from txscreen.sources import materialize, session_settings
 
 #: Words of a shingle, and the percentage of the union that must be shared.
 WIDTH, PERCENT = 4, 85
@@ -53,9 +54,12 @@ FILTER_BITS = 23
 
 #: Sets of an index block in the search. A block holds sets of about one size;
 #: sizes with more sets have several.
-BLOCK_SETS = 20_000
+BLOCK_SETS = 8_192
 
-CACHE_WORDS = 300_000
+#: Times that one block may be there for its queries: a bound of the numbers of blocks alone.
+MOST_TIMES = 1 << 32
+
+CACHE_WORDS = 100_000
 
 # Odd multipliers of the hash of a shingle: multiples of the golden ratio's.
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -298,36 +302,61 @@ class _Forest(dict):
         self[max(a, b)] = min(a, b)
 
 
+class _Lists:
+    """Inverted lists of a block in two arrays: tokens in order, and the place of each one's set."""
+
+    def __init__(self, tokens: list[np.ndarray]):
+        lengths = [len(t) for t in tokens]
+        flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+        # The sort is stable, so the places of a token ascend.
+        order = np.argsort(flat, kind="stable")
+        self.tokens = flat[order]
+        self.places = np.repeat(np.arange(len(tokens), dtype=np.int32), lengths)[order]
+
+    def of(self, tokens: np.ndarray) -> list[np.ndarray]:
+        """The list of each token that has one."""
+        low, high = (np.searchsorted(self.tokens, tokens, side) for side in ("left", "right"))
+        return [self.places[a:b] for a, b in zip(low.tolist(), high.tolist()) if a < b]
+
+
 class _Block:
-    """Sets of one index block with their inverted lists: DivideSkip for one query at a time."""
+    """Sets of one index block with their inverted lists: DivideSkip for one query at a time.
+
+    Index sets are added in the order of their keys, all before the first query.
+    """
 
     def __init__(self, counts: np.ndarray, percent: int):
         self.counts, self.percent = counts, percent
-        self.sets: dict[int, np.ndarray] = {}
-        self.short: dict[int, list[int]] = {}
+        self.keys: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.lists: _Lists | None = None
         self.known = _Forest()
 
+    def _short(self, shingles: np.ndarray) -> np.ndarray:
+        return in_order(shingles, self.counts)[: short_count(len(shingles), self.percent)]
+
     def add(self, key: int, label: int, shingles: np.ndarray) -> None:
-        self.sets[key] = shingles
+        self.keys.append(key)
+        self.sets.append(shingles)
         self.known.join(key, label)
-        for token in in_order(shingles, self.counts)[: short_count(len(shingles), self.percent)]:
-            self.short.setdefault(int(token), []).append(key)
 
     def search(self, query: int, label: int, shingles: np.ndarray) -> list[int]:
         """Index sets behind ``query`` in key order that link to it and weren't connected yet."""
+        if self.lists is None:
+            self.lists = _Lists([self._short(s) for s in self.sets])
         known = self.known
         known.join(query, label)
-        short = in_order(shingles, self.counts)[: short_count(len(shingles), self.percent)]
-        own, lists = known.find(query), []
-        for token in short:
-            # The lists are in key order, so merging them brings equal keys together.
-            keys = self.short.get(int(token), ())
-            keys = [k for k in keys if k > query and known.find(k) != own]
-            if keys:
-                lists.append(keys)
+        own, behind = known.find(query), bisect.bisect_right(self.keys, query)
+        lists = []
+        for places in self.lists.of(self._short(shingles)):
+            # A list is in key order, so merging brings equal places together.
+            later = places[np.searchsorted(places, behind) :].tolist()
+            later = [i for i in later if known.find(self.keys[i]) != own]
+            if later:
+                lists.append(later)
         found = []
-        for key, _ in groupby(heapq.merge(*lists)):
-            other = self.sets[key]
+        for place, _ in groupby(heapq.merge(*lists)):
+            key, other = self.keys[place], self.sets[place]
             both = len(shingles) + len(other)
             least = -(-self.percent * both // (100 + self.percent))
             if 100 * min(len(shingles), len(other)) < self.percent * max(len(shingles), len(other)):
@@ -378,30 +407,33 @@ def _bounded_search(percent: int):
         number = None
         for batch in batches:
             out: list[tuple[int, bool, int]] = []
-            names = ("block", "query", "key", "label", "n", "ranges", "tokens")
-            for at, query, key, label, n, ranges, tokens in _rows(batch, *names):
+            tokens = batch.column("tokens")
+            names = ("block", "query", "key", "label", "n", "ranges")
+            for row, (at, query, key, label, n, ranges) in enumerate(_rows(batch, *names)):
                 if at != number:
-                    number, lists, told = at, {}, set()
-                    keys, labels, sizes, counts = [], [], [], []
-                    table = None
+                    number, table, told = at, None, set()
+                    keys, labels, sizes, counts, short = [], [], [], [], []
                 own = np.frombuffer(ranges, np.int32)
+                mine = tokens[row].values.to_numpy()
                 if not query:
-                    for token in tokens:
-                        lists.setdefault(token, []).append(len(keys))
-                    for column, value in zip((keys, labels, sizes, counts), (key, label, n, own)):
+                    columns = (keys, labels, sizes, counts, short)
+                    # Copies: the batch they are part of goes.
+                    for column, value in zip(columns, (key, label, n, own.copy(), mine.copy())):
                         column.append(value)
                     continue
                 if table is None:
-                    table = [np.array(c) for c in (keys, labels, sizes, counts)]
-                merged = heapq.merge(*[lists[t] for t in tokens if t in lists])
+                    table = [np.array(c) for c in (keys, labels, sizes)]
+                    ranges_of = np.array(counts, np.int32).reshape(-1, 1 << RANGE_BITS)
+                    lists, counts, short = _Lists(short), [], []
+                merged = heapq.merge(*[places.tolist() for places in lists.of(mine)])
                 found = np.array([i for i, _ in groupby(merged)], np.int64)
-                k, l, m = (column[found] for column in table[:3])
+                k, l, m = (column[found] for column in table)
                 found = found[
                     (k > key)
                     & (l != label)
                     & (100 * np.minimum(m, n) >= percent * np.maximum(m, n))
                 ]
-                top = np.minimum(table[3][found], own).sum(axis=1)
+                top = np.minimum(ranges_of[found], own).sum(axis=1)
                 found = found[top * (100 + percent) >= percent * (table[2][found] + n)]
                 if len(found):
                     out.append((at, True, key))
@@ -409,7 +441,7 @@ def _bounded_search(percent: int):
                     told.update(fresh)
                     out += [(at, False, f) for f in fresh]
             columns = list(zip(*out)) or [()] * 3
-            kinds = (pa.int32(), pa.bool_(), pa.int64())
+            kinds = (pa.int64(), pa.bool_(), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, kinds)], ["block", "query", "key"]
             )
@@ -417,6 +449,12 @@ def _bounded_search(percent: int):
     return run
 
 
+def _stored(df: DataFrame, name: str, **layout) -> DataFrame:
+    """``df`` stored, with sets and texts in Arrow batches of a bounded number of rows."""
+    with session_settings(df.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):
+        return materialize(df, name, **layout)
+
+
 def _by_block(rows: DataFrame) -> DataFrame:
     return rows.repartition("block").sortWithinPartitions("block", "query", "key")
 
@@ -468,7 +506,7 @@ def links(
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    summary = materialize(
+    summary = _stored(
         docs.mapInArrow(
             _summaries(width),
             f"kind string, doc_id {kind}, key long, n long, ranges binary, bucket long",
@@ -486,17 +524,16 @@ def links(
     postings = docs.select("text").mapInArrow(
         _short_lists(width, percent, shared), "token long, key long, n int"
     )
+    postings = _stored(postings, "postings")
     # Most short lists have one entry. They go first, by their tokens alone.
-    long_enough = postings.groupBy("token").agg(F.count(F.lit(1)).alias("entries"))
-    long_enough = long_enough.filter("entries > 1").select("token")
-    lists = materialize(postings.join(long_enough, "token", "left_semi").distinct(), "lists")
-    pivots = lists.groupBy("token").agg(
+    pivots = postings.groupBy("token").agg(
         F.min("key").alias("pivot"), F.max("key").alias("last"), F.min_by("n", "key").alias("pivot_n")
     )
     pivots = pivots.filter("pivot < last").drop("last")
-    entries = lists.join(pivots, "token").filter("key != pivot")
-    fits = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent
-    members = materialize(
+    # A set that several tasks have met comes once.
+    entries = postings.join(pivots, "token").filter("key != pivot").distinct()
+    entries = _stored(entries, "lists")
+    members = _stored(
         documents.filter("key IS NOT NULL")
         .groupBy("key")
         .agg(F.min("doc_id").alias("doc_id"), F.first("ranges").alias("ranges"), F.first("n").alias("n")),
@@ -516,17 +553,17 @@ def links(
         .mapInArrow(_upper_bounds(), "pivot long, key long, both long, top long")
         .filter(F.col("top") * (100 + near) >= F.col("both") * near)
     )
-    bounded = materialize(bounded, "bounded")
+    bounded = _stored(bounded, "bounded")
     could_link = bounded.filter(F.col("top") * (100 + percent) >= F.col("both") * percent)
     asked = could_link.select(F.explode(F.array("pivot", "key")).alias("key")).distinct()
-    sets = materialize(_sets_of(docs, asked, members, width), "shingles")
+    sets = _stored(_sets_of(docs, asked, members, width), "shingles")
     held = (
         could_link.select("pivot", "key")
         .join(sets.withColumnRenamed("shingles", "b_set"), "key")
         .join(sets.select(F.col("key").alias("pivot"), F.col("shingles").alias("a_set")), "pivot")
         .mapInArrow(_classify(percent, near), "pivot long, key long, linked boolean, close boolean")
     )
-    held = materialize(held, "held")
+    held = _stored(held, "held")
     linked = held.filter("linked").select(F.col("pivot").alias("a"), F.col("key").alias("b"))
 
     # 2. What the pivots leave open. Pairs not held exactly but bounded as near count as near.
@@ -537,7 +574,7 @@ def links(
         F.coalesce("linked", F.lit(False)).alias("linked"),
         F.coalesce("close", F.lit(True)).alias("close"),
     ).filter("linked OR close")
-    placed = materialize(
+    placed = _stored(
         entries.select("token", "pivot", "key", "n").join(status, ["pivot", "key"], "left").select(
             "token",
             "key",
@@ -557,12 +594,12 @@ def links(
         .when(F.col("place") == "near", F.col("entries") > 1)
         .otherwise(F.col("far") + F.col("near") > 1)
     )
-    open_entries = materialize(open_entries.select("token", "key", "n"), "open")
+    open_entries = _stored(open_entries.select("token", "key", "n"), "open")
 
     # 3. They search the blocks of the index that have one of their short shingles:
     # first by sizes and range counts, then what that leaves by its sets.
     labels = linked.groupBy(F.col("b").alias("key")).agg(F.min("a").alias("label"))
-    searchers = materialize(
+    searchers = _stored(
         open_entries.groupBy("key")
         .agg(F.collect_list("token").alias("tokens"))
         .join(members.select("key", "n", "ranges"), "key")
@@ -586,24 +623,33 @@ def links(
         near_by = F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)]))
         routed = banded.select("token", "key", near_by.alias("band")).join(where, ["token", "band"])
         routed = routed.select("key", "band", "part").distinct()
-        block = (F.col("band") * most + F.col("part")).alias("block")
-        index = searchers.withColumns({"band": band, "part": part}).select(
+        routed = _stored(routed, "routed")
+        # A block that more queries ask than it may hold sets is there several times.
+        asked_of = routed.groupBy("band", "part").agg(
+            F.ceil(F.count(F.lit(1)) / BLOCK_SETS).alias("times")
+        )
+        turn = F.explode(F.sequence(F.lit(0), F.col("times") - 1))
+        block = ((F.col("band") * most + F.col("part")) * MOST_TIMES + F.col("turn")).alias("block")
+        index = searchers.withColumns({"band": band, "part": part}).join(asked_of, ["band", "part"])
+        index = index.withColumn("turn", turn).select(
             block, F.lit(False).alias("query"), *searchers.columns
         )
-        queries = searchers.join(routed, "key").select(
+        one_of = F.pmod(F.xxhash64("key", F.lit(1)), F.col("times"))
+        turned = routed.join(asked_of, ["band", "part"]).withColumn("turn", one_of)
+        queries = searchers.join(turned, "key").select(
             block, F.lit(True).alias("query"), *searchers.columns
         )
         left = _by_block(index.unionByName(queries)).mapInArrow(
-            _bounded_search(percent), "block int, query boolean, key long"
+            _bounded_search(percent), "block long, query boolean, key long"
         )
-        left = materialize(left, "left")
+        left = _stored(left, "left")
         sets = _sets_of(docs, left.select("key").distinct(), members, width)
         again = sets.join(searchers.select("key", "label"), "key")
         more = _by_block(again.join(left, "key")).select(
             "block", "query", "key", "label", "shingles"
         )
         more = more.mapInArrow(_search(shared, percent), "a long, b long")
-        linked = linked.unionByName(materialize(more, "found"))
+        linked = linked.unionByName(_stored(more, "found"))
     return documents.select("doc_id", "n", "key"), linked
 
 

@@ -165,7 +165,13 @@ def out_of_place(profile: np.ndarray, model: list[tuple[str, np.ndarray]]) -> np
     return distances
 
 
-def _predictor(model: list[tuple[str, np.ndarray]]):
+#: Rows of an Arrow batch that are read together.
+ROWS_TOGETHER = 1000
+
+
+def _predictor(model: list[tuple[str, np.ndarray]], at: int, keep_text: bool):
+    """Judges the text in column ``at``, which comes back only with ``keep_text``."""
+
     def predict(text: str | None) -> tuple[str, float]:
         if not text or not model:
             return UNKNOWN, 0.0
@@ -178,13 +184,15 @@ def _predictor(model: list[tuple[str, np.ndarray]]):
         return model[best][0], 1.0 - float(distances[best]) / (PROFILE * len(profile))
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            # The text to read is the last column.
-            found = [predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            kept, names = batch.columns[:-1], batch.schema.names[:-1]
-            kept.append(pa.array([f[0] for f in found], pa.string()))
-            kept.append(pa.array([f[1] for f in found], pa.float64()))
-            yield pa.RecordBatch.from_arrays(kept, [*names, "lang_pred", "score"])
+        few = (b.slice(i, ROWS_TOGETHER) for b in rows for i in range(0, b.num_rows, ROWS_TOGETHER))
+        for batch in few:
+            found = [predict(t.as_py()) for t in batch.column(at)]
+            kept = [i for i in range(batch.num_columns) if keep_text or i != at]
+            columns = [batch.column(i) for i in kept]
+            columns.append(pa.array([f[0] for f in found], pa.string()))
+            columns.append(pa.array([f[1] for f in found], pa.float64()))
+            names = [*[batch.schema.names[i] for i in kept], "lang_pred", "score"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return batches
 
@@ -194,17 +202,20 @@ def predict(
 ) -> DataFrame:
     """Add lang_pred and score (0 to 1, higher is nearer) to every row.
 
-    Other columns pass through, the text only with ``keep_text``.
+    Other columns pass through, whatever their names, the text only with
+    ``keep_text``; one named lang_pred or score is replaced.
 
     A null text and one without a letter get ``und`` and 0. Equal distances go
     to the first name. Each row is judged by its text alone.
     """
-    others = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    others = others if keep_text else [c for c in others if c != text]
-    few = docs.select(*others, F.col(text).alias("_read"))
-    schema = T.StructType(list(few.schema)[:-1])
+    rows = docs.select(*[c for c in docs.columns if c == text or c not in ("lang_pred", "score")])
+    plain, names = numbered(rows)
+    at = rows.columns.index(text)
+    left = [c for c in rows.columns if keep_text or c != text]
+    schema = T.StructType([plain.schema[names[c]] for c in left])
     schema = schema.add("lang_pred", "string").add("score", "double")
-    return few.mapInArrow(_predictor(_model(profiles)), schema)
+    judged = plain.mapInArrow(_predictor(_model(profiles), at, keep_text), schema)
+    return judged.toDF(*left, "lang_pred", "score")
 
 
 def identify(

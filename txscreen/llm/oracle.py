@@ -83,7 +83,7 @@ copies AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines
   WHERE regexp_matches(line, {_WORDS}) GROUP BY doc_id),
 normal AS (
-  SELECT doc_id, source, regexp_replace(lower(regexp_replace(trim(line, ' '), {_SPACE}, ' ', 'g')),
+  SELECT doc_id, source, regexp_replace(lower(trim(regexp_replace(line, {_SPACE}, ' ', 'g'), ' ')),
     '[0-9]+', '0', 'g') AS line FROM lines),
 counted AS (
   SELECT source, line, count(DISTINCT doc_id) AS docs FROM normal WHERE line <> ''

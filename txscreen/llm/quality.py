@@ -98,15 +98,16 @@ def boilerplate_lines(
 
     Returns doc_id, mark (hash of the text), host, line_chars (in all lines)
     and removed, an array of (place, chars). Lines are normalised (white space
-    collapsed, lower case, digits as one sign), hashed to 96 bits, and counted
+    collapsed, none at the ends, lower case, digits as one sign; a line of
+    white space is none), hashed to 96 bits, and counted
     over all documents of the host. Both limits must be reached: with the
     defaults the share decides in hosts of more than 2,000 documents and grows
     with them, so a hot host of 1,000,000 keeps a line of 9,999. Counts and
     lines meet in joins by host and line; a line with a third of all rows is
     summed up map-side. A list of places is no longer than its document.
     """
-    normal = F.lower(F.regexp_replace(F.trim(F.col("line")), r"[\x20\x09-\x0D]+", " "))
-    normal = F.regexp_replace(normal, r"[0-9]+", "0")
+    collapsed = F.regexp_replace(F.col("line"), r"[\x20\x09-\x0D]+", " ")
+    normal = F.regexp_replace(F.lower(F.trim(collapsed)), r"[0-9]+", "0")
     key = ["doc_id", "mark", "host"]
     lines = (
         docs.select(

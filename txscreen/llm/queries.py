@@ -51,7 +51,7 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_mix(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(read(spark, folder, "documents"))
+    return mixing.mix(read(spark, folder, "documents"), by_size=True)
 
 
 def op7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
