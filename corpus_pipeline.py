@@ -5,6 +5,7 @@ columns of ``documents``; ``n_chars`` follows a changed text.
 """
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from txscreen.llm import bpe, jaccard, langid, linedup, mixing
 from txscreen.llm.common import read
 from txscreen.llm.queries import word_bpe_path
-from txscreen.sources import materialize
+from txscreen.sources import stored_result
 
 #: A text no nearer than this to any language goes. Of the 10,000 labelled
 #: documents of sf0.1 the lowest score is 0.387; a text of no learned n-gram has 0.
@@ -72,8 +73,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is stored and read by the next."""
+    """All stages over ``documents``; each result is stored and read by the next.
+
+    What a stage has stored on its way is dropped once its result is.
+    """
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = stored_result(spark, f"stage-{name}", partial(stage, spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
