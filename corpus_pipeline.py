@@ -23,8 +23,24 @@ LEAST_SCORE = 0.3
 NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
+#: Rows of an Arrow batch, where the session has Spark's own number for it.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+SPARK_ROWS, TEXT_ROWS = "10000", "1000"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session send fewer rows to Python at once: they are whole texts here.
+
+    A stage's result is planned after the stage has returned, so this stays set.
+    A session with a number of its own keeps it.
+    """
+    if spark.conf.get(ARROW_ROWS) == SPARK_ROWS:
+        spark.conf.set(ARROW_ROWS, TEXT_ROWS)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is near a learned language; those without a letter go too."""
+    bound_batches(spark)
     return langid.keep_identified(docs, min_score=LEAST_SCORE)
 
 
@@ -47,6 +63,7 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     The width and limit of the query ``op1_jaccard`` are its own.
     """
+    bound_batches(spark)
     return jaccard.keep_first(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
 
 
@@ -57,6 +74,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number of tokens and digests of ids and decoded text of every document."""
+    bound_batches(spark)
     return bpe.encode_documents(docs, bpe.load_definition(word_bpe_path()))
 
 
