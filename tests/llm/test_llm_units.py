@@ -1,6 +1,7 @@
 """Parts of the text operators that need no Spark, against plain versions."""
 
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -163,8 +164,7 @@ def test_divide_skip_block_finds_all_links():
             tokens.add(int(rng.integers(10_000, 10_200)))
         sets[key] = np.array(sorted(tokens), np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         sets[key].sort()
-    counts = np.zeros(1 << jaccard.BUCKET_BITS, np.int64)
-    block = jaccard._Block(counts, 85)
+    block = jaccard._Block(85)
     for key, s in sets.items():
         block.add(key, key, s)
     links = [(k, other) for k, s in sets.items() for other in block.search(k, k, s)]
@@ -185,6 +185,49 @@ def test_divide_skip_block_finds_all_links():
     assert pairs and closed(links) == closed(pairs)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 25)), max_size=9), st.integers(1, 6))
+def test_merge_finds_what_is_in_enough_lists(sets, least):
+    lists = [sorted(s) for s in sets]
+    counts = Counter(i for s in sets for i in s)
+    found = list(jaccard.merge_skip(lists, least))
+    assert found == sorted((i, n) for i, n in counts.items() if n >= least)
+
+
+def test_merge_skips_what_cannot_be_in_enough_lists():
+    """One long list among short ones: it is left by binary search, not read through."""
+
+    class Counted(list):
+        reads = 0
+
+        def __getitem__(self, i):
+            Counted.reads += 1
+            return super().__getitem__(i)
+
+    long = Counted(range(100_000))
+    assert list(jaccard.merge_skip([long, [5, 99_990], [99_990]], 3)) == [(99_990, 3)]
+    assert Counted.reads < 60
+
+
+def test_long_lists_are_probed_until_out_of_reach():
+    rng = np.random.default_rng(9)
+    sets = [np.sort(rng.choice(4000, 300, replace=False)).astype(np.uint64) for _ in range(50)]
+    near = sets[0].copy()
+    near[:20] = np.arange(5000, 5020)
+    block = jaccard._Block(85)
+    for key, s in enumerate([*sets, np.sort(near)]):
+        block.add(key, key, s)
+    probed, reaches = [], block._reaches
+
+    def counted(place, count, long, least):
+        probed.append(place)
+        return reaches(place, count, long, least)
+
+    block._reaches = counted
+    assert block.search(0, 0, sets[0]) == [50] and probed == [50]
+    assert 0 < jaccard.long_count(255, 50) < 254 and jaccard.long_count(1, 50) == 0
+
+
 def test_codes_bound_inner_products():
     rng = np.random.default_rng(3)
     vectors = rng.standard_normal((500, 48))

@@ -3,10 +3,8 @@
 Two documents link when their sets of word shingles overlap enough. A set's
 shingles are put in one order, rare ones first, by how often their bucket
 occurs in the whole corpus. Of any two sets that link, each has one of its
-``n - T + 1`` first shingles in common with the other's: these make up the
-short inverted lists, which are merged; the frequent rest are the long lists,
-which are probed by binary search until the required overlap T is reached or
-out of reach.
+``n - T + 1`` first shingles in common with the other's: the lists of these are
+short, and deal the sets out to where they can meet.
 
 Documents with equal sets are one row from the start. Lists are never turned
 into all of their pairs:
@@ -20,7 +18,10 @@ into all of their pairs:
 3. What is left over searches the index, dealt in blocks of sets: a set goes
    as a query to the blocks that have one of its short shingles, and the
    block's short lists are merged there. What sizes and range counts allow of
-   these comes back with its sets, to be probed.
+   these comes back with its sets. A block then has the inverted lists of all
+   their shingles: a query's shorter lists are merged on a heap that skips
+   what too few of them have, and its L longest ones are probed by binary
+   search for those found in T - L of the others.
 """
 
 import bisect
@@ -52,9 +53,12 @@ RANGE_BITS = 7
 #: A full filter lets everyone pass: more is read then, nothing is lost.
 FILTER_BITS = 23
 
-#: Sets of an index block in the search. A block holds sets of about one size;
-#: sizes with more sets have several.
-BLOCK_SETS = 8_192
+#: Sets of an index block in the search, and their shingles, on the average. A
+#: block holds sets of about one size; sizes with more sets have several.
+BLOCK_SETS, BLOCK_TOKENS = 8_192, 4_000_000
+
+#: Weight of a probe against a step of the merge, which decides how many lists are probed.
+LONG_SHARE = 0.01
 
 #: Times that one block may be there for its queries: a bound of the numbers of blocks alone.
 MOST_TIMES = 1 << 32
@@ -319,68 +323,118 @@ class _Lists:
         return [self.places[a:b] for a, b in zip(low.tolist(), high.tolist()) if a < b]
 
 
+def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
+    """Numbers in at least ``least`` of the ascending lists, and in how many.
+
+    A heap holds the head of every list. Where too few lists have the smallest
+    head, nothing ahead of the head that is ``least``-th in order can be in
+    enough of them: the lists before it skip there by binary search.
+    """
+    at = [0] * len(lists)
+    heap = [(members[0], i) for i, members in enumerate(lists) if members]
+    heapq.heapify(heap)
+    while len(heap) >= least:
+        top, taken = heap[0][0], []
+        while heap and heap[0][0] == top:
+            taken.append(heapq.heappop(heap)[1])
+        if len(taken) >= least:
+            yield top, len(taken)
+            bound = top + 1
+        else:
+            while heap and len(taken) < least - 1:
+                taken.append(heapq.heappop(heap)[1])
+            if not heap:
+                return
+            bound = heap[0][0]
+        for i in taken:
+            at[i] = bisect.bisect_left(lists[i], bound, at[i])
+            if at[i] < len(lists[i]):
+                heapq.heappush(heap, (lists[i][at[i]], i))
+
+
+def long_count(least: int, longest: int) -> int:
+    """L: how many of a query's lists are probed rather than merged, below ``least``."""
+    return min(least - 1, int(least / (LONG_SHARE * math.log2(max(longest, 2)) + 1)))
+
+
 class _Block:
-    """Sets of one index block with their inverted lists: DivideSkip for one query at a time.
+    """Sets of one index block by their inverted lists: DivideSkip for one query at a time.
 
     Index sets are added in the order of their keys, all before the first query.
     """
 
-    def __init__(self, counts: np.ndarray, percent: int):
-        self.counts, self.percent = counts, percent
+    def __init__(self, percent: int):
+        self.percent = percent
         self.keys: list[int] = []
-        self.sets: list[np.ndarray] = []
+        self.sizes: list[int] = []
+        self.waiting: list[np.ndarray] = []
         self.lists: _Lists | None = None
         self.known = _Forest()
 
-    def _short(self, shingles: np.ndarray) -> np.ndarray:
-        return in_order(shingles, self.counts)[: short_count(len(shingles), self.percent)]
-
     def add(self, key: int, label: int, shingles: np.ndarray) -> None:
         self.keys.append(key)
-        self.sets.append(shingles)
+        self.sizes.append(len(shingles))
+        self.waiting.append(shingles.copy())
         self.known.join(key, label)
 
+    def _reaches(self, place: int, count: int, long: list[np.ndarray], least: int) -> bool:
+        """Whether ``place`` is in enough of the long lists besides ``count`` others."""
+        for i, places in enumerate(long):
+            if count >= least or count + len(long) - i < least:
+                break
+            at = int(np.searchsorted(places, place))
+            count += at < len(places) and int(places[at]) == place
+        return count >= least
+
     def search(self, query: int, label: int, shingles: np.ndarray) -> list[int]:
-        """Index sets behind ``query`` in key order that link to it and weren't connected yet."""
+        """Index sets behind ``query`` in key order that link to it and weren't connected yet.
+
+        T is the overlap that any partner needs. The L longest lists are set
+        aside; who is in T - L of the others is probed for in these, until its
+        own required overlap is reached or out of reach.
+        """
         if self.lists is None:
-            self.lists = _Lists([self._short(s) for s in self.sets])
-        known = self.known
+            self.lists, self.waiting = _Lists(self.waiting), []
+        known, keys = self.known, self.keys
         known.join(query, label)
-        own, behind = known.find(query), bisect.bisect_right(self.keys, query)
-        lists = []
-        for places in self.lists.of(self._short(shingles)):
-            # A list is in key order, so merging brings equal places together.
+        own, behind = known.find(query), bisect.bisect_right(keys, query)
+        n = len(shingles)
+        least = needed(n, self.percent)
+        lists = sorted(self.lists.of(shingles), key=len)
+        if len(lists) < least:
+            return []
+        apart = long_count(least, len(lists[-1]))
+        short, long = lists[: len(lists) - apart], lists[len(lists) - apart :]
+        merged = []
+        for places in short:
             later = places[np.searchsorted(places, behind) :].tolist()
-            later = [i for i in later if known.find(self.keys[i]) != own]
-            if later:
-                lists.append(later)
+            merged.append([i for i in later if known.find(keys[i]) != own])
         found = []
-        for place, _ in groupby(heapq.merge(*lists)):
-            key, other = self.keys[place], self.sets[place]
-            both = len(shingles) + len(other)
-            least = -(-self.percent * both // (100 + self.percent))
-            if 100 * min(len(shingles), len(other)) < self.percent * max(len(shingles), len(other)):
+        for place, count in merge_skip(merged, least - apart):
+            key, size = keys[place], self.sizes[place]
+            if 100 * min(n, size) < self.percent * max(n, size):
                 continue
             if known.find(key) == known.find(query):
                 continue
-            if overlap_reaching(shingles, other, least) >= least:
+            # o >= p (both - o) / 100 is o >= p both / (100 + p).
+            if self._reaches(place, count, long, -(-self.percent * (n + size) // (100 + self.percent))):
                 found.append(key)
                 known.join(key, query)
         return found
 
 
-def _search(shared, percent: int):
+def _search(percent: int):
     """Rows come sorted by block, index rows ahead of queries: one block is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, block, number = shared.value, None, None
+        block, number = None, None
         for batch in batches:
             a, b = [], []
             for at, query, key, label, data in _rows(
                 batch, "block", "query", "key", "label", "shingles"
             ):
                 if block is None or at != number:
-                    block, number = _Block(counts, percent), at
+                    block, number = _Block(percent), at
                 shingles = np.frombuffer(data, np.uint64)
                 if query:
                     links = block.search(key, label, shingles)
@@ -613,8 +667,13 @@ def links(
         width_of_band = max(math.log(100 / percent) * 1.01, 1e-6)
         band = F.floor(F.log(F.col("n")) / width_of_band).cast("int")
         # One row per band: as many as the largest size has powers.
-        filled = searchers.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("sets")).collect()
-        parts = {row["band"]: -(-row["sets"] // BLOCK_SETS) for row in filled}
+        filled = searchers.groupBy(band.alias("band")).agg(
+            F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens")
+        )
+        parts = {
+            row["band"]: max(-(-row["sets"] // BLOCK_SETS), -(-row["tokens"] // BLOCK_TOKENS))
+            for row in filled.collect()
+        }
         most = max(parts.values())
         in_band = F.create_map(*[F.lit(v) for item in parts.items() for v in item])
         part = F.pmod(F.xxhash64("key"), in_band[band]).cast("int")
@@ -648,7 +707,7 @@ def links(
         more = _by_block(again.join(left, "key")).select(
             "block", "query", "key", "label", "shingles"
         )
-        more = more.mapInArrow(_search(shared, percent), "a long, b long")
+        more = more.mapInArrow(_search(percent), "a long, b long")
         linked = linked.unionByName(_stored(more, "found"))
     return documents.select("doc_id", "n", "key"), linked
 
