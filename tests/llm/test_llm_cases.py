@@ -121,6 +121,7 @@ def test_join_equals_all_pairs(awkward, small):
 def test_join_searches_what_the_pivots_leave(spark, monkeypatch):
     """A chain: neighbours link, the ends don't, and every list has far members."""
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
+    monkeypatch.setattr(jaccard, "PROBED_TOKENS", 500)
     words = [f"v{i}" for i in range(400)]
     rows = [(i, " ".join(words[3 * i : 3 * i + 120])) for i in range(60)]
     rng = np.random.default_rng(1)

@@ -54,8 +54,12 @@ RANGE_BITS = 7
 FILTER_BITS = 23
 
 #: Sets of an index block in the search, and their shingles, on the average. A
-#: block holds sets of about one size; sizes with more sets have several.
-BLOCK_SETS, BLOCK_TOKENS = 8_192, 4_000_000
+#: block holds sets of about one size; sizes with more sets have several. Each
+#: set takes some 1.5 KB there: its short shingles and range counts in arrays.
+BLOCK_SETS, BLOCK_TOKENS = 65_536, 32_000_000
+
+#: Shingles whose lists are held at once where sets are probed, of 12 bytes each.
+PROBED_TOKENS = 4_000_000
 
 #: Weight of a probe against a step of the merge, which decides how many lists are probed.
 LONG_SHARE = 0.01
@@ -513,6 +517,17 @@ def _by_block(rows: DataFrame) -> DataFrame:
     return rows.repartition("block").sortWithinPartitions("block", "query", "key")
 
 
+def _in_pieces(rows: DataFrame) -> DataFrame:
+    """Blocks whose index sets have too many shingles in several pieces, queries in each of them."""
+    index = rows.filter("NOT query").groupBy("block")
+    pieces = index.agg(F.ceil(F.sum("n") / PROBED_TOKENS).alias("pieces"))
+    cut = rows.join(pieces, "block")
+    every = F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)
+    one = F.array(F.pmod(F.xxhash64("key", F.lit(2)), F.col("pieces")))
+    placed = cut.withColumn("piece", F.explode(F.when(F.col("query"), every).otherwise(one)))
+    return placed.withColumn("block", F.struct("block", "piece"))
+
+
 def _near(percent: int) -> int:
     """Similarity in percent at twice the distance of a link, rounded down."""
     return max(0, 2 * percent - 100)
@@ -703,8 +718,8 @@ def links(
         )
         left = _stored(left, "left")
         sets = _sets_of(docs, left.select("key").distinct(), members, width)
-        again = sets.join(searchers.select("key", "label"), "key")
-        more = _by_block(again.join(left, "key")).select(
+        again = sets.join(searchers.select("key", "label", "n"), "key").join(left, "key")
+        more = _by_block(_in_pieces(_stored(again, "again"))).select(
             "block", "query", "key", "label", "shingles"
         )
         more = more.mapInArrow(_search(percent), "a long, b long")
