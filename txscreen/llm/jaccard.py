@@ -593,15 +593,16 @@ def links(
     postings = docs.select("text").mapInArrow(
         _short_lists(width, percent, shared), "token long, key long, n int"
     )
-    postings = _stored(postings, "postings")
-    # Most short lists have one entry. They go first, by their tokens alone.
-    pivots = postings.groupBy("token").agg(
+    # Most short lists have one entry. They go first, by their tokens alone: to read the
+    # texts again costs less than to store all entries.
+    long_enough = postings.groupBy("token").agg(F.count(F.lit(1)).alias("entries"))
+    long_enough = long_enough.filter("entries > 1").select("token")
+    lists = _stored(postings.join(long_enough, "token", "left_semi").distinct(), "lists")
+    pivots = lists.groupBy("token").agg(
         F.min("key").alias("pivot"), F.max("key").alias("last"), F.min_by("n", "key").alias("pivot_n")
     )
     pivots = pivots.filter("pivot < last").drop("last")
-    # A set that several tasks have met comes once.
-    entries = postings.join(pivots, "token").filter("key != pivot").distinct()
-    entries = _stored(entries, "lists")
+    entries = lists.join(pivots, "token").filter("key != pivot")
     members = _stored(
         documents.filter("key IS NOT NULL")
         .groupBy("key")
@@ -718,8 +719,8 @@ def links(
         )
         left = _stored(left, "left")
         sets = _sets_of(docs, left.select("key").distinct(), members, width)
-        again = sets.join(searchers.select("key", "label", "n"), "key").join(left, "key")
-        more = _by_block(_in_pieces(_stored(again, "again"))).select(
+        again = _in_pieces(left.join(searchers.select("key", "label", "n"), "key"))
+        more = _by_block(sets.join(again, "key")).select(
             "block", "query", "key", "label", "shingles"
         )
         more = more.mapInArrow(_search(percent), "a long, b long")
