@@ -1,4 +1,5 @@
 import os
+from functools import partial
 
 import pytest
 from conftest import DATA
@@ -149,6 +150,18 @@ def test_job_folder_is_gone_after_the_job(spark):
     assert not [d for d in spark.catalog.listDatabases() if d.name.startswith("job_")]
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    rows = spark.range(100).withColumn("twice", F.col("id") * 2)
+    store = partial(materialize, rows, "bucketed", bucket_by=("id",), buckets=4)
+    with job_folder(spark):
+        assert sum(r["twice"] for r in store().collect()) == 9900
+    outside = store()
+    assert outside.columns == rows.columns and outside.count() == 100
+    with session_settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        plan = outside.join(store(), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
 def test_job_folder_is_gone_after_a_failure(spark):
     with pytest.raises(RuntimeError), job_folder(spark) as folder:
         materialize(transactions(spark, {}), "t")

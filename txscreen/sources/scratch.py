@@ -57,16 +57,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{job.folder if job else _root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialize(
+    df: DataFrame,
+    name: str,
+    *,
+    partition_by: tuple[str, ...] = (),
+    bucket_by: tuple[str, ...] = (),
+    buckets: int = 0,
+) -> DataFrame:
     """Write ``df`` as Parquet and return a scan of what was written.
 
     The returned DataFrame reads the table whenever it is run, so the table
     stays; inside ``job_folder`` or ``stored_result`` until that ends.
+
+    With ``bucket_by`` the table has ``buckets`` buckets by these columns, each
+    sorted by them, so that tables alike join without a shuffle. Spark knows
+    buckets by the catalog only: outside of a job the table is listed in the
+    current database.
     """
     spark, job = df.sparkSession, _job.get()
     writer = df.write.format("parquet").partitionBy(*partition_by)
-    if job:
-        table = f"{job.database}.{re.sub('[^A-Za-z0-9]', '_', name)}_{uuid.uuid4().hex}"
+    if bucket_by:
+        writer = writer.bucketBy(buckets, *bucket_by).sortBy(*bucket_by)
+    if job or bucket_by:
+        table = f"{re.sub('[^A-Za-z0-9]', '_', name)}_{uuid.uuid4().hex}"
+        if job:
+            table = f"{job.database}.{table}"
+        else:
+            writer = writer.option("path", new_path(spark, name))
         writer.saveAsTable(table)
         return spark.table(table).select(*df.columns)
     path = new_path(spark, name)
