@@ -264,6 +264,39 @@ def test_frequent_lines_leave_the_runs(spark):
     assert hot in frequent and len(frequent) == len(set(frequent)) == 3
 
 
+@pytest.mark.parametrize("fanout", [2, 3])
+def test_lines_are_frequent_as_soon_as_all_batches_say_so(spark, fanout):
+    runs = linedup.LineRuns(spark, min_docs=4, fanout=fanout)
+    seen = collections.Counter()
+    for batch in range(6):
+        texts = [f"b{batch}\nby two {batch // 2}\nby three {batch // 3}\nalways {d % 2}" for d in range(2)]
+        rows = [(batch * 10 + d, text) for d, text in enumerate(texts)]
+        for text in texts:
+            seen.update(set(text.split("\n")))
+        table = spark.createDataFrame(rows, "doc_id long, text string")
+        runs.add(linedup.line_hashes(table, "doc_id", "text"))
+        due = spark.createDataFrame([(k,) for k, n in seen.items() if n >= 4] or [("",)], "key string")
+        wanted = {r[0] for r in due.filter("key != ''").select(F.xxhash64("key")).collect()}
+        found = [r["h1"] for r in runs.frequent_lines().collect()]
+        assert len(found) == len(set(found)) and set(found) == wanted
+        assert all(len(level) <= fanout for level in runs.levels + runs.frequent)
+
+
+def test_runs_are_merged_as_they_lie(spark):
+    runs = linedup.LineRuns(spark, min_docs=2)
+    table = spark.createDataFrame([(1, "a\nb"), (2, "a\nc")], "doc_id long, text string")
+    lines = linedup.line_hashes(table, "doc_id", "text")
+    runs.add(lines)
+    counts = lines.groupBy(*linedup.KEY).agg(F.count(F.lit(1)).alias("docs"))
+    with session_settings(spark, linedup.MERGING):
+        new = runs._without_frequent(counts)
+        both = linedup._sum(runs.levels[0][0], runs.levels[0][0].select(*linedup.KEY, "docs"))
+        new, both = (f._jdf.queryExecution().executedPlan().toString() for f in (new, both))
+    # The batch is dealt and sorted once, runs never.
+    assert (new.count("SortMergeJoin"), new.count("Exchange "), new.count("Sort ")) == (1, 1, 1)
+    assert (both.count("SortMergeJoin"), both.count("Exchange "), both.count("Sort ")) == (1, 0, 0)
+
+
 def test_quality_of_awkward_rows(awkward, nothing):
     found = quality.judge(awkward).collect()
     wanted = [(r[0], *quality.measures(r[1])) for r in awkward_rows()]

@@ -1,11 +1,12 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-Every batch of documents is counted once, as a run: (line hash, documents),
-sorted by hash. A batch is first anti-joined with the lines already known to be
-frequent, so that these are not stored again, and the rest is added as a run of
-level 0. Full levels are compacted: their runs merge into one of the next
-level, and lines that reach the limit move to the run of frequent lines. All of
-it is DataFrame expressions.
+Every batch of documents is counted once and becomes a run: (line hash,
+documents), sorted by hash. A batch is merge-anti-joined with the lines known
+to be frequent and merged with the runs before it, which tell how often its
+lines were seen; those that reach the limit join the frequent ones, and the
+rest is the batch's own run. Full levels are compacted: their runs merge into
+one of the next level, without the lines that are frequent by then. All of it
+is DataFrame expressions.
 """
 
 from functools import reduce
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txscreen.llm.common import WHITE, ascii_lower, numbered, sha256
-from txscreen.sources import materialize
+from txscreen.sources import materialize, session_settings, stored_result
 
 #: A line in this many documents goes; keys shorter than MIN_CHARS stay.
 MIN_DOCS, MIN_CHARS = 10, 1
@@ -24,6 +25,13 @@ BATCHES, FANOUT = 4, 2
 
 KEY = ["h1", "h2"]
 
+#: A scan of a bucketed table tells that a bucket is sorted, being one file. Runs are
+#: never broadcast; an anti-join that could be would also be moved ahead of the counting.
+MERGING = {
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+}
+
 
 def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(WHITE)))
@@ -50,21 +58,20 @@ def line_hashes(docs: DataFrame, doc_id: str, text: str, min_chars: int = MIN_CH
 
 
 class LineRuns:
-    """Line counts of all batches added so far, as sorted runs in the shared folder."""
-
-    def __init__(self, spark: SparkSession, *, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
-        self.min_docs, self.fanout = min_docs, fanout
-        self.levels: list[list[DataFrame]] = []
-        empty = spark.createDataFrame([], "h1 long, h2 int")
-        self.frequent: list[DataFrame] = [empty]
+    """Line counts of all batches added so far, as sorted runs in the shared folder.
 
-    def _known(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, self.frequent)
+    All runs have the same buckets, as many as the session has shuffle
+    partitions when the first is made. A batch is dealt into these by its
+    grouping, meets each run bucket by bucket in a merge join, and no run is
+    shuffled or sorted again. Runs are never changed: a line's count is the sum
+    over its runs. ``levels`` and ``frequent`` hold the runs by level.
+    """
 
-    @staticmethod
-    def _run(counts: DataFrame) -> DataFrame:
-        """The grouping has dealt the hashes out; each file is a sorted piece."""
-        return materialize(counts.sortWithinPartitions(*KEY), "lines-run")
+    def __init__(self, spark: SparkSession, *, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
+        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[DataFrame]] = [[]]
+        self.frequent: list[list[DataFrame]] = [[]]
 
     def add(self, lines: DataFrame) -> None:
         """Count the lines of one batch of documents and add them as a run.
@@ -72,46 +79,65 @@ class LineRuns:
         ``lines`` comes from ``line_hashes``. A document must be in one batch
         only, with all of its lines.
         """
-        counts = (
+        # A line of a null document still is a line of one document.
+        self.add_counted(
             lines.groupBy("doc", "mark", *KEY)
             .agg(F.min("place").alias("place"))
             .groupBy(*KEY)
             .agg(F.count(F.lit(1)).alias("docs"))
         )
-        # A line of a null document still is a line of one document.
-        self._push(0, counts.join(self._known(), KEY, "left_anti"))
 
     def add_counted(self, counts: DataFrame) -> None:
-        """Add (h1, h2, docs) that are counted already."""
-        self._push(0, counts.join(self._known(), KEY, "left_anti"))
-
-    def _push(self, level: int, counts: DataFrame) -> None:
-        if level == len(self.levels):
-            self.levels.append([])
-        self.levels[level].append(self._run(counts))
-        if len(self.levels[level]) >= self.fanout:
-            self._compact(level)
-
-    def _compact(self, level: int) -> None:
-        runs = self.levels[level]
-        merged = materialize(self._merge(runs), "lines-merged")
-        self.levels[level] = []
-        self.frequent.append(merged.filter(F.col("docs") >= self.min_docs).select(*KEY))
-        self._push(level + 1, merged.filter(F.col("docs") < self.min_docs))
-
-    @staticmethod
-    def _merge(runs: list[DataFrame]) -> DataFrame:
-        return (
-            reduce(DataFrame.unionByName, runs).groupBy(*KEY).agg(F.sum("docs").alias("docs"))
-        )
+        """Add (h1, h2, docs) that are counted already, each line once."""
+        self._compact(self.frequent)
+        self._compact(self.levels)
+        counts = self._without_frequent(counts)
+        total = F.col("docs")
+        for number, run in enumerate(_all(self.levels)):
+            seen = f"seen{number}"
+            counts = counts.join(run.withColumnRenamed("docs", seen), KEY, "left")
+            total += F.coalesce(F.col(seen), F.lit(0))
+        run = self._store(counts.select(*KEY, "docs", total.alias("total")))
+        due = F.col("total") >= self.min_docs
+        self.frequent[0].append(run.filter(due).select(*KEY, F.col("total").alias("docs")))
+        self.levels[0].append(run.filter(~due).select(*KEY, "docs"))
 
     def frequent_lines(self) -> DataFrame:
         """Keys of all lines in at least ``min_docs`` documents, each once."""
-        runs = [r for level in self.levels for r in level]
-        if runs:
-            due = self._merge(runs).filter(F.col("docs") >= self.min_docs).select(*KEY)
-            return self._known().unionByName(due)
-        return self._known()
+        none = self.spark.createDataFrame([], "h1 long, h2 int")
+        return reduce(DataFrame.unionByName, (r.select(*KEY) for r in _all(self.frequent)), none)
+
+    def _without_frequent(self, counts: DataFrame) -> DataFrame:
+        for run in _all(self.frequent):
+            counts = counts.join(run.select(*KEY), KEY, "left_anti")
+        return counts
+
+    def _compact(self, levels: list[list[DataFrame]]) -> None:
+        for level, runs in enumerate(levels):
+            if len(runs) < self.fanout:
+                continue
+            if levels is self.levels:
+                runs = [self._without_frequent(r) for r in runs]
+            merged = self._store(reduce(_sum, runs))
+            levels[level] = []
+            if level + 1 == len(levels):
+                levels.append([])
+            levels[level + 1].append(merged)
+
+    def _store(self, counts: DataFrame) -> DataFrame:
+        with session_settings(self.spark, MERGING):
+            return materialize(counts, "lines-run", bucket_by=tuple(KEY), buckets=self.buckets)
+
+
+def _all(levels: list[list[DataFrame]]) -> list[DataFrame]:
+    return [run for level in levels for run in level]
+
+
+def _sum(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Two runs merged into one."""
+    both = one.join(other.withColumnRenamed("docs", "more"), KEY, "full_outer")
+    counts = (F.coalesce(F.col(c), F.lit(0)) for c in ("docs", "more"))
+    return both.select(*KEY, reduce(Column.__add__, counts).alias("docs"))
 
 
 def drop_frequent_lines(
@@ -131,8 +157,9 @@ def drop_frequent_lines(
     untouched (a column by one of the three added names is replaced). An empty
     table gives an empty one.
 
-    The hashes of all lines are stored once, by batch. Frequent lines meet
-    them in a join; only places of dropped lines go on to the documents, in
+    The hashes of all lines are stored once, by batch; the runs are dropped
+    when the frequent lines are known and stored. These meet the hashes in a
+    join; only places of dropped lines go on to the documents, in
     one list per document.
     """
     spark = docs.sparkSession
@@ -140,11 +167,15 @@ def drop_frequent_lines(
     batch = F.pmod(F.xxhash64("doc", "mark"), F.lit(batches)).cast("int")
     hashed = line_hashes(docs, doc_id, text, min_chars)
     lines = materialize(hashed.withColumn("batch", batch), "lines", partition_by=("batch",))
-    runs = LineRuns(spark, min_docs=min_docs)
-    for number in range(batches):
-        runs.add(lines.filter(F.col("batch") == number))
+
+    def frequent_lines() -> DataFrame:
+        runs = LineRuns(spark, min_docs=min_docs)
+        for number in range(batches):
+            runs.add(lines.filter(F.col("batch") == number))
+        return runs.frequent_lines()
+
     dropped = (
-        lines.join(runs.frequent_lines(), KEY, "left_semi")
+        lines.join(stored_result(spark, "frequent-lines", frequent_lines), KEY, "left_semi")
         # Repeated rows have the same lines at the same places.
         .groupBy("doc", "mark")
         .agg(F.sort_array(F.collect_set("place")).alias("gone"))
