@@ -151,7 +151,7 @@ def test_job_folder_is_gone_after_the_job(spark):
 
 
 def test_bucketed_tables_join_without_a_shuffle(spark):
-    rows = spark.range(100).withColumn("twice", F.col("id") * 2)
+    rows = spark.range(100).selectExpr("id", "2 * id AS twice")
     store = partial(materialize, rows, "bucketed", bucket_by=("id",), buckets=4)
     with job_folder(spark):
         assert sum(r["twice"] for r in store().collect()) == 9900
