@@ -311,15 +311,20 @@ class _Forest(dict):
 
 
 class _Lists:
-    """Inverted lists of a block in two arrays: tokens in order, and the place of each one's set."""
+    """Inverted lists of a block in two arrays: tokens in order, and the place of each one's set.
+
+    ``tokens`` is emptied on the way, so that few arrays of all tokens are held at once.
+    """
 
     def __init__(self, tokens: list[np.ndarray]):
         lengths = [len(t) for t in tokens]
         flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+        tokens.clear()
         # The sort is stable, so the places of a token ascend.
         order = np.argsort(flat, kind="stable")
         self.tokens = flat[order]
-        self.places = np.repeat(np.arange(len(tokens), dtype=np.int32), lengths)[order]
+        del flat
+        self.places = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[order]
 
     def of(self, tokens: np.ndarray) -> list[np.ndarray]:
         """The list of each token that has one."""
@@ -398,7 +403,7 @@ class _Block:
         own required overlap is reached or out of reach.
         """
         if self.lists is None:
-            self.lists, self.waiting = _Lists(self.waiting), []
+            self.lists = _Lists(self.waiting)
         known, keys = self.known, self.keys
         known.join(query, label)
         own, behind = known.find(query), bisect.bisect_right(keys, query)
@@ -482,7 +487,8 @@ def _bounded_search(percent: int):
                 if table is None:
                     table = [np.array(c) for c in (keys, labels, sizes)]
                     ranges_of = np.array(counts, np.int32).reshape(-1, 1 << RANGE_BITS)
-                    lists, counts, short = _Lists(short), [], []
+                    counts.clear()
+                    lists = _Lists(short)
                 merged = heapq.merge(*[places.tolist() for places in lists.of(mine)])
                 found = np.array([i for i, _ in groupby(merged)], np.int64)
                 k, l, m = (column[found] for column in table)
