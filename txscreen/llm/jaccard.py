@@ -27,6 +27,7 @@ into all of their pairs:
 import bisect
 import heapq
 import math
+from array import array
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -59,7 +60,7 @@ FILTER_BITS = 23
 BLOCK_SETS, BLOCK_TOKENS = 65_536, 32_000_000
 
 #: Shingles whose lists are held at once where sets are probed, of 12 bytes each.
-PROBED_TOKENS = 4_000_000
+PROBED_TOKENS = 3_000_000
 
 #: Weight of a probe against a step of the merge, which decides how many lists are probed.
 LONG_SHARE = 0.01
@@ -310,20 +311,25 @@ class _Forest(dict):
         self[max(a, b)] = min(a, b)
 
 
+def _numbers(data: bytearray, kind: type) -> np.ndarray:
+    """The numbers that ``data`` holds, without a copy."""
+    return np.frombuffer(data, kind) if data else np.zeros(0, kind)
+
+
 class _Lists:
     """Inverted lists of a block in two arrays: tokens in order, and the place of each one's set.
 
-    ``tokens`` is emptied on the way, so that few arrays of all tokens are held at once.
+    ``tokens`` has the sets' tokens one after the other. It is emptied on the
+    way, so that few arrays of all tokens are held at once.
     """
 
-    def __init__(self, tokens: list[np.ndarray]):
-        lengths = [len(t) for t in tokens]
-        flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-        tokens.clear()
+    def __init__(self, tokens: bytearray, lengths: array, kind: type):
+        flat = _numbers(tokens, kind)
         # The sort is stable, so the places of a token ascend.
         order = np.argsort(flat, kind="stable")
         self.tokens = flat[order]
         del flat
+        tokens.clear()
         self.places = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[order]
 
     def of(self, tokens: np.ndarray) -> list[np.ndarray]:
@@ -374,16 +380,15 @@ class _Block:
 
     def __init__(self, percent: int):
         self.percent = percent
-        self.keys: list[int] = []
-        self.sizes: list[int] = []
-        self.waiting: list[np.ndarray] = []
+        self.keys, self.sizes = array("q"), array("q")
+        self.waiting = bytearray()
         self.lists: _Lists | None = None
         self.known = _Forest()
 
     def add(self, key: int, label: int, shingles: np.ndarray) -> None:
         self.keys.append(key)
         self.sizes.append(len(shingles))
-        self.waiting.append(shingles.copy())
+        self.waiting += shingles.tobytes()
         self.known.join(key, label)
 
     def _reaches(self, place: int, count: int, long: list[np.ndarray], least: int) -> bool:
@@ -403,7 +408,7 @@ class _Block:
         own required overlap is reached or out of reach.
         """
         if self.lists is None:
-            self.lists = _Lists(self.waiting)
+            self.lists = _Lists(self.waiting, self.sizes, np.uint64)
         known, keys = self.known, self.keys
         known.join(query, label)
         own, behind = known.find(query), bisect.bisect_right(keys, query)
@@ -474,21 +479,22 @@ def _bounded_search(percent: int):
             names = ("block", "query", "key", "label", "n", "ranges")
             for row, (at, query, key, label, n, ranges) in enumerate(_rows(batch, *names)):
                 if at != number:
-                    number, table, told = at, None, set()
-                    keys, labels, sizes, counts, short = [], [], [], [], []
-                own = np.frombuffer(ranges, np.int32)
+                    # What the block before has held goes first.
+                    number, table, told, lists, ranges_of = at, None, set(), None, None
+                    keys, labels, sizes, lengths = (array("q") for _ in range(4))
+                    counts, short = bytearray(), bytearray()
                 mine = tokens[row].values.to_numpy()
                 if not query:
-                    columns = (keys, labels, sizes, counts, short)
-                    # Copies: the batch they are part of goes.
-                    for column, value in zip(columns, (key, label, n, own.copy(), mine.copy())):
+                    for column, value in zip((keys, labels, sizes, lengths), (key, label, n, len(mine))):
                         column.append(value)
+                    counts += ranges
+                    short += mine.tobytes()
                     continue
+                own = np.frombuffer(ranges, np.int32)
                 if table is None:
-                    table = [np.array(c) for c in (keys, labels, sizes)]
-                    ranges_of = np.array(counts, np.int32).reshape(-1, 1 << RANGE_BITS)
-                    counts.clear()
-                    lists = _Lists(short)
+                    table = [np.array(c, np.int64) for c in (keys, labels, sizes)]
+                    ranges_of = _numbers(counts, np.int32).reshape(-1, 1 << RANGE_BITS)
+                    lists = _Lists(short, lengths, np.int64)
                 merged = heapq.merge(*[places.tolist() for places in lists.of(mine)])
                 found = np.array([i for i, _ in groupby(merged)], np.int64)
                 k, l, m = (column[found] for column in table)
