@@ -1,17 +1,20 @@
 """Nearest neighbours by inner product from randomly rotated one-bit codes.
 
-A vector is centred, rotated and reduced to the signs of its components. With
-two numbers per vector, its length and how well the signs point its way, packed
-signs give an estimate of the inner product with a bound on its error. Vectors
-whose bound reaches the k-th best are scored exactly.
+A vector is centred, rotated into ``WIDE`` times its components and reduced to
+their signs. With two numbers per vector, its length and how well the signs
+point its way, packed signs give an estimate of the inner product with a bound
+on its error. Vectors whose bound reaches the k-th best found so far are scored
+exactly.
 """
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txscreen.sources import materialize
 
@@ -20,19 +23,35 @@ TOP, QUERY_EVERY = 20, 20
 #: Bits per component of a rotated query, and the width of the error bound in
 #: standard deviations.
 QUERY_BITS, BOUND = 4, 3.0
+ROUNDING = 1e-11
 
-#: Rows of a block of vectors, and queries of a block of queries.
-BLOCK, QUERY_BLOCK = 4096, 1024
-BLOCKS_TOGETHER = 2
+#: Signs per component of a vector. Twice as many take a third off the error.
+WIDE = 2
+
+#: Vectors whose codes are compared at once, and queries that are.
+BLOCK, QUERIES_TOGETHER = 4096, 128
+
+#: Bytes of the vectors that a task holds, and the queries that it is asked, on
+#: the average. Both go to a task per pair of parts, so large ones move less.
+PART_BYTES, QUERY_PART = 1 << 25, 32_768
+
+#: Parts of vectors at least, so that a small table has work for several executors.
+LEAST_PARTS = 16
+
+#: Shuffle partitions at most; with more pairs of parts than that, a task has several in turn.
+MOST_PARTITIONS = 20_000
 
 SEED = 67
 
 
-def rotation(size: int, seed: int = SEED) -> np.ndarray:
-    """A random orthogonal matrix, the same for every task."""
-    normal = np.random.default_rng(seed).standard_normal((size, size))
+def rotation(size: int, wide: int = 1, seed: int = SEED) -> np.ndarray:
+    """``size`` random orthogonal directions in ``wide`` times as many dimensions.
+
+    The same for every task.
+    """
+    normal = np.random.default_rng(seed).standard_normal((size * wide, size * wide))
     q, r = np.linalg.qr(normal)
-    return q * np.sign(np.diag(r))
+    return (q * np.sign(np.diag(r)))[:, :size]
 
 
 def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray):
@@ -44,7 +63,7 @@ def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray):
     length = np.linalg.norm(rest, axis=1)
     turned = (rest / np.where(length > 0, length, 1.0)[:, None]) @ turn.T
     signs = turned >= 0
-    fit = np.abs(turned).sum(axis=1) / np.sqrt(vectors.shape[1])
+    fit = np.abs(turned).sum(axis=1) / np.sqrt(len(turn))
     return _pack(signs), length, np.where(length > 0, fit, 1.0)
 
 
@@ -57,7 +76,7 @@ def _pack(bits: np.ndarray) -> np.ndarray:
 
 def estimate(codes, length, fit, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray):
     """Estimated inner products (queries by vectors) and the half width of their bounds."""
-    dims = queries.shape[1]
+    dims = len(turn)
     turned = queries.astype(np.float64) @ turn.T
     low = turned.min(axis=1, keepdims=True)
     step = np.maximum(turned.max(axis=1, keepdims=True) - low, 1e-300) / (2**QUERY_BITS - 1)
@@ -79,6 +98,8 @@ def estimate(codes, length, fit, queries: np.ndarray, centre: np.ndarray, turn:
     off = np.sqrt(np.maximum(1 - fit * fit, 0)) * scale / np.sqrt(max(dims - 1, 1))
     norm = np.linalg.norm(turned, axis=1)[:, None]
     half = BOUND * (norm * off + step / np.sqrt(12) * scale)
+    # What the arithmetic itself may be off, where the code is exact.
+    half += ROUNDING * norm * (np.linalg.norm(centre) + length)
     return value, half
 
 
@@ -87,27 +108,66 @@ def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return (vectors.astype(np.float64) * query.astype(np.float64)).sum(axis=1)
 
 
-def search_block(ids, vectors, codes, length, fit, query_ids, queries, centre, turn, top: int):
-    """The ``top`` best of a block for each query: query ids, ids and exact scores."""
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for start in range(0, len(queries), 128):
-        part, part_ids = queries[start : start + 128], query_ids[start : start + 128]
-        value, half = estimate(codes, length, fit, part, centre, turn)
-        own = part_ids[:, None] == ids[None, :]
-        lower = np.where(own, -np.inf, value - half)
-        if len(ids) > top:
-            enough = np.partition(lower, len(ids) - top, axis=1)[:, len(ids) - top]
-        else:
-            enough = np.full(len(part), -np.inf)
-        chosen = (value + half >= enough[:, None]) & ~own
-        for i, query in enumerate(part):
+class _Part:
+    """Vectors that a task holds in blocks with their codes, all added before the first query."""
+
+    def __init__(self, centre: np.ndarray, turn: np.ndarray, top: int):
+        self.centre, self.turn, self.top = centre, turn, top
+        self.blocks: list[tuple[np.ndarray, ...]] = []
+        self.open: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        for start in range(0, len(ids), BLOCK):
+            # Copies: the batch they are part of goes.
+            self.open.append((ids[start : start + BLOCK].copy(), vectors[start : start + BLOCK].copy()))
+            self.waiting += len(self.open[-1][0])
+            if self.waiting >= BLOCK:
+                self._close()
+
+    def _close(self) -> None:
+        if self.open:
+            ids, vectors = (np.concatenate(column) for column in zip(*self.open))
+            self.blocks.append((ids, vectors, *encode(vectors, self.centre, self.turn)))
+        self.open, self.waiting = [], 0
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray):
+        """The ``top`` best for each query: query ids, ids and exact scores.
+
+        A block's vectors are scored whose upper bound reaches the worst of the
+        ``top`` scores that a query has by then. Before it has as many, they
+        are those that reach the ``top``-th lower bound of the block.
+        """
+        self._close()
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for start in range(0, len(queries), QUERIES_TOGETHER):
+            some, own = queries[start : start + QUERIES_TOGETHER], query_ids[start : start + QUERIES_TOGETHER]
+            best = [(np.zeros(0, np.int64), np.zeros(0))] * len(some)
+            least = np.full(len(some), -np.inf)
+            for block in self.blocks:
+                self._meet(block, own, some, best, least)
+            found += [(np.full(len(ids), query), ids, scores) for query, (ids, scores) in zip(own, best)]
+        return tuple(np.concatenate(column) for column in zip(*found))
+
+    def _meet(self, block, own: np.ndarray, queries: np.ndarray, best: list, least: np.ndarray) -> None:
+        """Bring ``best``, and ``least`` of it, up to date with a block."""
+        ids, vectors, *codes = block
+        value, half = estimate(*codes, queries, self.centre, self.turn)
+        value[own[:, None] == ids[None, :]] = -np.inf
+        reach = least
+        if np.isneginf(least).any() and len(ids) > self.top:
+            place = len(ids) - self.top
+            reach = np.maximum(least, np.partition(value - half, place, axis=1)[:, place])
+        chosen = (value + half >= reach[:, None]) & ~np.isneginf(value)
+        for i, query in enumerate(queries):
             at = np.flatnonzero(chosen[i])
-            scores = exact(query, vectors[at])
-            best = np.lexsort((ids[at], -scores))[:top]
-            found.append((np.full(len(best), part_ids[i]), ids[at][best], scores[best]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return tuple(np.concatenate(column) for column in zip(*found))
+            if len(at):
+                names = np.concatenate([best[i][0], ids[at]])
+                scores = np.concatenate([best[i][1], exact(query, vectors[at])])
+                order = np.lexsort((names, -scores))[: self.top]
+                best[i] = names[order], scores[order]
+                if len(order) == self.top:
+                    least[i] = scores[order[-1]]
 
 
 def _usable(vectors: DataFrame, vec_id: str, embedding: str, size: int) -> DataFrame:
@@ -115,27 +175,26 @@ def _usable(vectors: DataFrame, vec_id: str, embedding: str, size: int) -> DataF
     items = F.col("items")
     bad = F.exists(items, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     other = F.exists(items, lambda x: x != 0)
+    kind = "float" if vectors.schema[embedding].dataType.elementType == T.FloatType() else "double"
     few = vectors.select(
         F.col(vec_id).cast("long").alias("vec_id"),
-        F.col(embedding).cast("array<double>").alias("items"),
+        F.col(embedding).cast(f"array<{kind}>").alias("items"),
     )
     right = F.col("vec_id").isNotNull() & (F.size(items) == size)
     return few.filter(right).filter(~bad & other)
 
 
-def _blocks(rows: DataFrame, number: str, blocks: int) -> DataFrame:
-    """Rows dealt into ``blocks`` groups by a hash of id and salt, each group one list."""
-    dealt = F.pmod(F.xxhash64("vec_id", "salt"), F.lit(blocks)).cast("int")
-    members = F.sort_array(F.collect_list(F.struct("vec_id", "items")))
-    return rows.groupBy(dealt.alias(number)).agg(members.alias("members"))
+def _dealt(rows: DataFrame, own: str, parts: int, other: str, others: int) -> DataFrame:
+    """Rows dealt into ``parts`` by a hash of id and salt, each for all parts of the other side."""
+    part = F.pmod(F.xxhash64("vec_id", "salt"), F.lit(parts))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long")))
+    return rows.select(part.alias(own), every.alias(other), "vec_id", "items")
 
 
-def _arrays(members: pa.ListScalar, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of one block."""
-    rows = members.values
-    ids = rows.field("vec_id").to_numpy()
-    items = rows.field("items").flatten().to_numpy()
-    return ids, items.reshape(-1, size)
+def _arrays(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a batch."""
+    items = batch.column("items").flatten().to_numpy()
+    return batch.column("vec_id").to_numpy(), items.reshape(-1, size)
 
 
 def nearest(
@@ -158,10 +217,16 @@ def nearest(
     a repeated query is answered once, for its smallest vector. No usable row:
     an empty result.
 
-    Vectors are packed into blocks, copies of one id spread over them, and meet the blocks of queries by the
-    number of the query block, so a task holds one block of either. A block
-    returns its best ``top`` per query; these are ranked per query.
+    Ids must be integers.
+
+    Vectors are dealt into parts of bounded bytes, copies of one id spread over
+    them, and queries into parts of their own. A task has one part of either:
+    it holds the vectors with their codes and reads the queries one after the
+    other. What is moved is each vector once per ``QUERY_PART`` queries, and
+    the best ``top`` per query and part, which are ranked per query.
     """
+    if not isinstance(vectors.schema[vec_id].dataType, T.IntegralType):
+        raise ValueError(f"{vec_id} must be an integer")
     sizes = vectors.select(F.size(F.col(embedding)).alias("size")).filter("size > 0")
     common = sizes.groupBy("size").count().orderBy(F.desc("count"), F.desc("size")).first()
     result = "query_id long, rank int, vec_id long, score double"
@@ -184,38 +249,39 @@ def nearest(
         .withColumn("salt", F.lit(0).cast("long"))
     )
     queries = materialize(queries, "queries")
-    query_blocks = -(-queries.count() // QUERY_BLOCK)
-    blocks = -(-rows.count() // BLOCK)
-    # An index block goes to every block of queries, which waits in one place
-    # for each handful of index blocks.
-    parts = -(-blocks // BLOCKS_TOGETHER)
-    every = F.explode(F.sequence(F.lit(0), F.lit(max(query_blocks - 1, 0))))
-    index = _blocks(rows, "block", blocks).select(
-        F.col("members").alias("own"),
-        (F.col("block") % parts).alias("part"),
-        every.alias("number"),
-    )
-    asked = _blocks(queries, "number", max(query_blocks, 1)).select(
-        "number", "members", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
-    )
+    numbers = max(-(-queries.count() // QUERY_PART), 1)
+    width = 4 if rows.schema["items"].dataType.elementType == T.FloatType() else 8
+    parts = max(-(-rows.count() * size * width // PART_BYTES), LEAST_PARTS)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotation(size, seed)
+        turn = rotation(size, WIDE, seed)
+        part, number = None, None
         for batch in batches:
-            for own, members in zip(batch.column("own"), batch.column("members")):
-                ids, vectors = _arrays(own, size)
-                query_ids, asked_for = _arrays(members, size)
-                coded = encode(vectors, centre, turn)
-                q, i, s = search_block(
-                    ids, vectors, *coded, query_ids, asked_for, centre, turn, top
-                )
+            groups, asked = (batch.column(c).to_numpy() for c in ("group", "asked"))
+            cuts = np.flatnonzero((np.diff(groups) != 0) | (np.diff(asked) != 0)) + 1
+            for a, b in pairwise([0, *cuts.tolist(), batch.num_rows]):
+                if a == b:
+                    continue
+                if part is None or groups[a] != number:
+                    part, number = _Part(centre, turn, top), groups[a]
+                ids, items = _arrays(batch.slice(a, b - a), size)
+                if not asked[a]:
+                    part.add(ids, items)
+                    continue
+                columns = zip(part.search(ids, items), (pa.int64(), pa.int64(), pa.float64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())],
-                    ["query_id", "vec_id", "score"],
+                    [pa.array(c, t) for c, t in columns], ["query_id", "vec_id", "score"]
                 )
 
-    pairs = index.join(asked, ["part", "number"]).select("own", "members")
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
+    index = _dealt(rows, "part", parts, "number", numbers).withColumn("asked", F.lit(0))
+    asked = _dealt(queries, "number", numbers, "part", parts).withColumn("asked", F.lit(1))
+    group = F.col("part") * numbers + F.col("number")
+    partitions = min(parts * numbers, MOST_PARTITIONS)
+    together = index.unionByName(asked).select(group.alias("group"), "asked", "vec_id", "items")
+    met = together.repartitionById(partitions, F.pmod("group", F.lit(partitions)).cast("int"))
+    found = met.sortWithinPartitions("group", "asked").mapInArrow(
+        search, "query_id long, vec_id long, score double"
+    )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(best))
