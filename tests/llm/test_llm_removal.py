@@ -1,11 +1,11 @@
-"""Texts that the quality operator leaves, line by line."""
+"""Texts that the quality operator leaves, line by line, and awkward urls."""
 
 import collections
 import re
 
 from pyspark.sql import functions as F
 
-from txscreen.llm import quality
+from txscreen.llm import quality, reputation
 
 TYPES = "doc_id long, text string, source string, kept string"
 
@@ -80,3 +80,23 @@ def test_white_space_never_makes_another_line(spark):
         assert (found[i]["kept_text"], found[i]["n_removed"]) == ("\n".join(left), len(lines) - len(left))
         every = sum(len(normal(n)) for n in lines)
         assert chars[i] == (every, every - sum(len(normal(n)) for n in left))
+
+
+def test_urls_repeated_long_and_of_no_host(spark):
+    long = "http://deep.example.org/es/" + "x" * 200_000 + "?" + "y" * 200_000
+    rows = [(1, long), (1, long), (2, "http://" + "a." * 50_000 + "com/de/"), (2, None)]
+    rows += [(None, "http://x.com/fr/"), (3, "http:///de/"), (4, ""), (5, "://")]
+    table = spark.createDataFrame(rows, "page_id long, url string").repartition(3)
+    found = reputation.filter_urls(table, block_below=0.0).collect()
+    assert len(found) == len(rows)
+    rules = sorted((r["page_id"] or 0, r["rule"] or "", r["verdict"], len(r["path"])) for r in found)
+    assert rules == [
+        (0, "com/fr/", "allow", 4),
+        (1, "example.org/es/", "block", 200_004),
+        (1, "example.org/es/", "block", 200_004),
+        (2, "", "allow", 0),
+        (2, "com/de/", "block", 4),
+        (3, "", "allow", 4),
+        (4, "", "allow", 0),
+        (5, "", "allow", 0),
+    ]
