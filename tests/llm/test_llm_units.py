@@ -1,6 +1,7 @@
 """Parts of the text operators that need no Spark, against plain versions."""
 
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -152,6 +153,37 @@ def test_shingles_by_the_contract():
     assert other[0][0] != other[1][0]
 
 
+def test_new_words_take_no_call_of_python_each():
+    text = " ".join(f"w{i}" for i in range(5000))
+    calls = []
+    before = sys.getprofile()
+    sys.setprofile(lambda frame, event, arg: calls.append(frame) if event == "call" else None)
+    try:
+        shingles = jaccard.shingle_set(text, jaccard._WordHashes())
+    finally:
+        sys.setprofile(before)
+    assert len(shingles) == 4997 and len(calls) < 100
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("ab \n", max_size=60), st.integers(1, 6))
+def test_shingles_are_sorted_and_distinct(text, width):
+    words = text.split()
+    wide = min(width, len(words))
+    plain = {tuple(words[i : i + wide]) for i in range(len(words) - wide + 1)} if words else set()
+    found = jaccard.shingle_set(text, jaccard._WordHashes(), width)
+    assert len(found) == len(plain) and (np.diff(found.astype(object)) > 0).all()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=50), st.integers(0, 3), st.integers(0, 2**32))
+def test_rare_shingles_come_first(values, most, seed):
+    shingles = np.array(sorted(values), np.uint64)
+    counts = np.random.default_rng(seed).integers(0, most + 1, 1 << jaccard.BUCKET_BITS)
+    plain = sorted(values, key=lambda v: (counts[v >> (64 - jaccard.BUCKET_BITS)], v))
+    assert jaccard.in_order(shingles, counts).tolist() == plain
+
+
 def test_divide_skip_block_finds_all_links():
     """Against all pairs, connected components alike."""
     rng = np.random.default_rng(7)
