@@ -78,6 +78,40 @@ def test_cache_of_codes_keeps_its_size(monkeypatch):
     assert len(codes) <= 3 and len(codes.older) <= 3
 
 
+def test_new_words_are_merged_together(library, monkeypatch):
+    """Merging each new word on its own takes most of the time of a varied corpus."""
+    alone = []
+    merge_word = bpe.merge_word
+    monkeypatch.setattr(bpe, "merge_word", lambda *a: alone.append(a) or merge_word(*a))
+    letters = [a + b for a in "etaoinß" for b in ["", "r", "nd", "ing"]]
+    texts = [
+        " ".join(letters[i % 28] + letters[k % 28] + letters[i * k % 28] + "." for k in range(60))
+        + "<|endoftext|>" * (i % 2)
+        for i in range(80)
+    ]
+    texts += ["", None, "x" * 3000, *ODD_TEXTS]
+    vocabulary = bpe.Vocabulary(bpe.load_definition(word_bpe_path()))
+    for found, text in zip(bpe.Codec(vocabulary).codes_of(texts), texts, strict=True):
+        ids = [int(i) for code in found for i in code[0].split(" ")]
+        assert ids == library.encode(text or "", add_special_tokens=False).ids
+    words = {w for t in texts if t for w in vocabulary.words(t)}
+    assert len(words) > 500 and len(alone) < 150
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=40), min_size=1, max_size=8))
+def test_words_merged_together_equal_single_ones(words):
+    radix, merges, joined = 100, {}, []
+    for a in range(10):
+        for b in range(0, 8, 2):
+            merges[a * radix + b] = len(joined)
+            joined.append(4 + len(joined))
+    alone = [bpe.merge_word(list(w), merges, joined, radix) if len(w) > 1 else w for w in words]
+    pairs = bpe.PairRanks(merges, joined, radix)
+    flat, lengths = np.concatenate(words), np.array([len(w) for w in words])
+    assert bpe.merge_words(flat, lengths, pairs) == alone
+
+
 def plain_measures(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)

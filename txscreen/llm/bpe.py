@@ -3,16 +3,20 @@
 Every leaf of the tree is the rank of one adjacent pair of symbols. The root
 names the leftmost pair of the lowest rank; merging it changes three leaves, so
 a word of n symbols is encoded in O(n log n), however long it is. Words are
-the pieces that the vocabulary's pattern cuts a normalised text into.
+the pieces that the vocabulary's pattern cuts a normalised text into. Short
+words that a worker meets for the first time are merged together, each with a
+tree of its own: one step of all of them is a few operations on arrays.
 """
 
 import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +29,10 @@ NO_MERGE = 1 << 60
 #: word that is kept. Any other word is encoded again.
 CACHE_WORDS, CACHE_CHARS = 120_000, 40
 
+#: Characters of text whose new words are merged together, words in one set of
+#: arrays, and the fewest words of about one length that are worth it.
+GROUP_CHARS, MOST_TREES, LEAST_TREES = 1_000_000, 10_000, 32
+
 
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies.
@@ -97,6 +105,84 @@ def merge_word(symbols: list[int], merges: dict[int, int], joined: list[int], ra
     return [s for s in symbols if s >= 0]
 
 
+class PairRanks:
+    """Ranks of many pairs at once; ``none``, which is no symbol, merges with nothing."""
+
+    def __init__(self, merges: dict[int, int], joined: list[int], radix: int):
+        self.none, self.step = radix, radix + 1
+        pairs = np.fromiter(merges, np.int64, len(merges))
+        keys = pairs // radix * self.step + pairs % radix
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], np.iinfo(np.int64).max)
+        ranks = np.fromiter(merges.values(), np.int64, len(merges))
+        self.ranks = np.append(ranks[order], NO_MERGE)
+        self.joined = np.array(joined, np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        wanted = left * self.step + right
+        at = np.searchsorted(self.keys, wanted)
+        return np.where(self.keys[at] == wanted, self.ranks[at], NO_MERGE)
+
+
+def merge_words(symbols: np.ndarray, lengths: np.ndarray, pairs: PairRanks) -> list[list[int]]:
+    """``merge_word`` of many short words, whose symbols follow each other in ``symbols``.
+
+    Every word has a row with one more place before and at least one behind
+    it, which hold no symbol. Leaf i of its tree is the pair of places i and
+    i + 1. Each round merges one pair in every word that still has one.
+    """
+    words, levels = len(lengths), int(lengths.max()).bit_length()
+    leaves, width = 1 << levels, (1 << levels) + 1
+    places = np.arange(width)
+    held = (places > 0) & (places <= lengths[:, None])
+    row_symbols = np.full((words, width), pairs.none, np.int64)
+    row_symbols[held] = symbols
+    tree = np.full((words, 2 * leaves), NO_MERGE, np.int64)
+    paired = held[:, :-1] & held[:, 1:]
+    tree[:, leaves:][paired] = pairs.of(row_symbols[:, :-1][paired], row_symbols[:, 1:][paired])
+    size = leaves
+    while size > 1:
+        np.minimum(
+            tree[:, size : 2 * size : 2], tree[:, size + 1 : 2 * size : 2], out=tree[:, size // 2 : size]
+        )
+        size //= 2
+    after = np.tile(places + 1, words)
+    before = np.tile(places - 1, words)
+    flat, nodes = row_symbols.reshape(-1), tree.reshape(-1)
+    row, root = np.arange(words) * width, np.arange(words) * 2 * leaves
+    while True:
+        low = nodes[root + 1]
+        going = np.flatnonzero(low != NO_MERGE)
+        if not going.size:
+            break
+        row, root, low = row[going], root[going], low[going]
+        node = np.ones(len(low), np.int64)
+        for _ in range(levels):
+            node *= 2
+            node += nodes[root + node] != low
+        at = node - leaves
+        right, ahead = after[row + at], before[row + at]
+        behind = after[row + right]
+        made = pairs.joined[low]
+        flat[row + at] = made
+        flat[row + right] = pairs.none
+        after[row + at] = behind
+        before[row + behind] = at
+        next_rank = pairs.of(made, flat[row + behind])
+        last_rank = pairs.of(flat[row + ahead], made)
+        roots = np.concatenate([root, root, root])
+        node = np.concatenate([at, right, ahead]) + leaves
+        nodes[roots + node] = np.concatenate([next_rank, np.full(len(at), NO_MERGE), last_rank])
+        for _ in range(levels):
+            node >>= 1
+            child = roots + 2 * node
+            nodes[roots + node] = np.minimum(nodes[child], nodes[child + 1])
+    kept = row_symbols != pairs.none
+    ids = row_symbols[kept].tolist()
+    ends = list(accumulate(kept.sum(axis=1).tolist()))
+    return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+
 # What the vocabulary's pattern finds in lower-case ASCII, for the faster library.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value
 _PLAIN_WORDS = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+").findall
@@ -132,8 +218,36 @@ class Vocabulary:
         self.letters = byte_letters()
         self.first = [self.ids[c] for c in self.letters]
         self.last = [self.ids[c + self.end] for c in self.letters]
+        self.pairs = PairRanks(self.merges, self.joined, self.radix)
+        self.first_of, self.last_of = np.array(self.first), np.array(self.last)
+
+    def encode_words(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """Each word and its ids; those whose trees are of one size are merged together."""
+        sizes: dict[int, list[tuple[str, bytes]]] = {}
+        for word in words:
+            if word[0] == " ":
+                yield word, self.encode_word(word)
+                continue
+            data = word.encode("utf-8", "replace")
+            sizes.setdefault(len(data).bit_length(), []).append((word, data))
+        for alike in sizes.values():
+            if len(alike) < LEAST_TREES:
+                for word, _ in alike:
+                    yield word, self.encode_word(word)
+                continue
+            for start in range(0, len(alike), MOST_TREES):
+                some, data = zip(*alike[start : start + MOST_TREES])
+                lengths = np.fromiter(map(len, data), np.int64, len(data))
+                code_units = np.frombuffer(b"".join(data), np.uint8)
+                ends = np.cumsum(lengths) - 1
+                symbols = self.first_of[code_units]
+                symbols[ends] = self.last_of[code_units[ends]]
+                yield from zip(some, merge_words(symbols, lengths, self.pairs))
 
     def encode_word(self, word: str) -> list[int]:
+        """Ids of a word, or of a special token with a blank before it."""
+        if word[0] == " ":
+            return [self.special[word[1:]]]
         data = word.encode("utf-8", "replace")
         symbols = [self.first[b] for b in data]
         symbols[-1] = self.last[data[-1]]
@@ -169,16 +283,28 @@ class Codes(dict):
     def __missing__(self, word: str) -> tuple[str, str]:
         code = self.older.get(word)
         if code is None:
-            ids = self.vocabulary.encode_word(word)
-            names, tokens = self.vocabulary.names, self.vocabulary.tokens
-            code = " ".join([names[i] for i in ids]), " ".join([tokens[i] for i in ids])
+            code = self.code(self.vocabulary.encode_word(word))
             if len(word) > CACHE_CHARS:
                 return code
+        self.keep(word, code)
+        return code
+
+    def code(self, ids: list[int]) -> tuple[str, str]:
+        names, tokens = self.vocabulary.names, self.vocabulary.tokens
+        return " ".join([names[i] for i in ids]), " ".join([tokens[i] for i in ids])
+
+    def keep(self, word: str, code: tuple[str, str]) -> None:
         if len(self) >= CACHE_WORDS:
             self.older = dict(self)
             self.clear()
         self[word] = code
-        return code
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Encode those of ``words``, each given once, that are short and not there."""
+        older = self.older
+        new = [w for w in words if w not in self and w not in older and len(w) <= CACHE_CHARS]
+        for word, ids in self.vocabulary.encode_words(new):
+            self.keep(word, self.code(ids))
 
 
 class Codec:
@@ -188,20 +314,40 @@ class Codec:
         self.vocabulary = vocabulary
         self.known = Codes(vocabulary)
 
-    def codes(self, text: str | None) -> list[tuple[str, str]]:
-        """Ids and tokens of each word and special token of ``text``."""
+    def cut(self, text: str | None) -> list[str]:
+        """Words and special tokens of ``text``; a blank, which no word has, leads the latter."""
         if not text:
             return []
-        vocabulary, code = self.vocabulary, self.known.__getitem__
+        vocabulary = self.vocabulary
         if "<|" not in text:
-            return list(map(code, vocabulary.words(text)))
-        codes = []
+            return vocabulary.words(text)
+        pieces = []
         for part in vocabulary.split_special.split(text):
             if part in vocabulary.special:
-                codes.append((str(vocabulary.special[part]), part))
+                pieces.append(" " + part)
             else:
-                codes.extend(map(code, vocabulary.words(part)))
-        return codes
+                pieces.extend(vocabulary.words(part))
+        return pieces
+
+    def codes(self, text: str | None) -> list[tuple[str, str]]:
+        """Ids and tokens of each word and special token of ``text``."""
+        return list(map(self.known.__getitem__, self.cut(text)))
+
+    def codes_of(self, texts: Iterable[str | None]) -> Iterator[list[tuple[str, str]]]:
+        """``codes`` of each text, with the new words of several texts encoded together."""
+        cuts, chars = [], 0
+        for text in texts:
+            cuts.append(self.cut(text))
+            chars += len(text or "")
+            if chars >= GROUP_CHARS:
+                yield from self._codes_of_cuts(cuts)
+                cuts, chars = [], 0
+        yield from self._codes_of_cuts(cuts)
+
+    def _codes_of_cuts(self, cuts: list[list[str]]) -> Iterator[list[tuple[str, str]]]:
+        self.known.learn(set().union(*cuts))
+        for pieces in cuts:
+            yield list(map(self.known.__getitem__, pieces))
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for code in self.codes(text) for i in code[0].split(" ")]
@@ -254,8 +400,8 @@ def encode_documents(
         codec = _codec(shared.value)
         for batch in batches:
             lengths, ids, decoded, id_marks, text_marks = [], [], [], [], []
-            for value in batch.column("text"):
-                codes = codec.codes(value.as_py())
+            texts = (value.as_py() for value in batch.column("text"))
+            for codes in codec.codes_of(texts):
                 joined, back = map(" ".join, zip(*codes)) if codes else ("", "")
                 lengths.append(joined.count(" ") + 1 if codes else 0)
                 id_marks.append(_hex(joined))
