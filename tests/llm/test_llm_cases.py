@@ -220,6 +220,22 @@ def test_removal_in_pieces_of_long_texts(spark, monkeypatch):
     )
 
 
+@pytest.mark.parametrize("length", [32, 47, 100])
+def test_removal_of_strings_about_as_long_as_counts(spark, length):
+    """Shared strings a little shorter or longer than counts, some in texts under one id."""
+    rng = np.random.default_rng(length)
+    letters = list("abcdefgh")
+    blocks = ["".join(rng.choice(letters, length + d)) for d in (-3, -1, 0, 1, 2, 30)]
+    rows = []
+    for i in range(60):
+        parts = [blocks[k] for k in rng.integers(0, len(blocks), 3)]
+        noise = ["".join(rng.choice(letters, rng.integers(1, length))) for _ in range(4)]
+        rows.append((i // 2 if i % 7 else None, "".join(x for pair in zip(noise, parts) for x in pair) + noise[3]))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = substrings.remove_repeats(table, length=length).collect()
+    assert as_multiset(found) == as_multiset(plain_removal(rows, length))
+
+
 def test_removal_of_nothing(nothing):
     assert substrings.remove_repeats(nothing).collect() == []
 

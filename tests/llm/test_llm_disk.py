@@ -1,11 +1,12 @@
-"""What the near-duplicate join leaves on the disks once its links are known."""
+"""What the near-duplicate join and the removal of repeats leave on the disks."""
 
 import os
 import time
 
+import numpy as np
 import pytest
 
-from txscreen.llm import jaccard
+from txscreen.llm import jaccard, substrings
 from txscreen.sources import job_folder
 
 
@@ -48,3 +49,48 @@ def test_settings_are_as_before(spark, chain):
     before = [spark.conf.get(n, None) for n in names]
     jaccard.join_documents(chain)
     assert [spark.conf.get(n, None) for n in names] == before
+
+
+def around(common, docs=60, noise=90):
+    """Texts of lower-case letters that have nothing but ``common`` in common."""
+    rng = np.random.default_rng(3)
+    parts = [["".join(rng.choice(list("abcdefghijklmnop"), noise)) for _ in range(2)] for _ in range(docs)]
+    return [(i, a + common + b) for i, (a, b) in enumerate(parts)]
+
+
+def least_gram():
+    """The string of a gram's length with the least hash of many: an anchor wherever it stands."""
+    rng = np.random.default_rng(4)
+    found = ["".join(rng.choice(list("qrstuvwxyz"), substrings.GRAM)) for _ in range(20_000)]
+    return min(found, key=lambda x: substrings.grams(x.encode())[0])
+
+
+def stored_rows(spark, folder, name):
+    return sum(
+        spark.read.parquet(os.path.join(path, n)).count()
+        for path, folders, _ in os.walk(folder)
+        for n in folders
+        if n.startswith(f"{name}_")
+    )
+
+
+def test_removal_leaves_no_shuffle_files(spark):
+    table = spark.createDataFrame(around("", docs=20) * 2, "doc_id long, text string").repartition(4)
+    before = shuffle_files(spark)
+    found = substrings.remove_repeats(table)
+    for _ in range(100):
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert found.count() == 40
+
+
+@pytest.mark.parametrize("common, fetched", [(0, 0), (60, 60)])
+def test_phrases_of_one_gram_alone_are_not_fetched(spark, common, fetched):
+    """Texts share a gram, and ``common`` bytes behind it; a string that counts they don't."""
+    table = spark.createDataFrame(around(least_gram() + "y" * common), "doc_id long, text string")
+    with job_folder(spark) as folder:
+        found = substrings.remove_repeats(table.repartition(4)).collect()
+        assert stored_rows(spark, folder, "phrases") == fetched
+    assert all(r["n_removed"] == 0 for r in found)

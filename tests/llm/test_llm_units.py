@@ -164,6 +164,23 @@ def test_phrases_do_not_depend_on_what_lies_around(monkeypatch):
     assert names[0] == names[1]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(32, 130), st.integers(0, 40), st.binary(max_size=300), st.binary(max_size=300), st.randoms())
+def test_phrases_of_a_shared_window_share_its_side(length, more, before, behind, random):
+    shared = random.randbytes(length + more)
+    found = []
+    for data, ahead in ((before + shared, len(before)), (shared + behind, 0)):
+        windows = {}
+        for piece, hashes, first, count, anchor in substrings._anchored(data, length):
+            bits = substrings.sides(hashes, anchor, length)
+            for f, c, a, both in zip(*(x.tolist() for x in (first, count, anchor, bits))):
+                middle = a - substrings.reach(length) + 1
+                for w in range(f, f + c):
+                    windows[piece + w - ahead] = both >> 32 if w < middle else ~(both % 2**32)
+        found.append([windows[w] for w in range(more + 1)])
+    assert found[0] == found[1]
+
+
 def test_runs_join_spans_that_touch():
     assert substrings.runs([(5, 9), (0, 3), (3, 5), (20, 30), (22, 25)]) == [(0, 9), (20, 30)]
 

@@ -16,9 +16,12 @@ sample is about one position in 46; a cover by position would need one in six.
 2. Sort by gram and name and compare neighbours: all but the first of equal
    phrases are repeated. No recursion is needed, since names reach further than
    the strings that count.
-3. Merge the rest. The first phrases of their names that share a gram with
-   other names are fetched from the texts, and the windows in them are
-   compared byte by byte.
+3. Merge the rest. A window has the half of its bytes beside the anchor on the
+   left of it or on the right, so two phrases that share one have that side of
+   the gram in common, 58 bytes or more of 100. Of the first phrases of their
+   names, the sides that other names have too are fetched from the texts, and
+   the windows in them are compared byte by byte. A gram alone is soon shared
+   by most phrases as texts become more.
 """
 
 import hashlib
@@ -30,7 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txscreen.sources import materialize
+from txscreen.llm.jaccard import SHORT_SHUFFLES
+from txscreen.sources import materialize, session_settings
 
 #: Bytes of a string that counts, and of a gram.
 LENGTH, GRAM = 100, 16
@@ -41,7 +45,7 @@ PIECE = 1 << 20
 #: Phrases a task remembers to find them again.
 REMEMBERED = 500_000
 
-#: Phrases of one gram that one task compares; windows of more are dealt out singly.
+#: Phrases of one side that one task compares; windows of more are dealt out singly.
 TOGETHER = 4000
 
 _ODD = [np.uint64((0x9E3779B97F4A7C15 * k) % 2**64 | 1) for k in (1, 3, 5)]
@@ -59,12 +63,8 @@ def grams(data: bytes) -> np.ndarray:
     return mixed
 
 
-def phrases(data: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """First window, number of windows and gram of each phrase, piece by piece.
-
-    The anchor of a window is its gram with the least hash, the leftmost of
-    equals. A phrase that a piece cuts in two is two phrases.
-    """
+def _anchored(data: bytes, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Start and grams of each piece; first window, number of windows and anchor of its phrases."""
     span = length - GRAM + 1
     for start in range(0, len(data) - length + 1, PIECE):
         hashes = grams(data[start : start + PIECE + length - 1])
@@ -78,7 +78,42 @@ def phrases(data: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.
         anchor = (key & _PLACE).astype(np.int64)
         first = np.concatenate([[0], np.flatnonzero(np.diff(anchor)) + 1])
         count = np.diff(np.concatenate([first, [len(anchor)]]))
-        yield first + start, count, hashes[anchor[first]]
+        yield start, hashes, first, count, anchor[first]
+
+
+def phrases(data: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """First window, number of windows and gram of each phrase, piece by piece.
+
+    The anchor of a window is its gram with the least hash, the leftmost of
+    equals. A phrase that a piece cuts in two is two phrases.
+    """
+    for start, hashes, first, count, anchor in _anchored(data, length):
+        yield first + start, count, hashes[anchor]
+
+
+def reach(length: int) -> int:
+    """Bytes ahead of its anchor that a left window has at least; a right one has fewer."""
+    return (length - GRAM + 1) // 2
+
+
+def sides(hashes: np.ndarray, anchor: np.ndarray, length: int) -> np.ndarray:
+    """What all left windows of a phrase have in common, and all right ones: 32 bits each.
+
+    That is the anchor with the ``reach`` bytes ahead of it, or with as many
+    behind it as every right window has. The bits say nothing where a phrase has
+    no such window. Equal windows have their anchor at one place, so they are of
+    one side and their phrases have equal bits there.
+    """
+    ahead = reach(length)
+    found = []
+    for far, way in ((ahead, -1), (length - GRAM - ahead + 1, 1)):
+        mixed = np.zeros(len(anchor), np.uint64)
+        for off in range(far, 0, -GRAM):
+            mixed ^= hashes[np.clip(anchor + way * off, 0, len(hashes) - 1)]
+            mixed *= _ODD[1]
+            mixed ^= mixed >> np.uint64(32)
+        found.append(mixed >> np.uint64(32))
+    return found[0] << np.uint64(32) | found[1]
 
 
 def runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -98,7 +133,7 @@ def _bytes(value: pa.Scalar) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
-_NAMED = "gram long, phrase long, doc long, start long, count int, mark int"
+_NAMED = "gram long, phrase long, doc long, start long, count int, mark int, lead int, sides long"
 
 
 def _name_phrases(length: int):
@@ -113,12 +148,14 @@ def _name_phrases(length: int):
             docs = batch.column("doc").to_numpy()
             marks = batch.column("mark").to_numpy()
             texts = batch.column("text")
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[] for _ in range(8)]
             for at in np.argsort(docs, kind="stable").tolist():
                 data, doc, mark = _bytes(texts[at]), int(docs[at]), int(marks[at])
                 own: set[bytes] = set()
                 known = []
-                for first, count, gram in phrases(data, length):
+                for piece, hashes, first, count, anchor in _anchored(data, length):
+                    lead, gram, both = anchor - first, hashes[anchor], sides(hashes, anchor, length)
+                    first = first + piece
                     ends = (first + count + length - 1).tolist()
                     starts = first.tolist()
                     fresh, names = [], []
@@ -142,6 +179,8 @@ def _name_phrases(length: int):
                             first[fresh],
                             count[fresh],
                             np.full(n, mark),
+                            lead[fresh],
+                            both[fresh].view(np.int64),
                         )
                         for column, values in zip(out, columns):
                             column.append(values)
@@ -151,76 +190,82 @@ def _name_phrases(length: int):
                 if len(spans):
                     n = len(spans)
                     spread = (np.full(n, doc) * 1_000_003 + spans[:, 0]) * 7919
-                    columns = (spread, spans[:, 1], np.full(n, doc), spans[:, 0], np.zeros(n, int), np.full(n, mark))
+                    none = np.zeros(n, int)
+                    columns = (spread, spans[:, 1], np.full(n, doc), spans[:, 0], none, np.full(n, mark))
+                    columns += (none, none)
                     for column, values in zip(out, columns):
                         column.append(values)
             if out[0]:
                 arrays = [np.concatenate(c) for c in out]
-                kinds = [pa.int64()] * 4 + [pa.int32()] * 2
+                kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.int64()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a, k) for a, k in zip(arrays, kinds)],
-                    ["gram", "phrase", "doc", "start", "count", "mark"],
+                    ["gram", "phrase", "doc", "start", "count", "mark", "lead", "sides"],
                 )
 
     return run
 
 
-_CUT = "gram long, doc long, mark int, start long, count int, bytes binary"
+_CUT = "side long, doc long, mark int, start long, count int, anchor long, bytes binary"
 
 
 def _cut(length: int):
-    """The bytes of each wanted phrase of a document.
+    """The bytes of each wanted side of a document's phrases.
 
-    A phrase of a very common gram comes as single windows under a hash of
-    their own. Such a window met before in the task is a span, without bytes.
+    Those of a very common side come as single windows under a hash of their
+    own. Such a window met before in the task is a span, without bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for text, doc, mark, wanted in zip(
                 *[batch.column(n) for n in ("text", "doc", "mark", "wanted")]
             ):
                 data, doc, mark = _bytes(text), doc.as_py(), mark.as_py()
-                for phrase in wanted.as_py():
-                    start, count = phrase["start"], phrase["count"]
-                    if phrase["others"] <= TOGETHER:
+                for part in wanted.as_py():
+                    start, count, anchor = part["start"], part["count"], part["anchor"]
+                    if not part["many"]:
                         piece = data[start : start + count + length - 1]
-                        _row(out, phrase["gram"], doc, mark, start, count, piece)
+                        _row(out, part["side"], doc, mark, start, count, anchor, piece)
                         continue
                     for at in range(start, start + count):
                         window = data[at : at + length]
                         if met.get(window, (doc, at)) < (doc, at):
-                            _row(out, phrase["gram"], doc, mark, at, 1, None)
+                            _row(out, part["side"], doc, mark, at, 1, anchor, None)
                             continue
                         met[window] = doc, at
                         name = xxhash.xxh3_64_intdigest(window) - 2**63
-                        _row(out, name, doc, mark, at, 1, window)
+                        _row(out, name, doc, mark, at, 1, anchor, window)
                 if len(met) >= REMEMBERED:
                     met.clear()
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(out, kinds)],
-                ["gram", "doc", "mark", "start", "count", "bytes"],
+                ["side", "doc", "mark", "start", "count", "anchor", "bytes"],
             )
 
     return run
 
 
 def _compare(length: int):
-    """Rows come by gram, document and start: spans of windows met before in their gram."""
+    """Rows come by side, document and anchor: spans of windows met before in their side.
+
+    Equal windows are as far ahead of their anchors, so the earlier one comes first
+    even if texts share an id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, met = None, {}
+        side, met = None, {}
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            names = ("gram", "doc", "mark", "start", "count", "bytes")
-            for g, doc, mark, start, count, data in zip(
+            names = ("side", "doc", "mark", "start", "count", "bytes")
+            for s, doc, mark, start, count, data in zip(
                 *[batch.column(n).to_pylist() for n in names]
             ):
-                if g != gram:
-                    gram, met = g, {}
+                if s != side:
+                    side, met = s, {}
                 if data is None:
                     _row(out, doc, mark, start, start + length)
                     continue
@@ -291,9 +336,10 @@ def remove_repeats(
     same bytes. A null text has no bytes. Rows without an id count as rows
     under one id behind all others. An empty table gives an empty one.
 
-    Texts are shuffled once, by document; the sample is shuffled once, by gram.
-    A group of copies is summed up in the tasks that read it. The windows of a
-    gram with very many phrases are dealt out singly, and summed up likewise.
+    Texts are shuffled by document, to be compared and to be cut; the sample is
+    shuffled once, by gram. Shuffle files go with each stored step. A group of
+    copies is summed up in the tasks that read it. The windows of a side with
+    very many phrases are dealt out singly, and summed up likewise.
     """
     if length < 2 * GRAM:
         raise ValueError(f"strings of at least {2 * GRAM} bytes")
@@ -306,34 +352,55 @@ def remove_repeats(
     long_enough = rows.filter(F.octet_length("text") >= length)
     named = long_enough.select("doc", "mark", "text").mapInArrow(_name_phrases(length), _NAMED)
     same = Window.partitionBy("gram", "phrase")
-    alike = Window.partitionBy("gram")
-    # Sorted by gram and name in one pass, behind one exchange by gram.
+    # Sorted by gram and name, and by gram and side, behind one exchange by gram.
     sorted_ = (
         named.repartition("gram")
         .withColumn("first", F.min(F.struct("doc", "start")).over(same))
-        .withColumn("low", F.min("phrase").over(alike))
-        .withColumn("high", F.max("phrase").over(alike))
-        .withColumn("others", F.count(F.lit(1)).over(alike))
-    )
-    end = F.when(F.col("count") == 0, F.col("phrase")).otherwise(
-        F.col("start") + F.col("count") + (length - 1)
-    )
-    later = F.struct("doc", "start") > F.col("first")
-    gone = (F.col("count") == 0) | later
-    open_ = ~gone & (F.col("low") < F.col("high"))
-    judged = materialize(
-        sorted_.filter(gone | open_).select(
-            "gram", "doc", "mark", "start", "count", "others", gone.alias("gone"),
-            F.when(gone, end).alias("end"),
-        ),
-        "phrases",
+        .withColumn("gone", (F.col("count") == 0) | (F.struct("doc", "start") > F.col("first")))
     )
+    anchor = F.col("start") + F.col("lead")
+    middle = anchor - (reach(length) - 1)
+    past = F.col("start") + F.col("count")
+    parts = []
+    for side, bits, begin, stop in (
+        ("left", F.shiftright("sides", 32), F.col("start"), F.least(middle, past)),
+        ("right", F.col("sides").bitwiseAND(2**32 - 1), F.greatest(middle, F.col("start")), past),
+    ):
+        sorted_ = sorted_.withColumn(side, F.when(begin < stop, bits))
+        alike = Window.partitionBy("gram", side)
+        others = F.min("phrase").over(alike) < F.max("phrase").over(alike)
+        many = F.count(F.when(~F.col("gone"), 1)).over(alike) > TOGETHER
+        part = F.struct(
+            F.xxhash64("gram", F.lit(side), side).alias("side"),
+            begin.alias("start"),
+            (stop - begin).cast("int").alias("count"),
+            anchor.alias("anchor"),
+            many.alias("many"),
+        )
+        sorted_ = sorted_.withColumns({f"{side}_part": part, f"{side}_others": others})
+        wanted = ~F.col("gone") & F.col(side).isNotNull() & F.col(f"{side}_others")
+        parts.append(F.when(wanted, F.col(f"{side}_part")))
+    end = F.when(F.col("count") == 0, F.col("phrase")).otherwise(past + (length - 1))
+    gone = F.col("gone")
+    with session_settings(docs.sparkSession, SHORT_SHUFFLES):
+        judged = materialize(
+            sorted_.withColumn("parts", F.array_compact(F.array(*parts)))
+            .filter(gone | (F.size("parts") > 0))
+            .select(
+                "doc",
+                "mark",
+                F.when(gone, F.col("start")).alias("start"),
+                F.when(gone, end).alias("end"),
+                F.when(~gone, F.col("parts")).alias("parts"),
+            ),
+            "phrases",
+        )
     # The rest, document by document, meets the texts.
     texts = rows.repartition("doc", "mark")
     wanted = (
-        judged.filter(~F.col("gone"))
+        judged.filter(F.col("end").isNull())
         .groupBy("doc", "mark")
-        .agg(F.collect_list(F.struct("gram", "start", "count", "others")).alias("wanted"))
+        .agg(F.flatten(F.collect_list("parts")).alias("wanted"))
     )
     cut = (
         texts.join(wanted, ["doc", "mark"])
@@ -341,12 +408,14 @@ def remove_repeats(
         .mapInArrow(_cut(length), _CUT)
     )
     compared = (
-        cut.repartition("gram")
-        .sortWithinPartitions("gram", "doc", "start")
+        cut.repartition("side")
+        .sortWithinPartitions("side", "doc", "anchor")
         .mapInArrow(_compare(length), "doc long, mark int, start long, end long")
     )
+    with session_settings(docs.sparkSession, SHORT_SHUFFLES):
+        compared = materialize(compared, "compared")
     spans = (
-        judged.filter("gone")
+        judged.filter(F.col("end").isNotNull())
         .select("doc", "mark", "start", "end")
         .unionByName(compared)
         .groupBy("doc", "mark")
